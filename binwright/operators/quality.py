@@ -54,6 +54,20 @@ def string_column_faults(df: DataFrame, required: list[str], context: str, key:
 
 # -- declared obs columns ----------------------------------------------------------------------
 
+def _not_castable(column: str, source: T.DataType, target: T.DataType) -> Column:
+    """A present value that has no exact counterpart in the target type.
+
+    A cast alone is too lenient: it cuts fractions and takes any number as a truth value.
+    """
+    value = F.col(column)
+    bad = value.try_cast(target).isNull()
+    if isinstance(source, (T.FloatType, T.DoubleType)) and isinstance(target, T.IntegralType):
+        bad = bad | (value != F.rint(value))
+    if isinstance(source, T.NumericType) and isinstance(target, T.BooleanType):
+        bad = bad | ~value.isin(0, 1)
+    return value.isNotNull() & bad
+
+
 def obs_faults(obs: DataFrame, columns: list[tuple[str, str, bool]], key: str = "file") -> DataFrame:
     """Faults of declared ``(name, dtype, nullable)`` obs columns, all columns in one aggregate.
 
@@ -68,7 +82,7 @@ def obs_faults(obs: DataFrame, columns: list[tuple[str, str, bool]], key: str =
     if not present:
         return fixed
     counted = obs.groupBy(key).agg(*[
-        F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(c) for c, t in present
+        F.count_if(_not_castable(c, obs.schema[c].dataType, t)).alias(c) for c, t in present
     ])
     bad = counted.unpivot(key, [c for c, _ in present], "column_name", "n").filter(F.col("n") > 0)
     return fixed.unionByName(

@@ -84,8 +84,7 @@ class StarTables:
 
         A file measures the features its cells have counts for; every tenth count is stored as zero.
         """
-        from binwright.operators.ranks import rank_in_groups
-        from binwright.operators.ranks import with_value_bucket
+        from binwright.operators.ranks import rank_in_groups, with_value_bucket
         from binwright.plans.ingest import Batch
         from binwright.session import freeze
 
