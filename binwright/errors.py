@@ -18,8 +18,8 @@ class EmptySelectionError(ValueError):
 
 
 class IngestError(RuntimeError):
-    """Some staged inputs were not committed. ``faults`` lists them."""
+    """Some staged inputs were not committed. ``faults`` is the DataFrame that says why."""
 
-    def __init__(self, message, faults=()):
-        self.faults = list(faults)
+    def __init__(self, message, faults=None):
+        self.faults = faults
         super().__init__(message)

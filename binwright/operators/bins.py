@@ -52,7 +52,7 @@ def _dense_bins(bucketed: DataFrame, keys: list[str], order: list[str], bin_size
     per_key = counts.groupBy(*keys).agg(F.sum("_n").alias("_n")).select(
         *keys, F.ceil(F.col("_n") / F.lit(bin_size)).cast("bigint").alias("_bins")
     )
-    first_bin = running_sum(per_key, keys, "_bins", "_first_bin").drop("_bins")
+    first_bin = running_sum(per_key, keys, {"_first_bin": "_bins"}).drop("_bins")
 
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -14,16 +14,17 @@ def fits_broadcast(dim: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def join_dimension(big: DataFrame, dim: DataFrame, on: str | list[str], how: str = "inner",
-                   salt_on: str | list[str] | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+                   salt_on: str | list[str] | None = None, rows: int = BROADCAST_ROWS,
+                   fits: bool | None = None) -> DataFrame:
     """``big`` joined with ``dim``, which holds few rows per key and only narrow columns.
 
     A dimension of at most ``rows`` rows is broadcast, so the big side never moves. A larger one is
     joined by shuffle on the key plus a salt: the salt is a pure function of ``salt_on`` (never
     random, so a retried task routes its rows the same way) and spreads a hot key over ``SALTS``
-    tasks. ``how`` may be inner, left, left_semi or left_anti; the big side is on the left.
+    tasks. ``fits`` passes the outcome of an earlier check of the same dimension. ``how`` may be inner, left, left_semi or left_anti; the big side is on the left.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(dim, rows):
+    if fits_broadcast(dim, rows) if fits is None else fits:
         return big.join(F.broadcast(dim), keys, how)
     spread = [salt_on] if isinstance(salt_on, str) else list(salt_on or big.columns)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))

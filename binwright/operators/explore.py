@@ -26,11 +26,11 @@ def distinct_count(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_distinct(column).alias("distinct_count"))
 
 
-def _column_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Non-NULL ``(column_name, value)`` pairs, each once; repeats are combined before the shuffle."""
+def _count_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column_name, n)`` distinct values per column; repeats are combined before the shuffle."""
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     pairs = texts.unpivot([], columns, "column_name", "value")
-    return pairs.filter(F.col("value").isNotNull()).distinct()
+    return pairs.groupBy("column_name").agg(F.count_distinct("value").alias("n"))
 
 
 def string_columns(df: DataFrame, exclude: list[str] | None = None) -> list[str]:
@@ -40,7 +40,7 @@ def string_columns(df: DataFrame, exclude: list[str] | None = None) -> list[str]
 
 def distinct_counts_long(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, n_distinct)`` of many columns in one scan; all-NULL columns count zero."""
-    counted = _column_values(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+    counted = _count_values(df, columns)
     named = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     return named.join(counted, "column_name", "left").select(
         "column_name", F.coalesce("n", F.lit(0)).alias("n_distinct")
@@ -55,7 +55,7 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
     """
     if approximate:
         return df.agg(*[F.approx_count_distinct(c).alias(f"distinct_{c}") for c in columns])
-    counted = _column_values(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+    counted = _count_values(df, columns)
     one = [
         F.coalesce(F.max(F.when(F.col("column_name") == c, F.col("n"))), F.lit(0)).alias(f"distinct_{c}")
         for c in columns
@@ -80,37 +80,24 @@ def category_values(df: DataFrame, limit: int = CATEGORY_LIMIT_EXTRACT,
                     exclude: list[str] | None = None) -> DataFrame:
     """``(column_name, value)`` for every text column within the limit, one job for all columns.
 
-    The per-column counts are one row per column; only values of columns within the limit go on, so
-    whatever is collected later is bounded by ``columns x limit``.
+    A column without any value is within the limit and has one row with a NULL value. The counts
+    are one row per column; only values of columns within the limit go on, so whatever is collected
+    later is bounded by ``columns x limit``.
     """
     columns = string_columns(df, NEVER_CATEGORIES if exclude is None else exclude)
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, value string")
-    pairs = _column_values(df, columns)
-    small = pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= limit)
-    return pairs.join(F.broadcast(small.select("column_name")), "column_name", "left_semi")
+    pairs = df.select(*columns).unpivot([], columns, "column_name", "value").distinct()
+    counts = pairs.groupBy("column_name").agg(F.count("value").alias("n"))
+    within = pairs.join(F.broadcast(counts.filter(F.col("n") <= limit)), "column_name")
+    return within.filter(F.col("value").isNotNull() | (F.col("n") == 0)).drop("n")
 
 
 def category_lists(df: DataFrame, limit: int = CATEGORY_LIMIT_EXTRACT,
                    exclude: list[str] | None = None) -> DataFrame:
-    """``(column_name, categories)`` with sorted arrays of at most ``limit`` values.
-
-    A text column without any value is within the limit too and has the empty list.
-    """
-    columns = string_columns(df, NEVER_CATEGORIES if exclude is None else exclude)
-    pairs = _column_values(df, columns) if columns else None
-    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
-    if pairs is None:
-        return named.withColumn("categories", F.array().cast("array<string>"))
-    counts = pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    kept = named.join(counts, "column_name", "left").filter(F.coalesce("n", F.lit(0)) <= limit)
-    lists = (
-        category_values(df, limit, exclude).groupBy("column_name")
-        .agg(F.sort_array(F.collect_list("value")).alias("categories"))
-    )
-    empty = F.array().cast("array<string>")
-    return kept.join(lists, "column_name", "left").select(
-        "column_name", F.coalesce("categories", empty).alias("categories")
+    """``(column_name, categories)`` with sorted arrays of at most ``limit`` values."""
+    return category_values(df, limit, exclude).groupBy("column_name").agg(
+        F.sort_array(F.collect_list("value")).alias("categories")
     )
 
 

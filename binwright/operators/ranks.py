@@ -86,24 +86,26 @@ def rank_in_groups(bucketed: DataFrame, keys: list[str], order: list[str], out:
     )
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Exclusive running sum of ``value`` over all rows in the order of the (unique) sort columns.
+def running_sum(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Exclusive running sums over all rows in the order of the (unique) sort columns.
 
-    Rows are range-partitioned and frozen, so that the partition number they carry stays true; the
-    only one-task window runs over one row per partition.
+    ``sums`` names the new columns and the columns they add up. Rows are range-partitioned and
+    frozen, so that the partition number they carry stays true; the only one-task window runs over
+    one row per partition.
     """
     ranged = freeze(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
-        .select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    )
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.join(F.broadcast(bases), "_part")
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_part", "_base")
-    )
+
+    def sum_over(column, window):
+        return F.coalesce(F.sum(column).over(window), F.lit(0)).cast("bigint")
+
+    totals = ranged.groupBy("_part").agg(*[F.sum(value).alias(f"_sum_{out}") for out, value in sums.items()])
+    bases = totals.select("_part", *[sum_over(f"_sum_{out}", before).alias(f"_base_{out}") for out in sums])
+    joined = ranged.join(F.broadcast(bases), "_part")
+    return joined.withColumns(
+        {out: F.col(f"_base_{out}") + sum_over(value, inside) for out, value in sums.items()}
+    ).drop("_part", *[f"_base_{out}" for out in sums])
 
 
 def chunk_of(rank: Column, size: int) -> Column:

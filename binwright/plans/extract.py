@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from binwright.functions import fill_for_extract, sparse_indices, sparse_values
 from binwright.operators.aggregates import pack_counts
 from binwright.operators.bins import grouped_bins
-from binwright.operators.dims import join_dimension
+from binwright.operators.dims import fits_broadcast, join_dimension
 from binwright.operators.filters import where
 from binwright.operators.joins import counts_of_cells, feature_axis
 from binwright.operators.projection import keep_existing, ordered_feature_subset, read_bins
@@ -43,13 +43,14 @@ def category_table(metadata: DataFrame) -> DataFrame:
 def encode_categories(df: DataFrame, categories: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``<column>_code``; a value outside the shared list becomes NULL, code and value.
 
-    Lists are limited when they are made, so each join broadcasts a small table.
+    Lists are limited when they are made, so their table is small; its size is checked once.
     """
+    small = fits_broadcast(categories)
     for column in columns:
         codes = categories.filter(F.col("column_name") == column).select(
             F.col("value").alias(column), F.col("code").alias(f"{column}_code")
         )
-        coded = join_dimension(df, codes, column, "left", salt_on="id")
+        coded = join_dimension(df, codes, column, "left", salt_on="id", fits=small)
         df = coded.withColumn(column, F.when(F.col(f"{column}_code").isNotNull(), F.col(column)))
     return df
 

@@ -20,7 +20,7 @@ def facet_rows(cells: DataFrame, dataset: str, threshold: int = CATEGORY_LIMIT_E
         F.lit(dataset).alias("dataset"), F.lit("total_cells").alias("facet"),
         F.lit(None).cast("string").alias("value"), F.col("total_cells").alias("n"),
     )
-    values = category_values(cells, threshold, exclude).select(
+    values = category_values(cells, threshold, exclude).filter(F.col("value").isNotNull()).select(
         F.lit(dataset).alias("dataset"), F.col("column_name").alias("facet"), "value", F.lit(1).cast("bigint").alias("n")
     )
     return total.unionByName(values)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from binwright.errors import IngestError
 from binwright.functions import clean_count, leftover_json, prune_metadata
 from binwright.functions.columns import METADATA_VALUE_LIMIT, STRING_NULL_FILL
-from binwright.operators.dims import join_dimension
+from binwright.operators.dims import fits_broadcast, join_dimension
 from binwright.operators.joins import align_features, expand_to_axis
 from binwright.operators.projection import map_columns
 from binwright.operators.quality import (
@@ -22,10 +22,10 @@ from binwright.operators.quality import (
 )
 from binwright.operators.ranks import block_bounds, rank_by_hash, running_sum
 from binwright.schemas import CELL_INFO, DTYPES, FEATURE_INFO, add_missing_fields
+from binwright.session import freeze
 from binwright.sources.base import (
     append_ingests,
     append_together,
-    create_tables,
     next_id,
     path_exists,
     read_table,
@@ -56,8 +56,11 @@ class Batch:
     def only(self, files: DataFrame) -> Batch:
         """The part of the batch that belongs to the given files."""
 
+        files = freeze(files.select("file"))
+        small = fits_broadcast(files)
+
         def kept(df, salt):
-            return join_dimension(df, files.select("file"), "file", "left_semi", salt_on=salt)
+            return join_dimension(df, files, "file", "left_semi", salt_on=salt, fits=small)
 
         return Batch(
             kept(self.obs, "row_pos"), kept(self.var, "col_pos"), kept(self.x, ["row_pos", "col_pos"]),
@@ -72,19 +75,15 @@ def reserve_blocks(shapes: DataFrame, first_ingest: int = 0, first_cell: int = 0
 
     Blocks follow the file order without gaps. One writer per dataset reserves for its whole batch.
     """
-    sized = running_sum(shapes.withColumn("_one", F.lit(1)), ["file"], "_one", "ingest_id")
-    sized = running_sum(sized.drop("_one"), ["file"], "n_obs", "cell_start")
-    sized = running_sum(sized, ["file"], "n_vars", "feature_start")
-    return sized.withColumns({
-        "ingest_id": (F.col("ingest_id") + first_ingest).cast("bigint"),
-        "cell_start": (F.col("cell_start") + first_cell).cast("bigint"),
-        "feature_start": (F.col("feature_start") + first_feature).cast("bigint"),
-    })
-
-
-def with_block(df: DataFrame, blocks: DataFrame, salt: str | list[str]) -> DataFrame:
-    wanted = blocks.select("file", "ingest_id", "cell_start", "feature_start")
-    return join_dimension(df, wanted, "file", salt_on=salt)
+    sized = running_sum(
+        shapes.withColumn("_one", F.lit(1)), ["file"],
+        {"ingest_id": "_one", "cell_start": "n_obs", "feature_start": "n_vars"},
+    ).drop("_one")
+    return freeze(sized.withColumns({
+        "ingest_id": F.col("ingest_id") + first_ingest,
+        "cell_start": F.col("cell_start") + first_cell,
+        "feature_start": F.col("feature_start") + first_feature,
+    }))
 
 
 # -- SQL-backend rules -------------------------------------------------------------------------
@@ -133,7 +132,9 @@ def count_rows(x: DataFrame, blocks: DataFrame) -> DataFrame:
     Ids of a file are its block start plus the position, so the big table is mapped in place and
     never shuffled to look ids up.
     """
-    placed = with_block(x.withColumn("raw_count", clean_count(F.col("value"))), blocks, ["row_pos", "col_pos"])
+    wanted = blocks.select("file", "ingest_id", "cell_start", "feature_start")
+    counted = x.withColumn("raw_count", clean_count(F.col("value")))
+    placed = join_dimension(counted, wanted, "file", salt_on=["row_pos", "col_pos"])
     return placed.filter(F.col("raw_count") != 0).select(
         (F.col("cell_start") + F.col("row_pos")).alias("cell_id"),
         (F.col("feature_start") + F.col("col_pos")).alias("feature_id"),
@@ -171,15 +172,16 @@ def ingest_batch(spark: SparkSession, warehouse: str, batch: Batch, obs_mapping:
     A faulty file fails the batch. With ``partial`` the good files are committed and the error that
     lists the faults comes afterwards. Returns the id blocks of the committed files.
     """
-    create_tables(spark, warehouse)
-    faults = required_text_faults(batch, obs_mapping, var_mapping)
-    bad = [r["file"] for r in faults.select("file").distinct().collect()]
-    if bad and (not partial or "*" in bad):
+    faults = freeze(required_text_faults(batch, obs_mapping, var_mapping))
+    found = faults.agg(
+        F.count_distinct("file").alias("n_files"), F.coalesce(F.bool_or(F.col("file") == "*"), F.lit(False)).alias("all")
+    ).first()
+    if found["n_files"] and (found["all"] or not partial):
         raise_on_faults(faults)
     shapes = batch.shapes
-    if bad:
-        good = shapes.join(faults.select("file").distinct(), "file", "left_anti")
-        batch, shapes = batch.only(good), good
+    if found["n_files"]:
+        shapes = freeze(shapes.join(faults.select("file").distinct(), "file", "left_anti"))
+        batch = batch.only(shapes)
     blocks = reserve_blocks(
         shapes, next_id(spark, warehouse, "ingest_info"), next_id(spark, warehouse, "cell_info"),
         next_id(spark, warehouse, "feature_info"),
@@ -190,8 +192,8 @@ def ingest_batch(spark: SparkSession, warehouse: str, batch: Batch, obs_mapping:
         "feature_info": feature_rows(batch.var, blocks, var_mapping, tag),
         "raw_matrix_coo": count_rows(batch.x, blocks),
     })
-    if bad:
-        raise IngestError(f"{len(bad)} files were not ingested: {', '.join(sorted(bad)[:20])}", bad)
+    if found["n_files"]:
+        raise IngestError(f"{found['n_files']} files were not ingested; see the fault table", faults)
     return blocks
 
 

@@ -18,6 +18,8 @@ from binwright.operators.filters import where
 from binwright.operators.joins import cells_with_ingest, counts_of_cells, feature_map, remap_features
 from binwright.operators.projection import select_cell_columns
 from binwright.operators.ranks import random_bins, with_shuffle_key
+from binwright.schemas import EXTRACT_FEATURE_INFO
+from binwright.sources.base import scan
 from binwright.sources.sinks import (
     EXTRACT_METADATA,
     PARTITION_BINS,
@@ -112,8 +114,9 @@ def prepare_extract(tables: Mapping[str, DataFrame], wanted: DataFrame, path: st
     written cell table, so binning runs once.
     """
     spark = wanted.sparkSession
-    check_feature_ids(wanted)
     write_features(wanted, f"{path}/feature_info")
+    wanted = scan(spark, f"{path}/feature_info", EXTRACT_FEATURE_INFO)
+    check_feature_ids(wanted)
 
     binned = bin_cells(select_cells(tables["cell_info"], tables["ingest_info"], spec), spec)
     write_binned(binned, f"{path}/cell_info", spec.partition_bins, spec.partition_size, then=("shuffle_key", "id"))

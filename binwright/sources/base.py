@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binwright.operators.dims import join_dimension
+from binwright.operators.dims import fits_broadcast, join_dimension
 from binwright.schemas import BASE_TABLES, RAW_MATRIX_COO, conform
+from binwright.session import freeze
 
 COMMITS = T.StructType([T.StructField("ingest_id", T.LongType(), False)])
 RAW_COUNTS_PATTERN = "raw-counts-*.csv"
@@ -37,28 +38,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def create_tables(spark: SparkSession, warehouse: str, schemas: Mapping[str, T.StructType] = BASE_TABLES) -> None:
-    """Empty tables and an empty commit table where they do not exist yet."""
-    for table, schema in schemas.items():
-        if not path_exists(spark, f"{warehouse}/{table}"):
-            spark.createDataFrame([], stored_schema(schema)).write.parquet(f"{warehouse}/{table}")
-    if not path_exists(spark, f"{warehouse}/commits"):
-        spark.createDataFrame([], COMMITS).write.parquet(f"{warehouse}/commits")
-
-
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet with a declared schema: no inference, pruned columns and pushed filters."""
     return spark.read.schema(schema).parquet(path)
 
 
+def stored_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows at ``path``, committed or not; none when nothing was written yet."""
+    return scan(spark, path, schema) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def read_commits(spark: SparkSession, warehouse: str) -> DataFrame:
-    return scan(spark, f"{warehouse}/commits", COMMITS).distinct()
+    return stored_rows(spark, f"{warehouse}/commits", COMMITS).distinct()
 
 
 def read_table(spark: SparkSession, warehouse: str, table: str, schema: T.StructType | None = None) -> DataFrame:
     """Committed rows of a table, in its declared columns."""
     schema = schema or BASE_TABLES[table]
-    stored = scan(spark, f"{warehouse}/{table}", stored_schema(schema))
+    stored = stored_rows(spark, f"{warehouse}/{table}", stored_schema(schema))
     spread = schema.names[:2]
     visible = join_dimension(stored, read_commits(spark, warehouse), "ingest_id", "left_semi", salt_on=spread)
     return visible.select(*schema.names)
@@ -67,6 +64,8 @@ def read_table(spark: SparkSession, warehouse: str, table: str, schema: T.Struct
 def next_id(spark: SparkSession, warehouse: str, table: str, column: str = "id",
             schema: T.StructType | None = None) -> int:
     """First free id of a table; rows that were never committed keep their ids reserved."""
+    if not path_exists(spark, f"{warehouse}/{table}"):
+        return 0
     stored = scan(spark, f"{warehouse}/{table}", stored_schema(schema or BASE_TABLES[table]))
     return stored.agg(F.coalesce(F.max(column) + 1, F.lit(0)).alias("n")).first()["n"]
 
@@ -106,16 +105,16 @@ def append_together(spark: SparkSession, warehouse: str, tables: Mapping[str, Da
     Nothing is visible before the last statement: if any write fails, no commit row is added. A
     rerun replaces what a failed run left behind and leaves committed ingests as they are.
     """
-    create_tables(spark, warehouse, schemas)
-    committed = read_commits(spark, warehouse)
-    fresh = {
-        table: join_dimension(tables[table], committed, "ingest_id", "left_anti") for table in schemas
-    }
+    fresh = dict(tables)
+    if path_exists(spark, f"{warehouse}/commits"):
+        committed = freeze(read_commits(spark, warehouse))
+        small = fits_broadcast(committed)
+        fresh = {t: join_dimension(tables[t], committed, "ingest_id", "left_anti", fits=small) for t in schemas}
     for table, schema in schemas.items():
         _write(fresh[table], f"{warehouse}/{table}", stored_schema(schema), sort_columns[table])
     first = next(iter(schemas))
     ids = fresh[first].select(F.col("ingest_id").cast("bigint").alias("ingest_id")).distinct()
-    ids.coalesce(1).write.mode("append").parquet(f"{warehouse}/commits")
+    ids.write.mode("append").parquet(f"{warehouse}/commits")
 
 
 def append_ingests(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame]) -> None:

@@ -77,7 +77,7 @@ SELECT total_bins, last_bin_size, total_cells, total_cells AS cell_count FROM (
          count(*) FILTER (extract_bin = (SELECT max(extract_bin) FROM random_binned)) AS last_bin_size
   FROM random_binned)""", ("random_binned",))
 def summary(t):
-    return cell_count_of(extract_summary(random_bins(t.cells, 500, seed=7)), 500)
+    return cell_count_of(extract_summary(random_bins(t.cells, 1000, seed=7)), 1000)
 
 
 @query("C8_cell_totals", """
@@ -91,7 +91,7 @@ def cell_sums(t):
 SELECT extract_bin, cell_id, string_agg(feature_id::VARCHAR || ':' || raw_count::VARCHAR, ' ' ORDER BY feature_id) AS entries
 FROM packed GROUP BY ALL""", ("packed",))
 def packed_counts(t):
-    binned = random_bins(t.cells, 500, seed=7)
+    binned = random_bins(t.cells, 1000, seed=7)
     rows = count_matrix(t.counts, t.features, t.wanted_features, binned)
     text = F.transform("feature_data", lambda e: F.concat(e["feature_id"].cast("string"), F.lit(":"), e["raw_counts"].cast("string")))
     return rows.select("extract_bin", "cell_id", F.array_join(text, " ").alias("entries"))

@@ -28,7 +28,7 @@ def _prepared(t, spec):
     return path, metadata
 
 
-_RANDOM = ExtractSpec(bin_size=500, seed=7, obs_columns=["c.tissue", "cell_type", "donor_id"], category_limit=100)
+_RANDOM = ExtractSpec(bin_size=1000, seed=7, obs_columns=["c.tissue", "cell_type", "donor_id"], category_limit=100)
 _KEYED = ExtractSpec(
     bin_size=100, seed=7, filters={"c.cell_type__in": ["1-URGENT", "2-HIGH"]}, obs_columns=["tissue"],
     bin_keys=["tissue", "disease"], metadata_columns=["d"],
@@ -116,12 +116,12 @@ _ALL_ENTRIES = """
 SELECT g.extract_bin, row_number() OVER (PARTITION BY g.extract_bin ORDER BY g.id) - 1 AS row_num, g.id, g.tissue,
        coalesce(p.indices, '') AS indices, coalesce(p.total, 0)::DOUBLE AS total, (SELECT count(*) FROM features) AS n_features
 FROM (SELECT id, tissue, dense_rank() OVER (ORDER BY tissue, disease, chunk) - 1 AS extract_bin
-      FROM (SELECT *, (row_number() OVER (PARTITION BY tissue, disease ORDER BY id) - 1) // 120 AS chunk FROM cells
+      FROM (SELECT *, (row_number() OVER (PARTITION BY tissue, disease ORDER BY id) - 1) // 1000 AS chunk FROM cells
             WHERE score > 90000)) g
 LEFT JOIN {_ALL_ENTRIES} p ON p.cell_id = g.id""", ("cells", "counts", "features"))
 def grouped(t):
     blocks = extract_grouped(
-        t.cells, t.counts, t.features, scratch_path(t.spark, "grouped"), ["tissue", "disease"], 120,
+        t.cells, t.counts, t.features, scratch_path(t.spark, "grouped"), ["tissue", "disease"], 1000,
         {"score__gt": 90000}, obs_columns=["tissue", "not_there"],
     )
     return _flat(blocks, "tissue")
@@ -140,7 +140,7 @@ SELECT * FROM (WITH axis AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS c
        ("random_binned", "counts", "features"))
 def randomized(t):
     blocks = extract_randomized(
-        t.cells, t.counts, t.features, scratch_path(t.spark, "randomized"), 500, seed=7, obs_columns=[]
+        t.cells, t.counts, t.features, scratch_path(t.spark, "randomized"), 1000, seed=7, obs_columns=[]
     )
     return _flat(blocks)
 
@@ -153,7 +153,7 @@ SELECT * FROM (WITH axis AS (
         JOIN features f ON f.symbol = v.value GROUP BY v.position)) {_RANDOMIZED})""", ("random_binned", "counts", "features"))
 def randomized_features(t):
     blocks = extract_randomized(
-        t.cells, t.counts, t.features, scratch_path(t.spark, "randomized"), 500, seed=7, obs_columns=[],
+        t.cells, t.counts, t.features, scratch_path(t.spark, "randomized"), 1000, seed=7, obs_columns=[],
         feature_column="symbol", feature_values=["red widget", "no such part", "blue bolt", "small ring"],
     )
     return _flat(blocks)

@@ -63,7 +63,7 @@ def projection(t):
        ("random_binned",))
 def bin_range_read(t):
     path = scratch_path(t.spark, "binned")
-    write_binned(random_bins(t.cells, 500, seed=7), path, partition_size=2)
+    write_binned(random_bins(t.cells, 1000, seed=7), path, partition_size=2)
     return read_bins(read_binned(t.spark, path), 4, 13, ["extract_bin", "id", "tissue"], partition_size=2)
 
 

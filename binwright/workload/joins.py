@@ -39,7 +39,7 @@ def remapped(t):
 SELECT c.cell_id, c.feature_id, c.raw_count, b.extract_bin FROM counts c JOIN random_binned b ON c.cell_id = b.id
 WHERE b.tissue = 'BUILDING'""", ("counts", "random_binned"))
 def selected_counts(t):
-    binned = random_bins(t.cells, 500, seed=7).filter("tissue = 'BUILDING'")
+    binned = random_bins(t.cells, 1000, seed=7).filter("tissue = 'BUILDING'")
     return counts_of_cells(t.counts, binned)
 
 
@@ -84,7 +84,7 @@ def looked_up(t):
 SELECT extract_bin, id, row_number() OVER (PARTITION BY extract_bin ORDER BY id) - 1 AS row_num FROM random_binned""",
        ("random_binned",))
 def dense_index(t):
-    return local_index(random_bins(t.cells.select("id"), 500, seed=7)).select("extract_bin", "id", "row_num")
+    return local_index(random_bins(t.cells.select("id"), 1000, seed=7)).select("extract_bin", "id", "row_num")
 
 
 def schema_features(t):

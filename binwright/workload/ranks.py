@@ -57,7 +57,7 @@ def category_bins_many_keys(t):
 
 @query("E4_random_bins", "SELECT id, shuffle_key, extract_bin FROM random_binned", ("random_binned",))
 def random_bin_numbers(t):
-    return random_bins(t.cells.select("id"), 500, seed=7)
+    return random_bins(t.cells.select("id"), 1000, seed=7)
 
 
 @query("E5_contiguous_ids", """
@@ -73,7 +73,7 @@ SELECT ingest_id, n, coalesce(sum(n) OVER (ORDER BY ingest_id ROWS BETWEEN UNBOU
 FROM (SELECT ingest_id, count(*) AS n FROM cells GROUP BY ingest_id)""", ("cells",))
 def id_blocks(t):
     sizes = t.cells.groupBy("ingest_id").agg(F.count(F.lit(1)).alias("n"))
-    return running_sum(sizes, ["ingest_id"], "n", "start_id")
+    return running_sum(sizes, ["ingest_id"], {"start_id": "n"})
 
 
 @query("E7_contiguous_ranges", """
@@ -168,7 +168,7 @@ def shuffle_keys(t):
 SELECT extract_bin, row_number() OVER (PARTITION BY extract_bin ORDER BY shuffle_key, id) - 1 AS row_num, id
 FROM random_binned WHERE extract_bin BETWEEN 2 AND 9""", ("random_binned",))
 def order_in_bin(t):
-    binned = random_bins(t.cells.select("id"), 500, seed=7).filter(F.col("extract_bin").between(2, 9))
+    binned = random_bins(t.cells.select("id"), 1000, seed=7).filter(F.col("extract_bin").between(2, 9))
     return local_index(binned, order=["shuffle_key", "id"]).select("extract_bin", "row_num", "id")
 
 
@@ -188,7 +188,7 @@ SHUFFLED = f"SELECT * FROM (WITH bins AS (SELECT DISTINCT extract_bin AS b FROM
 @query("F4_cell_permutation", SHUFFLED, ("random_binned",))
 def permutation(t):
     cells = t.cells.select("id")
-    return shuffle_into_bins(cells, 500, seed=7, total=cells.count())
+    return shuffle_into_bins(cells, 1000, seed=7, total=cells.count())
 
 
 @query("E9_shuffle_keep_last", f"""

@@ -37,7 +37,7 @@ VIEWS = {
     SELECT event_id AS id, event_type AS cell_type, user_id::VARCHAR AS donor_id, props AS metadata_extra, value
     FROM events""",
     "random_binned": """
-    SELECT *, (row_number() OVER (ORDER BY shuffle_key, id) - 1) // 500 AS extract_bin
+    SELECT *, (row_number() OVER (ORDER BY shuffle_key, id) - 1) // 1000 AS extract_bin
     FROM (SELECT *, {hash:id:7} AS shuffle_key FROM cells)""",
     "keyed_binned": """
     SELECT *, dense_rank() OVER (ORDER BY category NULLS FIRST, chunk) - 1 AS extract_bin

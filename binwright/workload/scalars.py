@@ -135,7 +135,7 @@ def cleaned(t):
 SELECT extract_bin, cell_id, string_agg(feature_id::VARCHAR, ',' ORDER BY feature_id) AS indices,
        sum(raw_count)::DOUBLE AS total, count(*) AS n_values FROM packed GROUP BY ALL""", ("packed",))
 def sparse_rows(t):
-    packed = count_matrix(t.counts, t.features, t.wanted_features, random_bins(t.cells, 500, seed=7))
+    packed = count_matrix(t.counts, t.features, t.wanted_features, random_bins(t.cells, 1000, seed=7))
     entries = F.transform("feature_data", lambda e: F.struct(e["feature_id"].alias("col_num"), e["raw_counts"].alias("value")))
     rows = packed.select("extract_bin", "cell_id", entries.alias("e")).select(
         "extract_bin", "cell_id", sparse_indices(F.col("e")).alias("indices"), sparse_values(F.col("e")).alias("values")

@@ -85,7 +85,7 @@ SELECT extract_bin, least(extract_bin // 3, 5) AS bin_bucket, count(*) AS n_cell
 FROM random_binned GROUP BY ALL""", ("random_binned",))
 def binned_sink(t):
     path = scratch_path(t.spark, "binned")
-    write_binned(random_bins(t.cells, 500, seed=7), path, partition_bins=15, partition_size=3, then=("shuffle_key",))
+    write_binned(random_bins(t.cells, 1000, seed=7), path, partition_bins=15, partition_size=3, then=("shuffle_key",))
     return read_binned(t.spark, path).groupBy("extract_bin", F.col("bin_bucket").cast("bigint").alias("bin_bucket")).agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum("id").alias("id_sum")
     )
@@ -103,12 +103,12 @@ SELECT extract_bin, row_number() OVER (PARTITION BY extract_bin ORDER BY shuffle
 FROM random_binned""", ("random_binned",))
 def one_output_per_bin(t):
     path = scratch_path(t.spark, "bins")
-    write_bins(local_index(random_bins(t.cells, 500, seed=7), order=["shuffle_key", "id"]), path)
+    write_bins(local_index(random_bins(t.cells, 1000, seed=7), order=["shuffle_key", "id"]), path)
     return t.spark.read.parquet(path).select(F.col("extract_bin").cast("bigint").alias("extract_bin"), "row_num", "id")
 
 
 @query("A8_extract_metadata", """
-SELECT total_bins, last_bin_size, total_cells, 500::BIGINT AS extract_bin_size, column_name, value
+SELECT total_bins, last_bin_size, total_cells, 1000::BIGINT AS extract_bin_size, column_name, value
 FROM (SELECT count(DISTINCT extract_bin) AS total_bins, count(*) AS total_cells,
              count(*) FILTER (extract_bin = (SELECT max(extract_bin) FROM random_binned)) AS last_bin_size
       FROM random_binned),
@@ -117,7 +117,7 @@ FROM (SELECT count(DISTINCT extract_bin) AS total_bins, count(*) AS total_cells,
       UNION ALL SELECT DISTINCT 'disease', disease FROM cells)""", ("random_binned", "cells"))
 def metadata_document(t):
     path = scratch_path(t.spark, "metadata")
-    spec = ExtractSpec(bin_size=500, seed=7, category_limit=20, obs_columns=["cell_type", "tissue", "disease"])
+    spec = ExtractSpec(bin_size=1000, seed=7, category_limit=20, obs_columns=["cell_type", "tissue", "disease"])
     binned = random_bins(t.cells.select("id", *spec.obs_columns), spec.bin_size, spec.seed)
     write_metadata(extract_metadata(binned, spec), path)
     lists = F.explode("category_metadata").alias("column_name", "values")
