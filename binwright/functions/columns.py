@@ -37,9 +37,21 @@ def group_label(columns: list[str]) -> Column:
 
 
 def json_scalars(json_column: str, keys: list[str]) -> dict[str, Column]:
-    """Named keys of a JSON text column as string columns; one parse serves all keys."""
-    parsed = F.from_json(F.col(json_column), T.StructType([T.StructField(k, T.StringType()) for k in keys]))
-    return {k: parsed.getField(k) for k in keys}
+    """Named keys of a JSON text column as string columns; one parse serves all keys.
+
+    An object or array under a key is not a scalar and gives NULL. Only values that look like one
+    are parsed again to tell them from plain text.
+    """
+    text = F.col(json_column)
+    parsed = F.from_json(text, T.StructType([T.StructField(k, T.StringType()) for k in keys]))
+
+    def scalar(key):
+        value = parsed.getField(key)
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), f"$['{key}']", "variant"))
+        nested = value.rlike(r"^[\[{]") & kind.rlike("^(OBJECT|ARRAY)")
+        return F.when(~F.coalesce(nested, F.lit(False)), value)
+
+    return {k: scalar(k) for k in keys}
 
 
 def leftover_json(columns: list[str]) -> Column:

@@ -13,7 +13,12 @@ from binwright.operators.bins import grouped_bins
 from binwright.operators.dims import fits_broadcast, join_dimension
 from binwright.operators.filters import where
 from binwright.operators.joins import counts_of_cells, feature_axis
-from binwright.operators.projection import keep_existing, ordered_feature_subset, read_bins
+from binwright.operators.projection import (
+    keep_existing,
+    keep_existing_or_all,
+    ordered_feature_subset,
+    read_bins,
+)
 from binwright.operators.ranks import bin_names, random_bins
 from binwright.plans.prepare import check_feature_ids
 from binwright.sources.sinks import EXTRACT_METADATA, PARTITION_BINS, PARTITION_SIZE, read_binned, write_bins
@@ -118,8 +123,22 @@ def extract_bins(spark: SparkSession, path: str, output: str, start_bin: int | N
     coded = [c for c in kept if c in listed]
     cells = encode_categories(fill_nulls(cells, [c for c in kept if c not in coded]), categories, coded)
 
-    write_bins(sparse_blocks(cells, packed, n_features, ["shuffle_key", "id"]), output, placed=True)
-    return spark.read.parquet(output)
+    features = read_binned(spark, f"{path}/feature_info")
+    blocks = sparse_blocks(cells, packed, n_features, ["shuffle_key", "id"])
+    return _write(blocks, features.withColumn("col_num", F.col("id")), output)
+
+
+def _write(blocks: DataFrame, features: DataFrame, output: str) -> DataFrame:
+    """Bins below ``bins`` and their common feature axis below ``features``; reads the bins back."""
+    features.write.mode("overwrite").parquet(f"{output}/features")
+    write_bins(blocks, f"{output}/bins", placed=True)
+    return blocks.sparkSession.read.parquet(f"{output}/bins")
+
+
+def requested_features(features: DataFrame, axis: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The feature axis with its wanted describing columns, all of them when none exists."""
+    described = keep_existing_or_all(features, columns).withColumnRenamed("id", "feature_id")
+    return join_dimension(described, axis, "feature_id", salt_on="feature_id")
 
 
 def requested_axis(features: DataFrame, column: str | None, values: list[str] | None) -> DataFrame:
@@ -140,13 +159,24 @@ def blocks_of_bins(binned: DataFrame, counts: DataFrame, axis: DataFrame, order:
 
 def extract_grouped(cells: DataFrame, counts: DataFrame, features: DataFrame, output: str, keys: list[str],
                     bin_size: int, filters: Mapping | None = None, obs_columns: list[str] | None = None,
-                    feature_column: str | None = None, feature_values: list[str] | None = None) -> DataFrame:
-    """Bins of one group each, cells in id order; writes them and returns a reader."""
-    binned = grouped_bins(where(cells, filters), keys, bin_size)
+                    feature_column: str | None = None, feature_values: list[str] | None = None,
+                    feature_columns: list[str] | None = None, bins: tuple[int, int] | None = None) -> DataFrame:
+    """Bins of one group each, cells in id order; writes them and returns a reader.
+
+    ``bins`` limits the run to the bins ``[start, end)``, for work split over several runs.
+    """
+    binned = _bin_slice(grouped_bins(where(cells, filters), keys, bin_size), bins)
     kept = keep_existing(binned, None if obs_columns is None else [*obs_columns, "extract_bin"])
     axis = requested_axis(features, feature_column, feature_values)
-    write_bins(blocks_of_bins(kept, counts, axis, ["id"]), output, placed=True)
-    return cells.sparkSession.read.parquet(output)
+    return _write(
+        blocks_of_bins(kept, counts, axis, ["id"]), requested_features(features, axis, feature_columns), output
+    )
+
+
+def _bin_slice(binned: DataFrame, bins: tuple[int, int] | None) -> DataFrame:
+    if bins is None:
+        return binned
+    return binned.filter((F.col("extract_bin") >= bins[0]) & (F.col("extract_bin") < bins[1]))
 
 
 def shuffle_into_bins(cells: DataFrame, bin_size: int, seed: int, total: int, shuffle_names: bool = True) -> DataFrame:
@@ -167,16 +197,23 @@ def shuffle_into_bins(cells: DataFrame, bin_size: int, seed: int, total: int, sh
 def extract_randomized(cells: DataFrame, counts: DataFrame, features: DataFrame, output: str, bin_size: int,
                        seed: int, filters: Mapping | None = None, obs_columns: list[str] | None = None,
                        feature_column: str | None = None, feature_values: list[str] | None = None,
+                       feature_columns: list[str] | None = None, bins: tuple[int, int] | None = None,
                        shuffle_names: bool = True) -> DataFrame:
-    """Randomly composed bins in one job; the shuffle takes the place of temporary range files."""
+    """Randomly composed bins in one job; the shuffle takes the place of temporary range files.
+
+    ``bins`` limits the run to the output bins ``[start, end)``.
+    """
     from binwright.plans.curriculum import count_selected
 
     found = where(cells, filters)
     binned = shuffle_into_bins(found, bin_size, seed, count_selected(found, filters), shuffle_names)
+    binned = _bin_slice(binned, bins)
     kept = keep_existing(binned, None if obs_columns is None else [*obs_columns, "extract_bin", "shuffle_key"])
     axis = requested_axis(features, feature_column, feature_values)
-    write_bins(blocks_of_bins(kept, counts, axis, ["shuffle_key", "id"]), output, placed=True)
-    return cells.sparkSession.read.parquet(output)
+    return _write(
+        blocks_of_bins(kept, counts, axis, ["shuffle_key", "id"]),
+        requested_features(features, axis, feature_columns), output,
+    )
 
 
 def union_pieces(pieces: list[DataFrame]) -> DataFrame:
