@@ -21,7 +21,14 @@ from binwright.operators.projection import (
 )
 from binwright.operators.ranks import bin_names, random_bins
 from binwright.plans.prepare import check_feature_ids
-from binwright.sources.sinks import EXTRACT_METADATA, PARTITION_BINS, PARTITION_SIZE, read_binned, write_bins
+from binwright.sources.sinks import (
+    EXTRACT_METADATA,
+    PACKED_COUNTS,
+    PARTITION_BINS,
+    PARTITION_SIZE,
+    read_binned,
+    write_bins,
+)
 
 
 def drop_all_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -107,7 +114,8 @@ def extract_bins(spark: SparkSession, path: str, output: str, start_bin: int | N
     """Writes the bins of a prepared extract, all of them unless a range is given; returns a reader."""
     metadata = spark.read.schema(EXTRACT_METADATA).json(f"{path}/metadata")
     n_features = check_feature_ids(read_binned(spark, f"{path}/feature_info"))
-    cells, packed = (read_binned(spark, f"{path}/{name}") for name in ("cell_info", "count_matrix"))
+    cells = read_binned(spark, f"{path}/cell_info")
+    packed = read_binned(spark, f"{path}/count_matrix", PACKED_COUNTS)
     if start_bin is not None or end_bin is not None:
         low = start_bin or 0
         high = metadata.first()["total_bins"] - 1 if end_bin is None else end_bin

@@ -120,7 +120,7 @@ def prepare_extract(tables: Mapping[str, DataFrame], wanted: DataFrame, path: st
 
     binned = bin_cells(select_cells(tables["cell_info"], tables["ingest_info"], spec), spec)
     write_binned(binned, f"{path}/cell_info", spec.partition_bins, spec.partition_size, then=("shuffle_key", "id"))
-    cells = read_binned(spark, f"{path}/cell_info")
+    cells = read_binned(spark, f"{path}/cell_info", binned.schema)
     if cells.isEmpty():
         raise EmptySelectionError("no cells match the filters")
 

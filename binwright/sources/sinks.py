@@ -38,9 +38,21 @@ def write_binned(df: DataFrame, path: str, partition_bins: int = PARTITION_BINS,
     )
 
 
+# Packed counts of an extract.
+PACKED_COUNTS = T.StructType([
+    T.StructField("extract_bin", T.LongType()),
+    T.StructField("cell_id", T.LongType()),
+    T.StructField("feature_data", T.ArrayType(T.StructType([
+        T.StructField("feature_id", T.LongType()), T.StructField("raw_counts", T.LongType()),
+    ]))),
+])
+
+
 def read_binned(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(path)
+    """A table of ``write_binned``; give ``schema`` where the table may hold no rows."""
+    if schema is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("bin_bucket", T.LongType())])).parquet(path)
 
 
 def write_bins(blocks: DataFrame, path: str, bin_column: str = "extract_bin", order: str = "row_num",
