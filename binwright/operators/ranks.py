@@ -20,8 +20,11 @@ MAX_VALUE_BUCKETS = 4096
 
 
 def hash_bucket(hashed: Column, buckets: int) -> Column:
-    """Even buckets of a 60-bit hash, in hash order. ``buckets`` is a power of two."""
-    return F.shiftright(hashed, HASH_BITS - (buckets.bit_length() - 1)).cast("int")
+    """Even buckets of a 60-bit hash, in hash order. ``buckets`` is a power of two.
+
+    Never NULL, so joins on it add no filter that would compute the hash once more.
+    """
+    return F.coalesce(F.shiftright(hashed, HASH_BITS - (buckets.bit_length() - 1)).cast("int"), F.lit(0))
 
 
 def with_value_bucket(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
@@ -35,7 +38,7 @@ def with_value_bucket(df: DataFrame, column: str, buckets: int | None = None) ->
     bounds = sorted(set(df.approxQuantile(column, steps, 1 / (4 * buckets)))) or [0.0]
     splits = [float("-inf"), *bounds, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=column, outputCol="_bucket", handleInvalid="keep")
-    return cut.transform(df).withColumn("_bucket", F.col("_bucket").cast("int"))
+    return cut.transform(df).withColumn("_bucket", F.coalesce(F.col("_bucket").cast("int"), F.lit(0)))
 
 
 def _rank_in_buckets(bucketed: DataFrame, order: list[str], out: str) -> DataFrame:

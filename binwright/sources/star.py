@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FILES = 25
+
+
 class StarTables:
     """Lazy views over a folder of Parquet tables; nothing is read before an action."""
 
@@ -80,32 +83,36 @@ class StarTables:
 
     @property
     def batch(self):
-        """The cells as input files, one per ingest, with positions instead of ids.
+        """The cells as 25 input files with positions instead of ids.
 
-        A file measures the features its cells have counts for; every tenth count is stored as zero.
+        Cell ``n`` is row ``n div 25`` of file ``n % 25``. A file measures all features but every
+        25th, beginning with the one of its own number, so positions shift from file to file. Every
+        tenth count is stored as zero.
         """
-        from binwright.operators.ranks import rank_in_groups, with_value_bucket
         from binwright.plans.ingest import Batch
-        from binwright.session import freeze
-
-        file = F.concat(F.lit("file_"), F.lpad(F.col("ingest_id").cast("string"), 3, "0"))
-        cells = with_value_bucket(self.cells.withColumn("file", file), "id")
-        obs = rank_in_groups(cells, ["file"], ["id"], "_rank").withColumn("row_pos", F.col("_rank") - 1)
-        obs = freeze(obs.drop("_rank"))
-        pairs = freeze(self.counts.join(obs.select("file", "row_pos", F.col("id").alias("cell_id")), "cell_id"))
-        measured = with_value_bucket(pairs.select("file", "feature_id").distinct(), "feature_id")
-        numbered = rank_in_groups(measured, ["file"], ["feature_id"], "_rank").select(
-            "file", "feature_id", (F.col("_rank") - 1).alias("col_pos")
+
+        def file_name(number):
+            return F.concat(F.lit("file_"), F.lpad(number.cast("string"), 3, "0"))
+
+        def column(feature, number):
+            skipped = F.call_function("div", feature + 24 - number, F.lit(FILES))
+            return (feature - skipped).cast("bigint")
+
+        number = F.col("id") % FILES
+        obs = self.cells.select(
+            file_name(number).alias("file"), F.call_function("div", F.col("id"), F.lit(FILES)).alias("row_pos"),
+            F.col("original_id").alias("obs_id"), F.col("donor_id").alias("donor"), "cell_type", "tissue", "score",
         )
-        numbered = freeze(numbered)
-        described = self.features.select(F.col("id").alias("feature_id"), "ensemble_id", "symbol", "biotype")
-        var = numbered.join(described, "feature_id").select(
-            "file", "col_pos", F.col("ensemble_id").alias("var_id"), "symbol", "biotype"
+        measured = self.features.withColumn("_file", F.explode(F.sequence(F.lit(0), F.lit(FILES - 1))))
+        measured = measured.filter(F.col("id") % FILES != F.col("_file"))
+        var = measured.select(
+            file_name(F.col("_file")).alias("file"), column(F.col("id"), F.col("_file")).alias("col_pos"),
+            F.col("ensemble_id").alias("var_id"), "symbol", "biotype",
         )
+        cell, feature = F.col("cell_id"), F.col("feature_id")
         value = F.when(F.col("raw_count") % 10 == 0, 0).otherwise(F.col("raw_count")).cast("double")
-        x = pairs.join(numbered, ["file", "feature_id"]).select("file", "row_pos", "col_pos", value.alias("value"))
-        return Batch(
-            obs.select("file", "row_pos", F.col("original_id").alias("obs_id"), F.col("donor_id").alias("donor"),
-                       "cell_type", "tissue", "score"),
-            var, x,
+        x = self.counts.filter(feature % FILES != cell % FILES).select(
+            file_name(cell % FILES).alias("file"), F.call_function("div", cell, F.lit(FILES)).alias("row_pos"),
+            column(feature, cell % FILES).alias("col_pos"), value.alias("value"),
         )
+        return Batch(obs, var, x)

@@ -88,13 +88,12 @@ def reserved(t):
 @query("J2_isolated_faults", """
 SELECT ingest_id, count(*) AS n_cells, min(original_id) AS first_label FROM (
   SELECT dense_rank() OVER (ORDER BY file) - 1 AS ingest_id, obs_id AS original_id FROM file_obs
-  WHERE file NOT IN (SELECT file FROM file_var WHERE col_pos = 0 AND source_id % 2 = 0)) GROUP BY ingest_id""",
-       ("file_obs", "file_var"))
+  WHERE substr(file, 6)::INTEGER % 3 <> 0) GROUP BY ingest_id""", ("file_obs",))
 def isolated(t):
     warehouse = scratch_path(t.spark, "warehouse")
     batch = _batch(t)
-    even = F.substring("var_id", 5, 20).cast("bigint") % 2 == 0
-    var = batch.var.withColumn("reference", F.when(~((F.col("col_pos") == 0) & even), F.col("reference")))
+    third = F.substring("file", 6, 9).cast("int") % 3 == 0
+    var = batch.var.withColumn("reference", F.when(~((F.col("col_pos") == 7) & third), F.col("reference")))
     try:
         ingest_batch(t.spark, warehouse, Batch(batch.obs, var, batch.x, batch.uns), _OBS_MAP, _VAR_MAP, partial=True)
     except IngestError:
@@ -134,11 +133,8 @@ def partitioned(t):
 SELECT file, (row_number() OVER (ORDER BY file) - 1) // 10 AS partition_index FROM (SELECT DISTINCT file FROM file_obs)""",
        ("file_obs",))
 def ingest_plan(t):
-    names = t.cells.select("ingest_id").distinct()
-    files = rank_by_value(names, "ingest_id", "_rank").select(
-        F.concat(F.lit("file_"), F.lpad(F.col("ingest_id").cast("string"), 3, "0")).alias("file"),
-        (F.col("_rank") - 1).alias("position"),
-    )
+    names = t.batch.obs.select("file").distinct().withColumn("n", F.substring("file", 6, 9).cast("bigint"))
+    files = rank_by_value(names, "n", "_rank").select("file", (F.col("_rank") - 1).alias("position"))
     planned, _ = plan_partitions(files, files.count(), batch_size=10)
     return planned.select("file", "partition_index")
 

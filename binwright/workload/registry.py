@@ -50,18 +50,17 @@ VIEWS = {
     FROM counts c JOIN features f ON c.feature_id = f.id JOIN wanted_features w ON f.ensemble_id = w.ensemble_id
     JOIN random_binned b ON c.cell_id = b.id""",
     "file_obs": """
-    SELECT 'file_' || lpad(ingest_id::VARCHAR, 3, '0') AS file,
-           row_number() OVER (PARTITION BY ingest_id ORDER BY id) - 1 AS row_pos, original_id AS obs_id, id AS source_id,
+    SELECT 'file_' || lpad((id % 25)::VARCHAR, 3, '0') AS file, id // 25 AS row_pos, original_id AS obs_id, id AS source_id,
            donor_id AS donor, cell_type, tissue, score FROM cells""",
-    "file_pairs": """
-    SELECT o.file, o.row_pos, c.feature_id, c.raw_count FROM counts c JOIN file_obs o ON c.cell_id = o.source_id""",
     "file_var": """
-    SELECT p.file, row_number() OVER (PARTITION BY p.file ORDER BY p.feature_id) - 1 AS col_pos,
-           f.ensemble_id AS var_id, f.symbol, f.biotype, f.id AS source_id
-    FROM (SELECT DISTINCT file, feature_id FROM file_pairs) p JOIN features f ON p.feature_id = f.id""",
+    SELECT 'file_' || lpad(k::VARCHAR, 3, '0') AS file, id - (id + 24 - k) // 25 AS col_pos, ensemble_id AS var_id,
+           symbol, biotype, id AS source_id
+    FROM features, (SELECT unnest(range(25)) AS k) WHERE id % 25 <> k""",
     "file_x": """
-    SELECT p.file, p.row_pos, v.col_pos, CASE WHEN p.raw_count % 10 = 0 THEN 0 ELSE p.raw_count END::DOUBLE AS value
-    FROM file_pairs p JOIN file_var v ON p.file = v.file AND p.feature_id = v.source_id""",
+    SELECT 'file_' || lpad((cell_id % 25)::VARCHAR, 3, '0') AS file, cell_id // 25 AS row_pos,
+           feature_id - (feature_id + 24 - cell_id % 25) // 25 AS col_pos,
+           CASE WHEN raw_count % 10 = 0 THEN 0 ELSE raw_count END::DOUBLE AS value
+    FROM counts WHERE feature_id % 25 <> cell_id % 25""",
     "blocks": """
     SELECT file, row_number() OVER (ORDER BY file) - 1 AS ingest_id, n_obs, n_vars,
            coalesce(sum(n_obs) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cell_start,
@@ -85,8 +84,8 @@ def hash_sql(expression: str, seed: int = 0) -> str:
 
 
 def with_views(body: str, views: tuple[str, ...]) -> str:
-    """``body`` behind the listed views and the views they use."""
-    needed, pending = set(), list(views)
+    """``body`` behind the views it names, the listed ones and the views those use."""
+    needed, pending = set(), [*views, *(v for v in re.findall(r"\w+", body) if v in VIEWS)]
     while pending:
         name = pending.pop()
         if name not in needed:
