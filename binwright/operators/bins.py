@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,26 +13,27 @@ from binwright.operators.ranks import (
     hash_bucket,
     rank_in_groups,
     running_sum,
+    split_hot_groups,
     with_shuffle_key,
     with_value_bucket,
 )
-from binwright.session import default_buckets, freeze
+from binwright.session import default_buckets
 
 CATEGORY_KEY = "extract_bin_category_key"
 
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Adds a NULL-free copy ``_key`` of the key, which sorts NULL first, and a hash ``_bucket``."""
-    buckets = default_buckets(df.sparkSession)
-    return df.withColumns({
-        "_key": F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit("")),
-        "_bucket": hash_bucket(F.col("shuffle_key"), buckets),
-    })
+def _with_key(df: DataFrame, key: str) -> DataFrame:
+    """Adds a NULL-free copy ``_key`` of the key, which sorts NULL first."""
+    return df.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit("")))
+
+
+def _by_hash(df: DataFrame) -> DataFrame:
+    return df.withColumn("_bucket", hash_bucket(F.col("shuffle_key"), default_buckets(df.sparkSession)))
 
 
 def rank_in_category(df: DataFrame, key: str = CATEGORY_KEY, out: str = "rn") -> DataFrame:
     """1-based rank by ``(shuffle_key, id)`` inside each category; all NULL keys are one category."""
-    return rank_in_groups(_bucketed(df, key), ["_key"], ["shuffle_key", "id"], out).drop("_key")
+    return rank_in_groups(_with_key(df, key), ["_key"], ["shuffle_key", "id"], out, _by_hash).drop("_key")
 
 
 def chunk_in_category(df: DataFrame, bin_size: int, key: str = CATEGORY_KEY) -> DataFrame:
@@ -38,31 +41,26 @@ def chunk_in_category(df: DataFrame, bin_size: int, key: str = CATEGORY_KEY) ->
     return rank_in_category(df, key).withColumn("chunk_index", chunk_of(F.col("rn"), bin_size))
 
 
-def _dense_bins(bucketed: DataFrame, keys: list[str], order: list[str], bin_size: int, out: str) -> DataFrame:
+def _dense_bins(df: DataFrame, keys: list[str], order: list[str], bin_size: int, out: str,
+                bucketize: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Bin number of every row: bins of all smaller keys, plus the row's chunk inside its key.
 
-    Counts per (keys, bucket) come from one map-side combined pass and are frozen, because both the
-    offsets inside a key and the bins before it are derived from them. Rows are shuffled once, on
-    (keys, bucket): the join of the offsets and the window share that partitioning.
+    Rows are shuffled once: the table of first bins (and offsets of split groups) and the window
+    share one partitioning on (keys, bucket), or on the keys alone when no group had to be split.
     """
     if bin_size <= 0:
         raise ValueError(f"bin size must be positive, got {bin_size}")
-    counts = freeze(bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
-
-    per_key = counts.groupBy(*keys).agg(F.sum("_n").alias("_n")).select(
-        *keys, F.ceil(F.col("_n") / F.lit(bin_size)).cast("bigint").alias("_bins")
-    )
-    first_bin = running_sum(per_key, keys, {"_first_bin": "_bins"}).drop("_bins")
-
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    ).join(first_bin, keys)
-
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    groups = split_hot_groups(df, keys, bucketize)
+    bins = F.ceil(F.col("_n") / F.lit(bin_size)).cast("bigint")
+    first_bin = running_sum(groups.sizes.select(*keys, bins.alias("_bins")), keys, {"_first_bin": "_bins"}).drop("_bins")
+    if groups.offsets is None:
+        on, starts = keys, first_bin.withColumn("_offset", F.lit(0))
+    else:
+        on, starts = [*keys, "_bucket"], groups.offsets.join(first_bin, keys)
+    inside = F.row_number().over(Window.partitionBy(*on).orderBy(*order)).cast("bigint")
     return (
-        bucketed.join(offsets, [*keys, "_bucket"])
-        .withColumn("_rn", F.col("_offset") + F.row_number().over(inside))
+        groups.rows.join(starts, on)
+        .withColumn("_rn", F.col("_offset") + inside)
         .withColumn(out, F.col("_first_bin") + chunk_of(F.col("_rn"), bin_size))
         .drop("_bucket", "_offset", "_first_bin", "_rn")
     )
@@ -70,7 +68,7 @@ def _dense_bins(bucketed: DataFrame, keys: list[str], order: list[str], bin_size
 
 def category_bins(df: DataFrame, bin_size: int, key: str = CATEGORY_KEY, out: str = "extract_bin") -> DataFrame:
     """Dense bin numbers over (category, chunk) in key order, NULL keys first."""
-    return _dense_bins(_bucketed(df, key), ["_key"], ["shuffle_key", "id"], bin_size, out).drop("_key")
+    return _dense_bins(_with_key(df, key), ["_key"], ["shuffle_key", "id"], bin_size, out, _by_hash).drop("_key")
 
 
 def keyed_bins(df: DataFrame, keys: list[str], bin_size: int, seed: int = 0) -> DataFrame:
@@ -82,7 +80,7 @@ def keyed_bins(df: DataFrame, keys: list[str], bin_size: int, seed: int = 0) ->
 def chunks_in_groups(df: DataFrame, keys: list[str], bin_size: int, id_column: str = "id") -> DataFrame:
     """Ids of each group in order, cut every ``bin_size``: adds ``chunk``. Rows with a NULL key go."""
     present = df.dropna(subset=keys)
-    ranked = rank_in_groups(with_value_bucket(present, id_column), keys, [id_column], "_rn")
+    ranked = rank_in_groups(present, keys, [id_column], "_rn", lambda d: with_value_bucket(d, id_column))
     return ranked.withColumn("chunk", chunk_of(F.col("_rn"), bin_size)).drop("_rn")
 
 
@@ -90,4 +88,4 @@ def grouped_bins(df: DataFrame, keys: list[str], bin_size: int, id_column: str =
                  out: str = "extract_bin") -> DataFrame:
     """Bins of one group each, ids in order, numbered in key order. Rows with a NULL key go."""
     present = df.dropna(subset=keys)
-    return _dense_bins(with_value_bucket(present, id_column), keys, [id_column], bin_size, out)
+    return _dense_bins(present, keys, [id_column], bin_size, out, lambda d: with_value_bucket(d, id_column))

@@ -8,15 +8,21 @@ are taken by a window partitioned on it. Results do not depend on the number of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binwright.functions import shuffle_hash
 from binwright.functions.columns import HASH_BITS
+from binwright.operators.dims import BROADCAST_ROWS, join_dimension
 from binwright.session import default_buckets, freeze
 
 MAX_VALUE_BUCKETS = 4096
+# A group of at most this many rows is sorted by one task; a larger one is split.
+HOT_GROUP_ROWS = 1_000_000
 
 
 def hash_bucket(hashed: Column, buckets: int) -> Column:
@@ -69,24 +75,55 @@ def rank_by_value(df: DataFrame, column: str = "id", out: str = "rank", buckets:
     return _rank_in_buckets(with_value_bucket(df, column, buckets), [column], out)
 
 
-def rank_in_groups(bucketed: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """1-based rank inside each group of NULL-free keys; ``_bucket`` splits a group of any size.
+class SplitGroups(NamedTuple):
+    """Rows with a ``_bucket``, rows per group as ``_n``, and ranks before each (group, bucket).
 
-    Counts per (group, bucket) are combined map-side. The offsets and the window share one
-    partitioning on (group, bucket), so the rows move once and a hot group fills many tasks.
+    ``offsets`` is None when no group had to be split; then every ``_bucket`` is 0.
     """
+
+    rows: DataFrame
+    sizes: DataFrame
+    offsets: DataFrame | None
+
+
+def split_hot_groups(df: DataFrame, keys: list[str], bucketize: Callable[[DataFrame], DataFrame]) -> SplitGroups:
+    """Splits groups of more than ``HOT_GROUP_ROWS`` rows into ordered buckets; others stay whole.
+
+    Keys hold no NULL. Group sizes come from one map-side combined pass and are frozen. Hot groups
+    are few by definition, at most one per ``HOT_GROUP_ROWS`` rows, so only their buckets are
+    counted and the offset table stays near one row per group however many groups there are.
+    """
+    sizes = freeze(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    hot = sizes.filter(F.col("_n") > HOT_GROUP_ROWS).select(*keys, F.lit(True).alias("_hot"))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return SplitGroups(df.withColumn("_bucket", F.lit(0)), sizes, None)
+    marked = bucketize(join_dimension(df, hot, keys, "left", fits=n_hot <= BROADCAST_ROWS))
+    rows = marked.withColumn("_bucket", F.when(F.col("_hot"), F.col("_bucket")).otherwise(F.lit(0)))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+    split = (
+        rows.filter(F.col("_hot")).groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        bucketed.join(offsets, [*keys, "_bucket"])
-        .withColumn(out, F.col("_offset") + F.row_number().over(inside))
-        .drop("_bucket", "_offset")
+    whole = sizes.filter(F.col("_n") <= HOT_GROUP_ROWS).select(
+        *keys, F.lit(0).alias("_bucket"), F.lit(0).cast("bigint").alias("_offset")
     )
+    return SplitGroups(rows.drop("_hot"), sizes, split.unionByName(whole))
+
+
+def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], out: str,
+                   bucketize: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """1-based rank inside each group of NULL-free keys, whatever its size.
+
+    The offsets and the window share one partitioning on (group, bucket), so rows move once and a
+    hot group fills many tasks.
+    """
+    groups = split_hot_groups(df, keys, bucketize)
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)).cast("bigint")
+    if groups.offsets is None:
+        return groups.rows.withColumn(out, inside).drop("_bucket")
+    joined = groups.rows.join(groups.offsets, [*keys, "_bucket"])
+    return joined.withColumn(out, F.col("_offset") + inside).drop("_bucket", "_offset")
 
 
 def running_sum(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:

@@ -58,11 +58,12 @@ def freeze(df: DataFrame) -> DataFrame:
 
 
 def default_buckets(spark: SparkSession) -> int:
-    """Buckets for distributed ranks: a power of two, about four per shuffle partition.
+    """Buckets for distributed ranks: a power of two, about 16 per shuffle partition.
 
-    Results never depend on it. The cap keeps every per-bucket table small enough to broadcast.
+    Several buckets per task even out how they hash onto tasks. Results never depend on the number;
+    the cap keeps every per-bucket table small enough to broadcast.
     """
-    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 64
     while buckets < wanted and buckets < 65536:
         buckets *= 2

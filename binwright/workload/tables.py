@@ -127,10 +127,17 @@ def metadata_document(t):
     return exploded.select(*exploded.columns[:5], F.explode("values").alias("value"))
 
 
-@query("A9_file_size_gate")
+@query("A9_file_size_gate", """
+SELECT 'bucket=' || (cell_id % 20)::VARCHAR AS file, sum(length(line) + 1)::BIGINT AS n_bytes, sum(length(line) + 1) <= 40000 AS is_valid
+FROM (SELECT cell_id, cell_id::VARCHAR || ',' || feature_id::VARCHAR || ',' || raw_count::VARCHAR AS line FROM counts)
+GROUP BY cell_id % 20""", ("counts",))
 def file_size_gate(t):
-    sizes = file_sizes(t.spark, f"{t.folder}/*.parquet", limit=1_000_000)
-    return sizes.withColumn("file", F.substring_index("file", "/", -1))
+    path = scratch_path(t.spark, "files")
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("cell_id", "feature_id", "raw_count")])
+    lines = t.counts.select(line.alias("value"), (F.col("cell_id") % 20).alias("bucket"))
+    lines.repartition("bucket").write.partitionBy("bucket").text(path)
+    sizes = file_sizes(t.spark, f"{path}/*/part-*", limit=40_000)
+    return sizes.withColumn("file", F.regexp_extract("file", "bucket=[0-9]+", 0))
 
 
 @query("A10_report_export", "SELECT id::VARCHAR AS id, cell_type, tissue FROM cells", ("cells",))

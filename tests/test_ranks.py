@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binwright.errors import EmptySelectionError
-from binwright.operators import dims
+from binwright.operators import dims, ranks
 from binwright.operators.bins import chunks_in_groups, grouped_bins, keyed_bins
 from binwright.operators.dims import join_dimension
 from binwright.operators.ranks import (
@@ -61,7 +61,9 @@ def test_seed_changes_bins(skewed):
     assert rows(random_bins(skewed, 300, 1), "id", "extract_bin") != rows(random_bins(skewed, 300, 2), "id", "extract_bin")
 
 
-def test_keyed_bins_match_brute_force(skewed):
+@pytest.mark.parametrize("hot_rows", [100, 1_000_000])
+def test_keyed_bins_match_brute_force(skewed, monkeypatch, hot_rows):
+    monkeypatch.setattr(ranks, "HOT_GROUP_ROWS", hot_rows)
     by_key = {}
     for r in skewed.collect():
         by_key.setdefault(r["key"], []).append(r["id"])
@@ -74,7 +76,9 @@ def test_keyed_bins_match_brute_force(skewed):
     assert {r["id"]: r["extract_bin"] for r in keyed_bins(skewed, ["key"], 70, seed=9).collect()} == expected
 
 
-def test_grouped_bins_follow_ids(skewed):
+@pytest.mark.parametrize("hot_rows", [100, 1_000_000])
+def test_grouped_bins_follow_ids(skewed, monkeypatch, hot_rows):
+    monkeypatch.setattr(ranks, "HOT_GROUP_ROWS", hot_rows)
     by_key = {}
     for r in skewed.collect():
         if r["key"] is not None:
@@ -89,6 +93,14 @@ def test_grouped_bins_follow_ids(skewed):
     assert chunks.filter("count > 64").count() == 0
 
 
+def test_hot_group_is_split(skewed, monkeypatch):
+    monkeypatch.setattr(ranks, "HOT_GROUP_ROWS", 100)
+    split = ranks.split_hot_groups(skewed.dropna(), ["key"], lambda d: ranks.with_value_bucket(d, "id", 16))
+    buckets = dict(rows(split.rows.groupBy("key").agg(F.count_distinct("_bucket").alias("n"))))
+    assert buckets.pop("hot") == 16 and set(buckets.values()) == {1}
+    assert split.offsets.count() == 16 + len(buckets)
+
+
 def test_rank_by_value_with_outliers(spark):
     ids = [*range(1000), 10**15, 10**18]
     df = spark.createDataFrame([(i,) for i in ids], "id bigint")
