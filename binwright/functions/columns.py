@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASH_BITS = 60
+# Separators of joined keys, fills of missing text, size limit and note of metadata.
 KEY_DELIMITER = "##"
 LABEL_DELIMITER = "||"
 STRING_NULL_FILL = "unknown"
 METADATA_VALUE_LIMIT = 2**20
+OVERSIZED_NOTE = "Value was removed due to large size: "
 
 
 def shuffle_hash(value: Column, seed: int = 0) -> Column:
@@ -69,7 +71,7 @@ def prune_metadata(metadata: Column, limit: int = METADATA_VALUE_LIMIT, keep: li
 
     def shorten(_key, value):
         size = F.octet_length(value)
-        note = F.concat(F.lit("Value was removed due to large size: "), size.cast("string"), F.lit(" bytes."))
+        note = F.concat(F.lit(OVERSIZED_NOTE), size.cast("string"), F.lit(" bytes."))
         return F.when(size > limit, note).otherwise(value)
 
     pruned = F.transform_values(metadata, shorten)

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binwright.errors import DataValidationError
-from binwright.operators.dims import join_dimension
+from binwright.operators.dims import BROADCAST_ROWS, join_dimension
 from binwright.schemas import DTYPES
+from binwright.session import freeze
 
+# Limits and tolerances of the matrix checks, examples shown, report messages.
 INT32_MIN, INT32_MAX = -(2**31), 2**31 - 1
 RELATIVE_TOLERANCE, ABSOLUTE_TOLERANCE = 1e-5, 1e-8
 SUM_TOLERANCE = 0.01
 EXAMPLES = 5
+TOO_LARGE = "File size is too large."
 
 # The checks of each matrix profile.
 MATRIX_PROFILES = {
@@ -139,14 +142,22 @@ def matrix_faults(x: DataFrame | None, shapes: DataFrame, profile: str) -> DataF
             F.lit(1).cast("bigint").alias("n"), F.lit(None).cast("string").alias("sample"),
         )
     wanted = MATRIX_PROFILES[profile]
-    counted = matrix_profile(x, shapes).unpivot("file", wanted, "check", "n").filter(F.col("n") > 0)
-    samples = offending_values(x, shapes, wanted).groupBy("file", "check").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "value"))), lambda e: e["value"]), ", ")
-        .alias("sample")
-    )
-    return counted.join(samples, ["file", "check"], "left").select(
+    profiled = freeze(matrix_profile(x, shapes))
+    counted = profiled.unpivot("file", wanted, "check", "n").filter(F.col("n") > 0)
+    faulty = counted.select("file").distinct()
+    n_faulty = faulty.count()
+    no_sample = F.lit(None).cast("string").alias("sample")
+    if n_faulty:
+        # Only files with a fault are read once more for examples; clean input costs one pass.
+        suspects = join_dimension(x, faulty, "file", "left_semi", salt_on=["row_pos", "col_pos"], fits=n_faulty <= BROADCAST_ROWS)
+        samples = offending_values(suspects, shapes, wanted).groupBy("file", "check").agg(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "value"))), lambda e: e["value"]), ", ")
+            .alias("sample")
+        )
+        counted, no_sample = counted.join(samples, ["file", "check"], "left"), F.col("sample")
+    return counted.select(
         "file", F.concat(F.lit("X: "), "check").alias("check"), F.lit(None).cast("string").alias("column_name"),
-        "n", "sample",
+        "n", no_sample,
     )
 
 
@@ -250,7 +261,7 @@ def validation_report(tables: Mapping[str, DataFrame], sizes: DataFrame,
     """
     report = sizes.select(
         "file", F.lit("file_size").alias("validator"), "is_valid",
-        F.when(~F.col("is_valid"), F.lit("File size is too large.")).alias("message"),
+        F.when(~F.col("is_valid"), F.lit(TOO_LARGE)).alias("message"),
     )
     passed = sizes.filter("is_valid").select("file")
     kept = {

@@ -21,6 +21,7 @@ from binwright.operators.projection import (
 )
 from binwright.operators.ranks import bin_names, random_bins
 from binwright.plans.prepare import check_feature_ids
+from binwright.session import freeze
 from binwright.sources.sinks import (
     EXTRACT_METADATA,
     PACKED_COUNTS,
@@ -152,9 +153,10 @@ def requested_features(features: DataFrame, axis: DataFrame, columns: list[str]
 def requested_axis(features: DataFrame, column: str | None, values: list[str] | None) -> DataFrame:
     """``(feature_id, col_num)``: requested features in request order, else all by id."""
     if column and values:
-        chosen = ordered_feature_subset(features, column, values)
-        return feature_axis(chosen, "position").select(F.col("id").alias("feature_id"), "col_num")
-    return feature_axis(features.select("id")).select(F.col("id").alias("feature_id"), "col_num")
+        axis = feature_axis(ordered_feature_subset(features, column, values), "position")
+    else:
+        axis = feature_axis(features.select("id"))
+    return freeze(axis.select(F.col("id").alias("feature_id"), "col_num"))
 
 
 def blocks_of_bins(binned: DataFrame, counts: DataFrame, axis: DataFrame, order: list[str]) -> DataFrame:

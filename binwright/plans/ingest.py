@@ -256,7 +256,7 @@ def batch_faults(batch: Batch, schema: ArraySchema) -> DataFrame:
     """All faults of a batch against a declared schema."""
     var = batch.var.withColumnRenamed("var_id", "feature_name")
     return collected_faults(
-        batch.obs, batch.x, var, batch.shapes, schema.obs_columns, schema.features, schema.profile, schema.is_subset
+        batch.obs, batch.x, var, freeze(batch.shapes), schema.obs_columns, schema.features, schema.profile, schema.is_subset
     )
 
 

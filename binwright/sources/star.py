@@ -10,7 +10,7 @@ FILES = 25
 
 
 class StarTables:
-    """Lazy views over a folder of Parquet tables; nothing is read before an action."""
+    """Views over a folder of Parquet tables; only the requested feature axis is computed at once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -62,9 +62,10 @@ class StarTables:
     def wanted_features(self) -> DataFrame:
         """The requested feature axis, numbered from 0 in id order."""
         from binwright.operators.ranks import rank_by_value
+        from binwright.session import freeze
 
         chosen = rank_by_value(self.features.filter("size <= 10"), "id", "_rank")
-        return chosen.select((F.col("_rank") - 1).alias("id"), "symbol", "ensemble_id")
+        return freeze(chosen.select((F.col("_rank") - 1).alias("id"), "symbol", "ensemble_id"))
 
     @property
     def counts(self) -> DataFrame:

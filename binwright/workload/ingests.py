@@ -119,9 +119,9 @@ def partitioned(t):
     names = batch.obs.select("file").distinct().withColumn("n", F.substring("file", 6, 9).cast("bigint"))
     files = rank_by_value(names, "n", "_rank").select("file", (F.col("_rank") - 1).alias("position"))
     total = files.count()
-    planned, totals = plan_partitions(files, total, batch_size=10)
+    planned, totals = plan_partitions(files, total, batch_size=13)
     for index in range(totals["num_partitions"]):
-        part = batch.only(partition_files(planned, total, index, 10))
+        part = batch.only(partition_files(planned, total, index, 13))
         ingest_partition(t.spark, store, part, schema, index)
     stored = read_store(t.spark, store, schema)
     cells = stored["obs"].withColumnRenamed("id", "cell_id")
