@@ -117,15 +117,15 @@ def extract_bins(spark: SparkSession, path: str, output: str, start_bin: int | N
     n_features = check_feature_ids(read_binned(spark, f"{path}/feature_info"))
     cells = read_binned(spark, f"{path}/cell_info")
     packed = read_binned(spark, f"{path}/count_matrix", PACKED_COUNTS)
+    fixed = ["extract_bin", "id", "ingest_id", "shuffle_key"]
+    described = [c for c in cells.columns if c not in (*fixed, "bin_bucket")]
+    wanted = described if obs_columns is None else [c for c in obs_columns if c in described]
+    # Decided on the whole extract, so that bins written by different runs have the same columns.
+    cells = drop_all_null(cells.select(*fixed, *wanted, "bin_bucket"), wanted)
     if start_bin is not None or end_bin is not None:
         low = start_bin or 0
         high = metadata.first()["total_bins"] - 1 if end_bin is None else end_bin
         cells, packed = (read_bins(t, low, high, None, partition_bins, partition_size) for t in (cells, packed))
-
-    fixed = ["extract_bin", "id", "ingest_id", "shuffle_key"]
-    described = [c for c in cells.columns if c not in (*fixed, "bin_bucket")]
-    wanted = described if obs_columns is None else [c for c in obs_columns if c in described]
-    cells = drop_all_null(cells.select(*fixed, *wanted), wanted)
     kept = [c for c in wanted if c in cells.columns]
     categories = category_table(metadata)
     listed = {r["column_name"] for r in categories.select("column_name").distinct().collect()}
@@ -138,10 +138,13 @@ def extract_bins(spark: SparkSession, path: str, output: str, start_bin: int | N
 
 
 def _write(blocks: DataFrame, features: DataFrame, output: str) -> DataFrame:
-    """Bins below ``bins`` and their common feature axis below ``features``; reads the bins back."""
+    """Bins below ``bins`` and their common feature axis below ``features``; reads the bins back.
+
+    A range without cells gives no rows rather than an error.
+    """
     features.write.mode("overwrite").parquet(f"{output}/features")
     write_bins(blocks, f"{output}/bins", placed=True)
-    return blocks.sparkSession.read.parquet(f"{output}/bins")
+    return blocks.sparkSession.read.schema(blocks.schema).parquet(f"{output}/bins")
 
 
 def requested_features(features: DataFrame, axis: DataFrame, columns: list[str] | None = None) -> DataFrame:

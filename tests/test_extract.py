@@ -112,6 +112,7 @@ def test_prepare_and_extract_conserve_everything(spark, tables, wanted, bin_keys
     assert blocks.select("n_features").distinct().collect()[0][0] == 4
     assert len(blocks.inputFiles()) == metadata["total_bins"]
 
+    assert extract_bins(spark, path, f"{path}/none", 900, 950, partition_size=2).count() == 0
     some = extract_bins(spark, path, f"{path}/some", 2, 4, partition_size=2)
     assert rows(some.select("extract_bin").distinct()) == [(2,), (3,), (4,)]
     assert rows(some, "id", "row_num") == rows(blocks.filter("extract_bin between 2 and 4"), "id", "row_num")
