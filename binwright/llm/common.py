@@ -58,3 +58,11 @@ def ship(spark: SparkSession) -> None:
 def held_out(column: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     """True for rows of the fold that learning must not see: crc32 of the id as text, modulo ``folds``."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % folds == fold, F.lit(False))
+
+
+BROADCAST_ROWS = 1_000_000  # of narrow rows (a few numbers each)
+
+
+def joined(big: DataFrame, narrow: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join with a stored table of a few numbers per row: broadcast up to BROADCAST_ROWS, else by a shuffle."""
+    return big.join(F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow, on, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from binwright.llm import chat, exact_dedup, pieces, token_files
+from binwright.llm import chat, exact_dedup, jaccard, langid, line_dedup, pieces, pii, quality, token_files
 from binwright.llm.common import table
 
 
@@ -13,6 +13,18 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, folder, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_dedup_report(table(spark, folder, "documents"))
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_report(table(spark, folder, "documents"))
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -24,9 +36,20 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows))
 
 
+def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, folder, "documents"))
+
+
 def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.pieces_report(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_token_files, op6_chat_format, op10_pieces)}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op6_chat_format": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_line_dedup, op3_quality, op4_language, op5_token_files, op6_chat_format, op7_jaccard,
+    op8_personal_data, op10_pieces,
+)}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op6_chat_format": chat.ORACLE}
