@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from binwright.llm import chat, exact_dedup, jaccard, langid, line_dedup, pieces, pii, quality, token_files
+from binwright.llm import chat, decontaminate, exact_dedup, jaccard, langid, line_dedup, pieces, pii, quality, token_files
 from binwright.llm.common import table
 
 
@@ -44,12 +44,16 @@ def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(table(spark, folder, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.pieces_report(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_line_dedup, op3_quality, op4_language, op5_token_files, op6_chat_format, op7_jaccard,
-    op8_personal_data, op10_pieces,
+    op8_personal_data, op9_decontaminate, op10_pieces,
 )}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op6_chat_format": chat.ORACLE}
