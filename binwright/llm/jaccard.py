@@ -8,15 +8,15 @@ Two documents link when 100 * |A and B| >= 90 * |A or B|. Sets are of 64-bit has
    the amount of work: at most ``FREQUENT`` of them are named, by a threshold that is a share of all entries.
 3. The index is a list per shingle in order of (set size, position). Within a list, blocks of positions that leave
    too few shingles for the required overlap are skipped, as are sizes out of range.
-4. *Leaders first*: each entry is paired with the first entry of its list that it may link with and with the
-   one before it: two pairs an entry at most. Verified pairs give components and exact overlaps.
+4. *Neighbours first*: each entry is paired with the nearest of the ``NEAR`` entries before it that it may link with,
+   and with its list's first: two pairs an entry at most. Verified pairs give components and exact overlaps.
 5. *Answers of a similar set*: what is in one component needs no more pairs. For the rest, all pairs between
    components that the index allows are taken; a pair (x, y) is dropped if a set p that is similar to x was compared with
    y and |p and y| + |x - p| is below the required overlap. What is left is verified. So no link between components
    is lost, and components are exact.
 
-Before sets are compared, parity bitmaps are: bits that differ are at most the elements that differ.
-Full sets are made only for documents in pairs that pass.
+Pairs are made only where parity bitmaps allow a link (bits that differ are at most the elements that differ): a short
+one is in the lists, a longer one is compared before full sets are made, for the documents in pairs that pass.
 
 Defined cases: a document without words (null text too) has an empty set, is linked with nothing and is its own
 component. Rows that repeat a doc_id with different texts are different sets whose components may have one
@@ -38,7 +38,8 @@ from binwright.llm.common import id_and_text, joined, ship, stored
 
 PERCENT = 90
 SHINGLE = 3
-FREQUENT = 20_000
+FREQUENT = 100_000
+NEAR = 64
 NO_ID = -(2**63)  # stands for a null doc_id in joins
 CACHED_WORDS = 400_000  # per Python worker; emptied when full
 _WORDS: dict[bytes, int] = {}
@@ -92,6 +93,12 @@ def bitmap(values: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def short_bitmap(values: np.ndarray) -> list[int]:
+    """Parity of the elements in each of 256 bits, as four numbers."""
+    odd = np.bincount((values % np.uint64(256)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the elements that differ, from two bitmaps."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -136,7 +143,7 @@ def set_sizes(rows: DataFrame) -> DataFrame:
 
 
 def indexed_sets(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, text_key, n, digest, bitmap and the first shingles with ``frequent`` ones (sorted) last."""
+    """doc_id, text_key, n, digest, bitmaps and the first shingles with ``frequent`` ones (sorted) last."""
 
     def make(batch):
         sets = [shingles(t) for t in batch.column("text").to_pylist()]
@@ -146,70 +153,74 @@ def indexed_sets(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
             first.append(_signed(np.concatenate((s[~common], s[common]))[: prefix_length(len(s))]) if len(s) else [])
         return [
             batch.column("doc_id"), batch.column("text_key"), [len(s) for s in sets],
-            [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [bitmap(s) for s in sets], first,
+            [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [bitmap(s) for s in sets],
+            [short_bitmap(s) for s in sets], first,
         ]
 
-    return _map(rows, "doc_id long, text_key long, n long, digest binary, bits binary, first array<long>", make)
+    return _map(rows, "doc_id long, text_key long, n long, digest binary, bits binary, short array<long>, first array<long>", make)
 
 
-LISTS = "shingle long, n long, pos long, id long, leader long, before long"
+LIST = ["shingle", "n", "pos", "id"]
+BITS = ["bits_0", "bits_1", "bits_2", "bits_3"]
 
 
 def index_lists(entries: DataFrame) -> DataFrame:
-    """Entries of lists with at least two sets, each with its list's leader and the entry before, if those may link."""
-    ordered = entries.repartition("shingle").sortWithinPartitions("shingle", "n", "pos", "id")
-    names = [f.split()[0] for f in LISTS.split(", ")]
+    """The entries (shingle, n, pos, id) of lists with at least two sets."""
+    ordered = entries.select(*LIST).repartition("shingle").sortWithinPartitions(*LIST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)  # the last row, whose list may go on
-        leader = None  # of the list at the start of a batch
+        held, again = np.zeros((0, 4), np.int64), False  # the last row, and whether its list has others before it
         for batch in batches:
-            rows = np.column_stack([batch.column(c).to_numpy() for c in ("shingle", "n", "pos", "id")])
-            rows = np.vstack((held, rows))
-            out, leader = _paired(rows[:-1], rows, leader)
-            held = rows[-1:]
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays(out, names)
-        if len(held):
-            out, _ = _paired(held, held, leader)
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays(out, names)
+            rows = np.vstack((held, np.column_stack([batch.column(c).to_numpy() for c in LIST])))
+            same = rows[1:, 0] == rows[:-1, 0]
+            keep = np.append(again, same) | np.append(same, False)
+            again, held = bool(same[-1]) if len(same) else again, rows[-1:]
+            done = rows[:-1][keep[:-1]]
+            if len(done):
+                yield pa.RecordBatch.from_arrays([pa.array(done[:, c]) for c in range(4)], LIST)
+        if again:
+            yield pa.RecordBatch.from_arrays([pa.array(held[:, c]) for c in range(4)], LIST)
 
-    return ordered.mapInArrow(run, LISTS)
+    return ordered.mapInArrow(run, "shingle long, n long, pos long, id long")
 
 
-def _paired(done: np.ndarray, rows: np.ndarray, state: tuple | None) -> tuple[list[pa.Array], tuple | None]:
-    """Columns for the rows of ``done`` (a prefix of ``rows``) whose list has another entry.
+def near_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each entry with the nearest of the ``NEAR`` before it that it may link with, and with the first."""
+    ordered = lists.repartition("shingle").sortWithinPartitions(*LIST)
 
-    ``state``: the leader (shingle, n, pos, id) and the row before the first one of ``rows``.
-    """
-    k = len(done)
-    last = state[1] if state else None
-    lead, before, keep = np.full((k, 4), -1, np.int64), np.full((k, 4), -1, np.int64), np.zeros(k, bool)
-    leader = state[0] if state else None
-    if k:
-        starts = np.empty(k, bool)
-        starts[0] = last is None or last[0] != done[0, 0]
-        starts[1:] = done[1:, 0] != done[:-1, 0]
-        goes_on = np.append(rows[1:, 0] == rows[:-1, 0], False)[:k]
-        keep = ~starts | goes_on
-        before[1:], before[0] = done[:-1], done[0] if last is None else last
-        index = np.maximum.accumulate(np.where(starts, np.arange(k), -1))
-        lead = np.where((index >= 0)[:, None], done[np.maximum(index, 0)], leader if leader is not None else done[0])
-        # a leader that is too small for the rest of a list gives way to the first entry that is not
-        small = 100 * lead[:, 1] < PERCENT * done[:, 1]
-        if small.any():
-            for i in np.flatnonzero(small):
-                if 100 * lead[i, 1] < PERCENT * done[i, 1]:
-                    end = i + np.argmax(np.append(done[i:, 0] != done[i, 0], True))
-                    lead[i:end] = done[i]
-        feasible = lambda o: (o[:, 0] == done[:, 0]) & (o[:, 3] != done[:, 3]) & may_link(done[:, 1], done[:, 2], o[:, 1], o[:, 2])
-        with_leader, with_before = feasible(lead), feasible(before) & ~starts
-        state = (lead[-1], done[-1])
-    else:
-        with_leader = with_before = keep
-    masked = lambda values, ok: pa.array(values[keep], mask=~ok[keep])
-    return [*(pa.array(done[keep, c]) for c in range(4)), masked(lead[:, 3], with_leader), masked(before[:, 3], with_before)], state
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 8), np.int64)
+        for batch in batches:
+            rows = np.vstack((held, np.column_stack([batch.column(c).to_numpy() for c in LIST + BITS])))
+            start, found = len(held), []
+            waiting = np.arange(start, len(rows))
+            for back in range(1, NEAR + 1):
+                waiting = waiting[waiting >= back]
+                waiting = waiting[rows[waiting, 0] == rows[waiting - back, 0]]
+                if not len(waiting):
+                    break
+                x, y = rows[waiting], rows[waiting - back]
+                ok = _allowed(x, y)
+                found.append((x[ok, 3], y[ok, 3]))
+                waiting = waiting[~ok & (100 * y[:, 1] >= PERCENT * x[:, 1])]  # sizes ascend: before a small one, all are small
+            index = np.arange(len(rows))
+            first = np.maximum.accumulate(np.where(np.append(True, rows[1:, 0] != rows[:-1, 0]), index, 0))
+            x, y = rows[start:], rows[first[start:]]
+            ok = (first[start:] < index[start:]) & _allowed(x, y)
+            found.append((x[ok, 3], y[ok, 3]))
+            held = rows[-NEAR:]
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            low, high = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0).T if len(a) else (a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def _allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether entries of the same lists may link, by sizes, positions and short bitmaps."""
+    most = x[:, 1] + y[:, 1] - 2 * required(x[:, 1], y[:, 1])
+    differ = np.bitwise_count(x[:, 4:] ^ y[:, 4:]).sum(1, dtype=np.int64)
+    return may_link(x[:, 1], x[:, 2], y[:, 1], y[:, 2]) & (differ <= most)
 
 
 def may_link(n, i, m, j):
@@ -286,14 +297,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sized = stored(set_sizes(rows), "set_sizes")
     counts = sized.select(F.explode("first").alias("shingle")).groupBy("shingle").count()
     entries = sized.agg(F.sum(F.size("first"))).first()[0] or 0
-    often = counts.where(F.col("count") >= max(8, entries // FREQUENT)).select("shingle")  # at most FREQUENT rows
-    frequent = np.sort(np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64))
+    often = counts.where(F.col("count") >= max(4, entries // FREQUENT)).select("shingle")  # at most FREQUENT rows
+    frequent = np.sort(often.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
     sets = stored(
         indexed_sets(rows, frequent).where("n > 0").withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("digest").agg(
             F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_key", "text_key")).alias("at"), F.first("n").alias("n"),
-            F.first("bits").alias("bits"), F.first("first").alias("first"),
-        ).select("digest", "doc_id", "at.*", "n", "bits", "first", F.coalesce("doc_id", F.xxhash64("digest")).alias("id")),
+            F.first("bits").alias("bits"), F.first("short").alias("short"), F.first("first").alias("first"),
+        ).select("digest", "doc_id", "at.*", "n", "bits", "short", "first", F.coalesce("doc_id", F.xxhash64("digest")).alias("id")),
         "sets",
     )
     # Ids that several sets have (repeated or null doc_ids) are replaced by a hash of the set.
@@ -304,12 +315,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .withColumn("id", F.when(F.col("several"), F.xxhash64("digest", "id")).otherwise(F.col("id"))).drop("several"),
             "sets",
         )
-    lists = stored(index_lists(sets.select(F.posexplode("first").alias("pos", "shingle"), "n", "id").select("shingle", "n", F.col("pos").cast("long").alias("pos"), "id")), "index_lists")
+    entries = sets.select(F.posexplode("first").alias("pos", "shingle"), "n", "id").withColumn("pos", F.col("pos").cast("long"))
+    short = sets.select("id", *[F.col("short")[i].alias(c) for i, c in enumerate(BITS)])
+    lists = stored(index_lists(entries).join(short, "id").select(*LIST, *BITS), "index_lists")
     members = sets.select("id", "doc_key", "text_key")  # where the text of a set is
 
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    led = lists.select("id", F.explode(F.array("leader", "before")).alias("other")).where("other IS NOT NULL").select(*pair("id", "other")).distinct()
-    known = stored(_overlaps(stored(_passing(led, sets), "leader_pairs"), members, rows), "overlaps")
+    led = stored(near_pairs(lists), "near_pairs")
+    known = stored(_overlaps(stored(_passing(led, sets), "near_pairs"), members, rows), "overlaps")
     first = stored(components(links(known)), "components")
 
     rest = stored(_between(lists, first).join(led, ["a", "b"], "left_anti"), "other_pairs")
@@ -327,25 +339,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def _between(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """All pairs of sets in different components that share a list and may link by their positions there."""
-    entries = lists.select("shingle", "n", "pos", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = entries.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("shingle")
-    entries = stored(entries.join(mixed, "shingle", "left_semi"), "mixed_lists")
-    blocks = entries.groupBy("shingle", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    x = blocks.select("shingle", F.col("comp").alias("comp_x"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"), F.col("rest").alias("rest_x"))
-    y = blocks.select("shingle", F.col("comp").alias("comp_y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), F.col("rest").alias("rest_y"))
-    need = f"ceil({PERCENT} * (lo_x + lo_y) / {100 + PERCENT})"
-    met = x.join(y, "shingle").where(
-        f"comp_x < comp_y AND 100 * hi_x >= {PERCENT} * lo_y AND 100 * hi_y >= {PERCENT} * lo_x AND rest_x >= {need} AND rest_y >= {need}"
-    ).select("shingle", "comp_x", "comp_y")
-    left = entries.select("shingle", F.col("comp").alias("comp_x"), F.col("n").alias("n"), F.col("pos").alias("i"), F.col("id").alias("x"))
-    right = entries.select("shingle", F.col("comp").alias("comp_y"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("id").alias("y"))
-    need = f"ceil({PERCENT} * (n + m) / {100 + PERCENT})"
-    pairs = met.join(left, ["shingle", "comp_x"]).join(right, ["shingle", "comp_y"]).where(
-        f"100 * least(n, m) >= {PERCENT} * greatest(n, m) AND n - i >= {need} AND m - j >= {need}"
-    )
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("n")).otherwise(F.col("m")).alias("n_a"),
-                        F.when(F.col("x") < F.col("y"), F.col("m")).otherwise(F.col("n")).alias("n_b")).distinct()
+    """All pairs (a, b, n_a, n_b) of sets in different components that share a list and may link.
+
+    In each list the entries outside its largest component meet the others, so a component never meets itself.
+    """
+    entries = joined(lists, comps, ["id"], "left").withColumn("comp", F.coalesce("comp", "id"))
+    largest = entries.groupBy("shingle", "comp").count().groupBy("shingle").agg(
+        F.max_by("comp", "count").alias("largest"), F.count(F.lit(1)).alias("comps")
+    ).where("comps > 1").select("shingle", "largest")
+    entries = stored(entries.join(largest, "shingle"), "mixed_lists")
+    need = f"ceil({PERCENT} * (x.n + y.n) / {100 + PERCENT})"
+    differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in BITS)
+    pairs = entries.where("comp != largest").alias("x").join(entries.alias("y"), F.expr(
+        f"x.shingle = y.shingle AND x.comp != y.comp AND (y.comp = y.largest OR x.id < y.id) "
+        f"AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) AND x.n - x.pos >= {need} AND y.n - y.pos >= {need} "
+        f"AND {differ} <= x.n + y.n - 2 * {need}"
+    ))
+    first = F.col("x.id") < F.col("y.id")
+    return pairs.select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
+        F.when(first, F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"), F.when(first, F.col("y.n")).otherwise(F.col("x.n")).alias("n_b"),
+    ).distinct()
 
 
 def _derived(pairs: DataFrame, known: DataFrame) -> DataFrame:
