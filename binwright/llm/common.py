@@ -14,6 +14,8 @@ from binwright.session import scratch_path
 # Fixed value: the white space of the contracts, as a character class for Java, Python and DuckDB patterns.
 SPACES = r"[\x20\x09-\x0D]+"
 
+NO_ID = -(2**63)  # stands for a null doc_id where a key or a file must hold one; sorts first, as null does
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -32,6 +34,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
+def doc_key(column: str = "doc_id") -> Column:
+    """The id as a key that joins: null ids are NO_ID."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)

@@ -34,13 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binwright.llm.common import id_and_text, joined, ship, stored
+from binwright.llm.common import doc_key, id_and_text, joined, ship, stored
 
 PERCENT = 90
 SHINGLE = 3
 FREQUENT = 100_000
 NEAR = 64
-NO_ID = -(2**63)  # stands for a null doc_id in joins
 CACHED_WORDS = 400_000  # per Python worker; emptied when full
 _WORDS: dict[bytes, int] = {}
 
@@ -245,7 +244,7 @@ def _passing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _overlaps(pairs: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
     """Exact overlap of each pair: a, b, n_a, n_b, overlap. Full sets are made for the documents in pairs alone."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(members, "id"), "wanted_sets")
-    text = rows.withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID)))
+    text = rows.withColumn("doc_key", doc_key())
     full = _map(
         joined(text, wanted, ["doc_key", "text_key"], "inner").select("id", "text"), "id long, elements binary",
         lambda batch: [batch.column("id"), [shingles(t).tobytes() for t in batch.column("text").to_pylist()]],
@@ -301,7 +300,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     frequent = np.sort(often.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
     sets = stored(
-        indexed_sets(rows, frequent).where("n > 0").withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("digest").agg(
+        indexed_sets(rows, frequent).where("n > 0").withColumn("doc_key", doc_key()).groupBy("digest").agg(
             F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_key", "text_key")).alias("at"), F.first("n").alias("n"),
             F.first("bits").alias("bits"), F.first("short").alias("short"), F.first("first").alias("first"),
         ).select("digest", "doc_id", "at.*", "n", "bits", "short", "first", F.coalesce("doc_id", F.xxhash64("digest")).alias("id")),

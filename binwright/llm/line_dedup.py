@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binwright.llm.common import SPACES, joined, ship, stored, text_or_empty
+from binwright.llm.common import SPACES, doc_key, joined, ship, stored, text_or_empty
 
 MIN_CHARS = 20
 WHITE = " \t\n\x0b\x0c\r"  # the characters of SPACES
@@ -45,8 +45,8 @@ def _halves(line: Column, n: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, line_no, line (normal form, not blank)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    """doc_id (null: NO_ID), row_key, line_no, line (normal form, not blank)."""
+    rows = docs.select(doc_key().alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.withColumn("line", F.trim(F.regexp_replace("line", SPACES, " "))).where("line != ''")
 
@@ -95,7 +95,7 @@ def near_repeats(lines: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, row_key) the numbers of its not blank lines that stay; none if none stay."""
+    """Per document (doc_id or NO_ID, row_key) the numbers of its not blank lines that stay; none if none stay."""
     lines = _lines(docs)
     n = F.length("line")
     marked = lines.select(
@@ -118,7 +118,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     stay = kept_lines(docs).toDF("_doc_id", "_row_key", "_stay")
     rows = docs.withColumn("_row_key", F.xxhash64(text_or_empty())).alias("d")
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("s._doc_id")) & (F.col("d._row_key") == F.col("s._row_key"))
+    same = (doc_key("d.doc_id") == F.col("s._doc_id")) & (F.col("d._row_key") == F.col("s._row_key"))
     rows = rows.join(stay.alias("s"), same, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("s._stay").alias("_stay"))
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)

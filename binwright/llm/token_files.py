@@ -38,10 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binwright.llm.common import id_and_text, scratch_path, ship, stored
+from binwright.llm.common import NO_ID, id_and_text, ship, stored
+from binwright.session import scratch_path
 
 CACHED_CHUNKS = 300_000  # per Python worker; emptied when full
-NO_ID = -(2**63)  # stands for a null doc_id in a .doc file
 CHUNK = re.compile(r"(?<=\S) (?=\S)")
 
 
