@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval, then longest-common-subsequence and answer checks.
 
-1. Passages are windows of words over every text. Features are the words of the benchmark, weighed by TF-IDF;
+1. One scan turns every text into the places and numbers of the words that the benchmark has; these are kept.
+   Passages are windows of words over every text. Features are the words of the benchmark, weighed by TF-IDF;
    document frequencies count the passages of all documents. Words in more than ``COMMON`` of the passages are no
    features, except the rarest ``LEAST_FEATURES`` of an item.
 2. A randomised SVD finds a basis of the features: three passes over the passages, each summing per task a matrix of
@@ -11,6 +12,7 @@
 4. A candidate counts if the longest common subsequence of words covers ``COVER`` of the item's passage (all of it for
    fewer than ``SHORT`` words) and half of the words of its answer, the passage's last ``ANSWER`` words, are in order in the window.
 
+Windows with too few feature words for ``COVER`` of any item are left out before: they could not pass the last step.
 Words are compared in lower case without punctuation at their ends.
 
 Defined cases: null text is empty and has no passages; so do empty and null benchmark items, which are never found.
@@ -34,13 +36,14 @@ ITEM_WORDS = 64  # longer items are cut into passages of this length
 STRIDE = 16
 RANK = 256
 COSINE = 0.5
-COMMON = 0.02
+COMMON = 0.002
 LEAST_FEATURES = 12
 COVER = 0.6
 SHORT = 8
 ANSWER = 8
 EDGES = ".,;:!?\"'()[]{}#$%&*|+-_"  # cut from the ends of words
 BLOCKS = 64
+CACHED_WORDS = 400_000  # per Python worker; emptied when full
 
 
 def words_of(text: str) -> list[str]:
@@ -73,16 +76,69 @@ class Items:
         return max(map(len, self.passages)) + STRIDE
 
 
-def windows(codes: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of word numbers (-1: not in the benchmark): window, word and first place of each entry, repeats included."""
-    n = max(1, -(-max(0, len(codes) - width) // stride) + 1)
-    places = np.flatnonzero(codes >= 0)
-    last = np.minimum(places // stride, n - 1)
-    first = np.maximum(0, -(-(places - width + 1) // stride))
-    first = np.minimum(first, last)
-    reps = last - first + 1
-    window = np.repeat(first, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    return window, np.repeat(codes[places], reps), np.arange(n) * stride
+@dataclass
+class Coded:
+    """A batch of documents as numbers of benchmark words: document, place in its words, number, per word found."""
+
+    doc: np.ndarray
+    place: np.ndarray
+    code: np.ndarray
+    lengths: np.ndarray  # words of each document
+
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> Coded:
+        places, codes = batch.column("places"), batch.column("codes")
+        counts = np.diff(places.offsets.to_numpy())
+        return Coded(
+            np.repeat(np.arange(batch.num_rows), counts), places.flatten().to_numpy().astype(np.int64), codes.flatten().to_numpy().astype(np.int64),
+            batch.column("n_words").to_numpy(),
+        )
+
+    def windows(self, width: int, stride: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window and number of each entry (only of ``chosen`` numbers), repeats included, and each document's first window."""
+        n = np.maximum(1, -(-np.maximum(0, self.lengths - width) // stride) + 1)
+        base = np.cumsum(n) - n
+        keep = slice(None) if chosen is None else chosen[self.code]
+        doc, place, code = self.doc[keep], self.place[keep], self.code[keep]
+        last = np.minimum(place // stride, n[doc] - 1)
+        first = np.minimum(np.maximum(0, -(-(place - width + 1) // stride)), last)
+        reps = last - first + 1
+        window = np.repeat(base[doc] + first, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        return window, np.repeat(code, reps), np.append(base, n.sum())
+
+
+CODED = "doc_id long, n_words long, places array<int>, codes array<int>"
+
+
+def coded(rows: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """Per document its number of words, and the places and numbers of those in the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}  # a word as it stands in the text: its number, -1 for others, -2 if nothing is left of it
+        for batch in batches:
+            counts, places, codes = [], [], []
+            for text in batch.column("text").to_pylist():
+                words = text.lower().split()
+                if len(known) > CACHED_WORDS:
+                    known.clear()
+                try:
+                    found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                except KeyError:
+                    for w in set(words):
+                        if w not in known:
+                            known[w] = vocabulary.get(bare, -1) if (bare := w.strip(EDGES)) else -2
+                    found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                found = found[found != -2]
+                at = np.flatnonzero(found >= 0)
+                counts.append(len(found))
+                places.append(at.astype(np.int32))
+                codes.append(found[at].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(codes, pa.list_(pa.int32()))],
+                ["doc_id", "n_words", "places", "codes"],
+            )
+
+    return rows.mapInArrow(run, CODED)
 
 
 def _counted(window: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,39 +147,28 @@ def _counted(window: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.nda
     return keys // n_words, keys % n_words, counts
 
 
-def _codes(text: str, vocabulary: dict[str, int]) -> tuple[list[str], np.ndarray]:
-    words = words_of(text)
-    return words, np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words))
-
-
-def _passes(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int], width: int, stride: int) -> Iterator[tuple]:
-    """Per batch: windows' entries over all its texts (window numbers go on), and the number of windows."""
+def _batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        base, parts = 0, []
-        for text in batch.column("text").to_pylist():
-            _, codes = _codes(text, vocabulary)
-            if len(codes):
-                window, word, starts = windows(codes, width, stride)
-                parts.append((window + base, word))
-                base += len(starts)
-        if parts:
-            yield *_counted(*map(np.concatenate, zip(*parts, strict=True)), max(1, len(vocabulary))), base
+        for at in range(0, batch.num_rows, rows):
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(at, rows).columns], batch.schema.names)
 
 
 def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """Passages that hold each benchmark word, and the number of passages, over all documents."""
-    vocabulary, width = items.vocabulary, items.width
+    size, width = len(items.vocabulary), items.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, total = np.zeros(len(vocabulary), np.int64), 0
-        for _, word, _, n in _passes(batches, vocabulary, width, width):
-            found += np.bincount(word, minlength=len(found))
-            total += n
+        found, total = np.zeros(size, np.int64), 0
+        for batch in _batches(batches):
+            rows = Coded.of(batch)
+            window, word, bases = rows.windows(width, width)
+            found += np.bincount(np.unique(window * size + word) % size, minlength=size)
+            total += int(bases[-1])
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"word": pa.array(np.append(some, -1), pa.int64()), "n": pa.array(np.append(found[some], total), pa.int64())})
 
-    rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row per benchmark word
-    out, total = np.zeros(len(vocabulary), np.int64), 0
+    rows = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row per benchmark word
+    out, total = np.zeros(size, np.int64), 0
     for r in rows:
         if r["word"] < 0:
             total = r["n"]
@@ -179,15 +224,17 @@ def _gram_times(row, word, value, n_rows: int, basis: np.ndarray) -> np.ndarray:
 
 def _corpus_gram(docs: DataFrame, items: Items, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A' A basis over the passages of all documents: summed per task, then by Spark per block of features."""
-    vocabulary, width = items.vocabulary, items.width
-    blocks = np.array_split(np.arange(len(vocabulary)), min(BLOCKS, len(vocabulary)))
+    size, width = len(items.vocabulary), items.width
+    blocks = np.array_split(np.arange(size), min(BLOCKS, size))
     cols = basis.shape[1]
     slim = basis.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slim.shape)
-        for window, word, count, _ in _passes(batches, vocabulary, width, width):
-            total += _gram_times(*_tfidf(window, word, count, weight), slim)
+        for batch in _batches(batches):
+            window, word, _ = Coded.of(batch).windows(width, width, weight > 0)
+            if len(window):
+                total += _gram_times(*_tfidf(*_counted(window, word, size), weight), slim)
         yield pa.RecordBatch.from_pydict({
             "block": pa.array(range(len(blocks)), pa.int64()), "sums": pa.array([total[b].astype(np.float32).tobytes() for b in blocks], pa.binary()),
         })
@@ -200,8 +247,8 @@ def _corpus_gram(docs: DataFrame, items: Items, weight: np.ndarray, basis: np.nd
         yield pa.RecordBatch.from_pydict({"block": pa.array(held, pa.int64()), "sums": pa.array([v.tobytes() for v in held.values()], pa.binary())})
 
     schema = "block long, sums binary"
-    rows = docs.select("text").mapInArrow(run, schema).repartition(len(blocks), "block").mapInArrow(add, schema).collect()  # features times RANK numbers
-    out = np.zeros((len(vocabulary), cols))
+    rows = docs.mapInArrow(run, schema).repartition(len(blocks), "block").mapInArrow(add, schema).collect()  # features times RANK numbers
+    out = np.zeros((size, cols))
     for r in rows:
         out[blocks[r["block"]]] += np.frombuffer(r["sums"], float).reshape(-1, cols)
     return out
@@ -229,7 +276,7 @@ def _project(row, word, value, n_rows: int, basis: np.ndarray) -> np.ndarray:
     return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
 
 
-def common_subsequence(masks: dict[str, int], words: list[str], size: int) -> int:
+def common_subsequence(masks: dict, words: list, size: int) -> int:
     """Length of the longest common subsequence; ``masks`` has the places of each word of the other text as bits."""
     state, full = (1 << size) - 1, (1 << size) - 1
     for w in words:
@@ -239,13 +286,22 @@ def common_subsequence(masks: dict[str, int], words: list[str], size: int) -> in
     return size - state.bit_count()
 
 
-def place_bits(words: list[str]) -> dict[str, int]:
-    out: dict[str, int] = {}
+def place_bits(words: list) -> dict:
+    out: dict = {}
     for i, w in enumerate(words):
         out[w] = out.get(w, 0) | 1 << i
     return out
 
 
+def least_features(passages: list[list[int]], weight: np.ndarray) -> int:
+    """The fewest feature words, repeats counted, of a window that covers enough of some item."""
+    need = []
+    for p in passages:
+        cover = int(np.ceil(COVER * len(p))) if len(p) >= SHORT else len(p)
+        need.append(cover - int((weight[p] == 0).sum()))
+    return max(1, min(need))
+
+
 HITS = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
 
 
@@ -256,45 +312,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = Items.of([tuple(r) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()])  # the query set
     if not items.passages:
         return rows.where("false").mapInArrow(lambda b: iter(()), HITS)
+    size, width = len(items.vocabulary), items.width
+    rows = stored(coded(rows, items.vocabulary), "coded_documents")
     found, total = _frequencies(rows, items)
     weight = _features(items, found, total)
     basis = latent_basis(rows, items, weight, total).astype(np.float32)
-    vocabulary, width, n_words = items.vocabulary, items.width, len(items.vocabulary)
-    row = np.repeat(np.arange(len(items.passages)), [len(p) for p in items.passages])
-    word = np.array([vocabulary[w] for p in items.passages for w in p])
-    queries = _project(*_tfidf(*_counted(row, word, n_words), weight), basis).astype(np.float32)
-    weight, passages, ids = weight.astype(np.float32), items.passages, items.ids
+    passages, ids = [[items.vocabulary[w] for w in p] for p in items.passages], items.ids
+    row = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+    queries = _project(*_tfidf(*_counted(row, np.array([c for p in passages for c in p]), size), weight), basis).astype(np.float32)
+    weight, fewest = weight.astype(np.float32), least_features(passages, weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, tails = [place_bits(p) for p in passages], [place_bits(p[-ANSWER:]) for p in passages]
-        for batch in batches:
+        for batch in _batches(batches):
+            docs = Coded.of(batch)
+            window, code, bases = docs.windows(width, STRIDE, weight > 0)
+            if not len(window):
+                continue
+            enough = np.bincount(window)[window] >= fewest
+            window, code, count = _counted(window[enough], code[enough], size)
+            names = np.unique(window)
+            entries = _tfidf(window, code, count, weight)
+            starts = np.append(np.searchsorted(docs.doc, np.arange(batch.num_rows)), len(docs.doc))
             out: dict[tuple, tuple] = {}
-            for at, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-                words, codes = _codes(text, vocabulary)
-                if not len(codes):
-                    continue
-                window, code, starts = windows(codes, width, STRIDE)
-                window, code, count = _counted(window, code, n_words)
-                kept = window[weight[code] > 0]
-                names = np.unique(kept)
-                entries = _tfidf(window, code, count, weight)
-                for block in range(0, len(names), 4096):
-                    a, b = np.searchsorted(entries[0], [block, block + 4096])
-                    n = min(4096, len(names) - block)
-                    cosine = _project(entries[0][a:b] - block, entries[1][a:b], entries[2][a:b], n, basis) @ queries.T
-                    for w, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        start = starts[names[block + w]]
-                        part, item = words[start : start + width], passages[q]
-                        cover = common_subsequence(bits[q], part, len(item)) / len(item)
-                        if cover < (COVER if len(item) >= SHORT else 1.0):
-                            continue
-                        tail = min(ANSWER, len(item))
-                        answer = common_subsequence(tails[q], part, tail) / tail
-                        if answer >= 0.5:
-                            key, value = (at, doc, ids[q]), (cover, answer, float(cosine[w, q]))
-                            out[key] = max(out.get(key, value), value)
+            for block in range(0, len(names), 4096):
+                a, b = np.searchsorted(entries[0], [block, block + 4096])
+                near = _project(entries[0][a:b] - block, entries[1][a:b], entries[2][a:b], min(4096, len(names) - block), basis) @ queries.T
+                for w, q in zip(*np.nonzero(near >= COSINE), strict=True):
+                    at = int(np.searchsorted(bases, names[block + w], "right")) - 1
+                    begin = (names[block + w] - bases[at]) * STRIDE
+                    own = docs.place[starts[at] : starts[at + 1]]
+                    a_, b_ = np.searchsorted(own, [begin, begin + width]) + starts[at]
+                    part, item = docs.code[a_:b_].tolist(), passages[q]
+                    cover = common_subsequence(bits[q], part, len(item)) / len(item)
+                    if cover < (COVER if len(item) >= SHORT else 1.0):
+                        continue
+                    tail = min(ANSWER, len(item))
+                    answer = common_subsequence(tails[q], part, tail) / tail
+                    if answer >= 0.5:
+                        key, value = (at, ids[q]), (cover, answer, float(near[w, q]))
+                        out[key] = max(out.get(key, value), value)
             if out:
-                columns = zip(*((doc, item, v[2], v[0], v[1]) for (_, doc, item), v in out.items()), strict=True)
+                names_ = batch.column("doc_id").to_pylist()
+                columns = zip(*((names_[at], item, v[2], v[0], v[1]) for (at, item), v in out.items()), strict=True)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in HITS.split(", ")])
 

@@ -41,12 +41,21 @@ from pyspark.sql import functions as F
 from binwright.llm.common import NO_ID, id_and_text, ship, stored
 from binwright.session import scratch_path
 
-CACHED_CHUNKS = 300_000  # per Python worker; emptied when full
+CACHED_CHUNKS = 500_000  # per Python worker; emptied when full
+LOT = 500  # chunks encoded in one call
+BETWEEN = "\0"
+MARKS = ".,;:!?#$%&*"
+TWO_SPACES = re.compile(r"\s\s")
 CHUNK = re.compile(r"(?<=\S) (?=\S)")
 
 
 class ChunkEncoder:
-    """Ids of texts as bytes of one width, through a bounded table of chunks."""
+    """Ids of texts as bytes of one width, through a bounded table of chunks.
+
+    A key is a word after a space, or in a tuple a chunk as it is. New words are cut once more, where a letter is
+    followed by marks only, and the rest is encoded in lots: chunks in a row, with a character between them that is
+    in no merge and so stays a token of its own.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,26 +63,55 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 2**16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.between = self._ids(BETWEEN)
+        (symbol,) = {p for p, i in self.tokenizer.get_vocab(True).items() if [i] == self.between.tolist()} or {""}
+        alone = symbol and not any(symbol in p for p in self.tokenizer.get_vocab(True) if p != symbol)
+        self.lot = LOT if alone else 1
+        self.known: dict[str | tuple[str], bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [_chunks(t) for t in texts]
-        known = self.known
-        new = list({c for cs in chunks for c in cs if c not in known})
+        keys, known = [_keys(t) for t in texts], self.known
+        new = {c for ks in keys for c in ks if c not in known}
         if len(known) + len(new) > CACHED_CHUNKS:
             known.clear()
-            new = list({c for cs in chunks for c in cs})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
-
-
-def _chunks(text: str) -> list[str]:
+            new = {c for ks in keys for c in ks}
+        cut = {c: parts for c in new if isinstance(c, str) and (parts := _stem_and_marks(c))}
+        self._learn([c for c in {*(new - cut.keys()), *(p for parts in cut.values() for p in parts)} if c not in known])
+        for c, (stem, marks) in cut.items():
+            known[c] = known[stem] + known[marks]
+        return [b"".join(map(known.__getitem__, ks)) for ks in keys]
+
+    def _learn(self, new: list[str | tuple[str]]) -> None:
+        # after a space and with no white space at the end, a chunk's tokens don't depend on what stands around it
+        alike = [c for c in new if isinstance(c, str) and c and not c[-1].isspace() and BETWEEN not in c] if self.lot > 1 else []
+        for at in range(0, len(alike), self.lot):
+            lot = alike[at : at + self.lot]
+            ids = self._ids(BETWEEN.join(" " + c for c in lot))
+            found = np.split(ids, np.flatnonzero(ids == self.between[0]))
+            self.known.update((c, (x[1:] if i else x).tobytes()) for i, (c, x) in enumerate(zip(lot, found, strict=True)))
+        for c in new:
+            if c not in self.known:
+                self.known[c] = self._ids(c[0] if isinstance(c, tuple) else " " + c).tobytes()
+
+
+def _keys(text: str) -> list[str | tuple[str]]:
     """The text cut before each single space between characters that are not white space."""
+    first, *words = text.split(" ")
+    if not text or first and not first[0].isspace() and words and words[-1] and not TWO_SPACES.search(text):
+        return [(first,), *words] if text else []
     first, *rest = CHUNK.split(text)
-    return [first, *(" " + c for c in rest)] if text else []
+    return [(first,), *rest]
+
+
+def _stem_and_marks(word: str) -> tuple[str, tuple[str]] | None:
+    """A word that is letters at the end but for marks, cut between the two; the pre-tokenizer cuts there too."""
+    stem = word.rstrip(MARKS)
+    if stem and len(stem) < len(word) and stem[-1].isalpha() and ord(stem[-1]) < 0x250:
+        return stem, (word[len(stem) :],)
+    return None
 
 
 @lru_cache(maxsize=2)
