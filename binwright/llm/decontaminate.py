@@ -2,17 +2,17 @@
 
 1. One scan turns every text into the places and numbers of the words that the benchmark has; these are kept.
    Passages are windows of words over every text. Features are the words of the benchmark, weighed by TF-IDF;
-   document frequencies count the passages of all documents. Words in more than ``COMMON`` of the passages are no
-   features, except the rarest ``LEAST_FEATURES`` of an item.
-2. A randomised SVD finds a basis of the features: three passes over the passages, each summing per task a matrix of
-   features times ``RANK`` (never passages times anything), with the benchmark's own passages among the rows. The
-   passes are: a random sketch, and one power step that also gives the singular values.
+   document frequencies count the passages of all documents. Used are the ``FEATURES`` rarest words
+   of each item's passage, without words in more than ``COMMON`` of the passages but for its ``LEAST_FEATURES`` rarest.
+2. A randomised SVD finds a basis of the features in one more pass: each task sums its part of A'A times a random matrix
+   of ``RANK`` columns (features times RANK, never passages times anything), the benchmark's own passages among the
+   rows of A; of the sum, the Nystrom form gives the singular vectors.
 3. Every overlapping window is projected and compared with all items; pairs with a cosine of at least ``COSINE`` go on.
    The items are the stated query set: they are small and go to every task.
 4. A candidate counts if the longest common subsequence of words covers ``COVER`` of the item's passage (all of it for
    fewer than ``SHORT`` words) and half of the words of its answer, the passage's last ``ANSWER`` words, are in order in the window.
 
-Windows with too few feature words for ``COVER`` of any item are left out before: they could not pass the last step.
+Documents that hold too few feature words of every item for such a cosine to be possible are left out before it.
 Words are compared in lower case without punctuation at their ends.
 
 Defined cases: null text is empty and has no passages; so do empty and null benchmark items, which are never found.
@@ -36,8 +36,9 @@ ITEM_WORDS = 64  # longer items are cut into passages of this length
 STRIDE = 16
 RANK = 256
 COSINE = 0.5
-COMMON = 0.002
-LEAST_FEATURES = 12
+FEATURES = 16  # per passage of the benchmark: its rarest words
+COMMON = 0.001  # of the passages; more frequent words are no features,
+LEAST_FEATURES = 6  # but for so many of each item
 COVER = 0.6
 SHORT = 8
 ANSWER = 8
@@ -179,11 +180,11 @@ def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
 
 def _features(items: Items, found: np.ndarray, total: int) -> np.ndarray:
     """The weight of each benchmark word: its IDF, or 0 if it is no feature."""
-    weight = np.log((1 + total) / (1 + found)) + 1
-    chosen = found <= COMMON * total
+    weight, chosen = np.log((1 + total) / (1 + found)) + 1, np.zeros(len(found), bool)
     for p in items.passages:
-        codes = sorted({items.vocabulary[w] for w in p}, key=lambda c: (found[c], c))
-        chosen[codes[:LEAST_FEATURES]] = True
+        rare = sorted({items.vocabulary[w] for w in p}, key=lambda c: (found[c], c))
+        chosen[rare[:LEAST_FEATURES]] = True
+        chosen[[c for c in rare[:FEATURES] if found[c] <= COMMON * total]] = True
     return np.where(chosen, weight, 0.0)
 
 
@@ -262,10 +263,12 @@ def latent_basis(docs: DataFrame, items: Items, weight: np.ndarray, total: int,
     own = _tfidf(*_counted(row, word, len(items.vocabulary)), weight)
     share = max(1.0, total / len(items.passages))  # the benchmark weighs as much as the corpus
     gram = lambda q: _corpus_gram(docs, items, weight, q) + share * _gram_times(*own, q)
-    q, _ = np.linalg.qr(gram(np.random.default_rng(seed).normal(size=(len(weight), rank)) * (weight > 0)[:, None]))
-    z = gram(q)
-    _, vectors = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-    return np.linalg.qr(z @ vectors[:, ::-1])[0]
+    start = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(weight), rank)) * (weight > 0)[:, None])[0]
+    sketch = gram(start)
+    small, turn = np.linalg.eigh((start.T @ sketch + sketch.T @ start) / 2)
+    keep = small > 1e-9 * max(small.max(), 1e-30)
+    vectors, _, _ = np.linalg.svd(sketch @ (turn[:, keep] / np.sqrt(small[keep])), full_matrices=False)
+    return vectors
 
 
 def _project(row, word, value, n_rows: int, basis: np.ndarray) -> np.ndarray:
@@ -293,13 +296,9 @@ def place_bits(words: list) -> dict:
     return out
 
 
-def least_features(passages: list[list[int]], weight: np.ndarray) -> int:
-    """The fewest feature words, repeats counted, of a window that covers enough of some item."""
-    need = []
-    for p in passages:
-        cover = int(np.ceil(COVER * len(p))) if len(p) >= SHORT else len(p)
-        need.append(cover - int((weight[p] == 0).sum()))
-    return max(1, min(need))
+def least_features(weights: list[np.ndarray]) -> np.ndarray:
+    """Per item, given the squares of its unit row: the fewest features with which a cosine of ``COSINE`` is possible."""
+    return np.array([1 + int((np.cumsum(np.sort(w)[::-1]) < COSINE**2 - 1e-9).sum()) for w in weights])
 
 
 HITS = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
@@ -319,17 +318,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     basis = latent_basis(rows, items, weight, total).astype(np.float32)
     passages, ids = [[items.vocabulary[w] for w in p] for p in items.passages], items.ids
     row = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
-    queries = _project(*_tfidf(*_counted(row, np.array([c for p in passages for c in p]), size), weight), basis).astype(np.float32)
-    weight, fewest = weight.astype(np.float32), least_features(passages, weight)
+    entries = _tfidf(*_counted(row, np.array([c for p in passages for c in p]), size), weight)
+    queries = _project(*entries, basis).astype(np.float32)
+    order = np.argsort(entries[1], kind="stable")
+    holders, first = entries[0][order], np.searchsorted(entries[1][order], np.arange(size + 1))  # items per feature
+    fewest = least_features([entries[2][entries[0] == i] ** 2 for i in range(len(passages))])
+    weight = weight.astype(np.float32)
+
+    def possible(docs: Coded) -> np.ndarray:
+        """Per document whether it holds enough features of some item."""
+        keep = weight[docs.code] > 0
+        pair = np.unique(docs.doc[keep] * size + docs.code[keep])
+        doc, code = pair // size, pair % size
+        n = first[code + 1] - first[code]
+        at = np.repeat(first[code], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        met, count = np.unique(np.repeat(doc, n) * len(passages) + holders[at], return_counts=True)
+        out = np.zeros(len(docs.lengths), bool)
+        out[met[count >= fewest[met % len(passages)]] // len(passages)] = True
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, tails = [place_bits(p) for p in passages], [place_bits(p[-ANSWER:]) for p in passages]
         for batch in _batches(batches):
+            batch = batch.filter(pa.array(possible(Coded.of(batch))))
             docs = Coded.of(batch)
             window, code, bases = docs.windows(width, STRIDE, weight > 0)
             if not len(window):
                 continue
-            enough = np.bincount(window)[window] >= fewest
+            enough = np.bincount(window)[window] >= fewest.min()
             window, code, count = _counted(window[enough], code[enough], size)
             names = np.unique(window)
             entries = _tfidf(window, code, count, weight)

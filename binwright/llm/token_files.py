@@ -24,6 +24,7 @@ byte-level BPE always starts a new token, so chunk ids joined are the ids of the
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from binwright.llm.common import NO_ID, id_and_text, ship, stored
 from binwright.session import scratch_path
 
-CACHED_CHUNKS = 500_000  # per Python worker; emptied when full
+CACHED_CHUNKS = 1_000_000  # per Python worker; emptied when full
 LOT = 500  # chunks encoded in one call
 BETWEEN = "\0"
 MARKS = ".,;:!?#$%&*"
@@ -67,8 +68,17 @@ class ChunkEncoder:
         (symbol,) = {p for p, i in self.tokenizer.get_vocab(True).items() if [i] == self.between.tolist()} or {""}
         alone = symbol and not any(symbol in p for p in self.tokenizer.get_vocab(True) if p != symbol)
         self.lot = LOT if alone else 1
+        self.alphabet = _byte_alphabet()
+        self.plain = self._plain()
         self.known: dict[str | tuple[str], bytes] = {}
 
+    def _plain(self) -> bool:
+        """Whether the tokenizer is byte-level merges alone, without a normaliser or an added first space."""
+        spec = json.loads(self.tokenizer.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        added = any(t["content"].strip().isalpha() for t in spec["added_tokens"])
+        return pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec["normalizer"] and not added
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
@@ -86,6 +96,11 @@ class ChunkEncoder:
 
     def _learn(self, new: list[str | tuple[str]]) -> None:
         # after a space and with no white space at the end, a chunk's tokens don't depend on what stands around it
+        for c in new:
+            if self.plain and isinstance(c, str) and c.isalpha() and ord(max(c)) < 0x250:  # a space and letters: one word for the merges
+                word = (" " + c).encode().decode("latin-1").translate(self.alphabet)
+                self.known[c] = np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.dtype).tobytes()
+        new = [c for c in new if c not in self.known]
         alike = [c for c in new if isinstance(c, str) and c and not c[-1].isspace() and BETWEEN not in c] if self.lot > 1 else []
         for at in range(0, len(alike), self.lot):
             lot = alike[at : at + self.lot]
@@ -97,6 +112,13 @@ class ChunkEncoder:
                 self.known[c] = self._ids(c[0] if isinstance(c, tuple) else " " + c).tobytes()
 
 
+def _byte_alphabet() -> dict[int, int]:
+    """The characters that stand for bytes: printable ones for themselves, others from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 def _keys(text: str) -> list[str | tuple[str]]:
     """The text cut before each single space between characters that are not white space."""
     first, *words = text.split(" ")
