@@ -6,9 +6,13 @@ class FilterError(ValueError):
 
 
 class DataValidationError(ValueError):
-    """Input rows break the declared schema. ``errors`` lists every fault found."""
+    """Input rows break the declared schema.
 
-    def __init__(self, errors):
+    ``errors`` lists the faults, the first of them if there are very many; ``faults`` is then the DataFrame of all.
+    """
+
+    def __init__(self, errors, faults=None):
+        self.faults = faults
         self.errors = [errors] if isinstance(errors, str) else list(errors)
         super().__init__("; ".join(self.errors))
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Longest array of one packed row, in features. A longer axis gives several rows per cell.
-PACK_BLOCK = 65_536
-
 
 def extract_summary(cells: DataFrame, bin_column: str = "extract_bin") -> DataFrame:
     """One row ``(total_bins, last_bin_size, total_cells)`` from one scan."""
@@ -41,16 +38,14 @@ def with_cell_totals(cells: DataFrame, counts: DataFrame) -> DataFrame:
     return cells.join(totals, "id", "left").withColumn("total_mrna_umis", F.coalesce("total_mrna_umis", F.lit(0)))
 
 
-def pack_counts(counts: DataFrame, bin_column: str = "extract_bin", block: int = PACK_BLOCK) -> DataFrame:
+def pack_counts(counts: DataFrame, bin_column: str = "extract_bin") -> DataFrame:
     """Counts packed per cell: ``(extract_bin, cell_id, feature_data)``, sorted by feature.
 
     The rows already lie together by cell id after the join that attached the bins, so grouping
-    moves nothing. An array covers at most ``block`` feature ids, which bounds its length.
+    moves nothing. Every cell has one row; its array holds one entry per feature that the cell has a count of.
     """
     entry = F.struct("feature_id", F.col("raw_count").alias("raw_counts"))
-    part = F.call_function("div", F.col("feature_id"), F.lit(block)).alias("_part")
-    packed = counts.groupBy(bin_column, "cell_id", part).agg(F.sort_array(F.collect_list(entry)).alias("feature_data"))
-    return packed.drop("_part")
+    return counts.groupBy(bin_column, "cell_id").agg(F.sort_array(F.collect_list(entry)).alias("feature_data"))
 
 
 def group_bin_statistics(chunked: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:

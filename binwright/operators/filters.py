@@ -13,9 +13,6 @@ from pyspark.sql import types as T
 
 from binwright.errors import FilterError
 
-# Above this many values a membership test is a semi or anti join instead of a literal list.
-MEMBERSHIP_JOIN_AT = 5_000
-
 _COMPARISONS = {
     "eq": lambda c, v: c == v,
     "not_eq": lambda c, v: c != v,
@@ -118,25 +115,11 @@ def predicate(filters: Mapping | None, schema: T.StructType) -> Column | None:
 def where(df: DataFrame, filters: Mapping | None) -> DataFrame:
     """Rows of ``df`` that satisfy every condition; NULL never satisfies one.
 
-    The map is checked against the schema before any job starts. Very long membership lists become
-    a semi or anti join on the list, so that no plan carries thousands of literals.
+    The map is checked against the schema before any job starts. A membership list of any length is a hash set
+    in the filter, so its length changes neither types, rows nor the order of columns.
     """
-    plain, long_lists = [], []
-    for column, operator, value in _checked(filters, df.schema):
-        is_long = operator in _MEMBERSHIP and len(value) > MEMBERSHIP_JOIN_AT
-        (long_lists if is_long else plain).append((column, operator, value))
-    if plain:
-        df = df.filter(reduce(and_, [_condition(*c) for c in plain]))
-    for column, operator, value in long_lists:
-        field = T.StructField(column, df.schema[column].dataType)
-        cast = float if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else type(value[0])
-        rows = [(cast(v),) for v in dict.fromkeys(value)]
-        listed = df.sparkSession.createDataFrame(rows, T.StructType([field]))
-        if operator == "in":
-            df = df.join(listed, column, "left_semi")
-        else:
-            df = df.filter(F.col(column).isNotNull()).join(listed, column, "left_anti")
-    return df
+    condition = predicate(filters, df.schema)
+    return df if condition is None else df.filter(condition)
 
 
 def in_id_range(df: DataFrame, start: int, end: int, filters: Mapping | None = None,

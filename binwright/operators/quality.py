@@ -222,7 +222,8 @@ def collected_faults(obs: DataFrame, x: DataFrame, file_features: DataFrame, sha
 
 
 def raise_on_faults(faults: DataFrame, shown: int = 100) -> None:
-    """Raises one error that lists the faults; the message is bounded, the fault table is not."""
+    """Raises one error that lists the faults; the message is bounded, the fault table it carries is not."""
+    faults = freeze(faults)
     rows = faults.orderBy("file", "check", "column_name").limit(shown + 1).collect()
     if rows:
         texts = [
@@ -230,7 +231,7 @@ def raise_on_faults(faults: DataFrame, shown: int = 100) -> None:
             + (f", e.g. {r['sample']}" if r["sample"] else "")
             for r in rows[:shown]
         ]
-        raise DataValidationError(texts + (["more faults in the fault table"] if len(rows) > shown else []))
+        raise DataValidationError(texts + (["more faults in the fault table"] if len(rows) > shown else []), faults)
 
 
 def file_sizes(spark, paths: str | list[str], limit: int) -> DataFrame:

@@ -22,6 +22,7 @@ from binwright.operators.projection import (
 from binwright.operators.ranks import bin_names, random_bins
 from binwright.plans.prepare import check_feature_ids
 from binwright.session import freeze
+from binwright.sources.base import path_exists
 from binwright.sources.sinks import (
     EXTRACT_METADATA,
     PACKED_COUNTS,
@@ -134,16 +135,19 @@ def extract_bins(spark: SparkSession, path: str, output: str, start_bin: int | N
 
     features = read_binned(spark, f"{path}/feature_info")
     blocks = sparse_blocks(cells, packed, n_features, ["shuffle_key", "id"])
-    return _write(blocks, features.withColumn("col_num", F.col("id")), output)
+    ranged = start_bin is not None or end_bin is not None
+    return _write(blocks, features.withColumn("col_num", F.col("id")), output, ranged)
 
 
-def _write(blocks: DataFrame, features: DataFrame, output: str) -> DataFrame:
-    """Bins below ``bins`` and their common feature axis below ``features``; reads the bins back.
+def _write(blocks: DataFrame, features: DataFrame, output: str, ranged: bool = False) -> DataFrame:
+    """Bins below ``bins`` and their common feature axis below ``features``; reads the output's bins back.
 
-    A range without cells gives no rows rather than an error.
+    A ``ranged`` run replaces its own bins and keeps those of other runs. A range without cells gives no
+    rows rather than an error.
     """
+    others = ranged and path_exists(blocks.sparkSession, f"{output}/bins")
     features.write.mode("overwrite").parquet(f"{output}/features")
-    write_bins(blocks, f"{output}/bins", placed=True)
+    write_bins(blocks, f"{output}/bins", placed=True, keep_others=others)
     return blocks.sparkSession.read.schema(blocks.schema).parquet(f"{output}/bins")
 
 
@@ -182,7 +186,8 @@ def extract_grouped(cells: DataFrame, counts: DataFrame, features: DataFrame, ou
     kept = keep_existing(binned, None if obs_columns is None else [*obs_columns, "extract_bin"])
     axis = requested_axis(features, feature_column, feature_values)
     return _write(
-        blocks_of_bins(kept, counts, axis, ["id"]), requested_features(features, axis, feature_columns), output
+        blocks_of_bins(kept, counts, axis, ["id"]), requested_features(features, axis, feature_columns), output,
+        bins is not None,
     )
 
 
@@ -225,7 +230,7 @@ def extract_randomized(cells: DataFrame, counts: DataFrame, features: DataFrame,
     axis = requested_axis(features, feature_column, feature_values)
     return _write(
         blocks_of_bins(kept, counts, axis, ["shuffle_key", "id"]),
-        requested_features(features, axis, feature_columns), output,
+        requested_features(features, axis, feature_columns), output, bins is not None,
     )
 
 

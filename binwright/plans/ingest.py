@@ -321,24 +321,34 @@ def partition_files(planned: DataFrame, total: int, partition_index: int, batch_
     return chosen
 
 
+def _known(column: str, what: str, label: str):
+    """The id in ``column``; a row without one is an error that names its label."""
+    unknown = F.raise_error(F.concat(F.lit(f"unregistered {what}: "), F.coalesce(F.col(label).cast("string"), F.lit("NULL"))))
+    return F.coalesce(F.col(column), unknown.cast("bigint"))
+
+
 def ingest_partition(spark: SparkSession, store: str, batch: Batch, schema: ArraySchema, partition_index: int) -> None:
     """Validates, sanitizes and appends the files of one partition under their registered ids.
 
     Labels are unique inside the registry, so the joins that turn them into ids meet no hot key;
-    the matrix is first given global positions per file, then both ids.
+    the matrix is first given global positions per file, then both ids. A label without an id, NULL too, and
+    a value at a position that no label has are errors. The commit is keyed by the partition and its
+    files: a rerun adds nothing, while a further plan over other files adds its own.
     """
     clean = validate_and_sanitize(batch, schema)
     cells = clean.obs.join(
-        read_registry(spark, store, "obs").withColumnRenamed("label", "obs_id"), "obs_id"
-    )
-    features = join_dimension(
-        clean.var.select("file", "col_pos", F.col("feature_name").alias("label")),
-        read_registry(spark, store, "var"), "label", salt_on="file",
-    ).select("file", "col_pos", F.col("id").alias("feature_id"))
-    placed = join_dimension(clean.x, features, ["file", "col_pos"], salt_on="row_pos").join(
-        cells.select("file", "row_pos", F.col("id").alias("cell_id")), ["file", "row_pos"]
+        read_registry(spark, store, "obs").withColumnRenamed("label", "obs_id"), "obs_id", "left"
+    ).withColumn("id", _known("id", "obs label", "obs_id"))
+    features = clean.var.select("file", "col_pos", F.col("feature_name").alias("label")).join(
+        read_registry(spark, store, "var"), "label", "left"
+    ).select("file", "col_pos", _known("id", "var label", "label").alias("feature_id"))
+    placed = clean.x.join(features, ["file", "col_pos"], "left").join(
+        cells.select("file", "row_pos", F.col("id").alias("cell_id")), ["file", "row_pos"], "left"
+    ).withColumn("feature_id", _known("feature_id", "column of file", "file")).withColumn(
+        "cell_id", _known("cell_id", "row of file", "file")
     )
-    part = F.lit(partition_index).cast("bigint").alias("ingest_id")
+    key = batch.obs.select("file").distinct().agg(F.coalesce(F.bit_xor(F.xxhash64("file")), F.lit(0)).alias("key")).first()["key"]
+    part = F.xxhash64(F.lit(partition_index), F.lit(key)).alias("ingest_id")
     append_together(
         spark, store,
         {

@@ -56,16 +56,18 @@ def read_binned(spark: SparkSession, path: str, schema: T.StructType | None = No
 
 
 def write_bins(blocks: DataFrame, path: str, bin_column: str = "extract_bin", order: str = "row_num",
-               placed: bool = False) -> None:
+               placed: bool = False, keep_others: bool = False) -> None:
     """One output per bin: every bin is one directory with one file, all bins in one job.
 
     A bin is the unit of output and holds at most its size in cells, so one task per bin is bounded.
-    ``placed`` says that the rows of a bin already lie together, which saves a shuffle.
+    ``placed`` says that the rows of a bin already lie together, which saves a shuffle. ``keep_others`` replaces
+    only the bins of this run, for work split over several runs; else the output holds this run's bins alone.
     """
     together = blocks if placed else blocks.repartition(F.col(bin_column))
     (
         together.sortWithinPartitions(bin_column, order)
-        .write.mode("overwrite").partitionBy(bin_column).parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if keep_others else "static")
+        .partitionBy(bin_column).parquet(path)
     )
 
 

@@ -172,10 +172,10 @@ def order_in_bin(t):
     return local_index(binned, order=["shuffle_key", "id"]).select("extract_bin", "row_num", "id")
 
 
-@query("F3_feature_axis", "SELECT id, ensemble_id, row_number() OVER (ORDER BY id) - 1 AS col_num FROM features WHERE size <= 10",
+@query("F3_feature_axis", "SELECT id, ensemble_id, row_number() OVER (ORDER BY id) - 1 AS col_num FROM features",
        ("features",))
 def ordered_features(t):
-    return feature_axis(t.features.filter("size <= 10").select("id", "ensemble_id"))
+    return feature_axis(t.features.select("id", "ensemble_id"))
 
 
 _SHUFFLED = f"""

@@ -199,14 +199,14 @@ def test_unknown_ids_fail(spark):
         positions_to_ids(entries, entries, entries)
 
 
-def test_long_axis_packs_in_blocks(spark):
-    counts = spark.range(100).select(F.lit(0).alias("extract_bin"), F.lit(7).cast("bigint").alias("cell_id"),
+def test_long_axis_is_one_row_per_cell(spark):
+    counts = spark.range(70_000).select(F.lit(0).alias("extract_bin"), F.lit(7).cast("bigint").alias("cell_id"),
                                      F.col("id").alias("feature_id"), (F.col("id") + 1).alias("raw_count"))
-    packed = pack_counts(counts, block=30)
-    assert sorted(r[0] for r in packed.select(F.size("feature_data")).collect()) == [10, 30, 30, 30]
+    packed = pack_counts(counts)
+    assert sorted(r[0] for r in packed.select(F.size("feature_data")).collect()) == [70_000]
     cells = spark.createDataFrame([(0, 7)], "extract_bin int, id bigint")
-    block = sparse_blocks(cells, packed, 100, ["id"]).first()
-    assert block["indices"] == list(range(100)) and block["values"] == [float(v + 1) for v in range(100)]
+    block = sparse_blocks(cells, packed, 70_000, ["id"]).first()
+    assert block["indices"] == list(range(70_000)) and block["values"] == [float(v + 1) for v in range(70_000)]
 
 
 def test_summary_and_fallback_count(spark):
@@ -274,3 +274,15 @@ def test_metadata_document_round_trip(spark, tables, wanted):
     row = read_metadata(spark, f"{path}/metadata").first()
     assert row["filters"] == '{"cell_type__in": ["type_1", "type_2"]}' and row["extract_bin_size"] == 50
     assert row["category_metadata"] == {"tissue": ["t0", "t1"]}
+
+
+def test_two_ranges_keep_each_other(spark, tables):
+    from binwright.plans.extract import extract_grouped
+
+    out, whole = scratch_path(spark, "ranges"), scratch_path(spark, "whole")
+    run = lambda path, bins: extract_grouped(
+        tables["cell_info"], tables["raw_matrix_coo"], tables["feature_info"], path, ["tissue"], 20, bins=bins)
+    for bins in ((0, 2), (2, 9999), (0, 2)):
+        last = run(out, bins)
+    columns = ["extract_bin", "id", "indices", "values"]
+    assert rows(spark.read.parquet(f"{out}/bins"), *columns) == rows(run(whole, None), *columns) == rows(last, *columns)

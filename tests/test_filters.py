@@ -1,7 +1,6 @@
 import pytest
 
 from binwright.errors import FilterError
-from binwright.operators import filters as filters_module
 from binwright.operators.filters import in_id_range, normalize, predicate, split_key, where
 from binwright.operators.projection import (
     check_column_name,
@@ -61,8 +60,13 @@ def test_split_key_uses_last_separator():
     assert normalize({"a__eq": [1, 2]}) == [("a", "in", [1, 2])]
 
 
-def test_long_list_is_a_join(cells, monkeypatch):
-    monkeypatch.setattr(filters_module, "MEMBERSHIP_JOIN_AT", 1)
+def test_long_list_is_the_same_filter(spark, cells):
+    frame = spark.range(20).selectExpr("id AS a", "CAST(id AS BIGINT) AS b", "CAST(id / 10 AS FLOAT) AS f", "CAST(id AS STRING) AS s", "CAST(id AS DECIMAL(9,1)) AS d")
+    for column, few in (("b", [1.0, 2.5, 3.0]), ("f", [0.1, 0.2, 0.5]), ("s", ["1", "x"]), ("d", [1.0, 2.5]), ("b", [1, 2**40])):
+        pad = [f"y{i}" for i in range(5001)] if column == "s" else [type(few[0])(1000 + i) for i in range(5001)]
+        for operator in ("in", "not_in"):
+            short, long = (where(frame, {f"{column}__{operator}": v}) for v in (few, few + pad))
+            assert long.columns == frame.columns and rows(long) == rows(short)
     assert rows(where(cells, {"cell_type__in": ["T cell", "T cell", "B cell"]}), "id") == [(1,), (2,)]
     assert rows(where(cells, {"cell_type__not_in": ["T cell", "B cell"]}), "id") == [(4,)]
     assert rows(where(cells, {"umis__in": [10, 30]}), "id") == [(1,), (4,)]

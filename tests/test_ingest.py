@@ -232,3 +232,17 @@ def test_facets(spark):
     found = refresh_facets({"d1": cells, "d2": cells.filter("id = 1")}, scratch_path(spark, "facets"), threshold=2)
     assert rows(found.filter("dataset = 'd1'"), "facet", "value", "n") == [("k", "a", 1), ("total_cells", None, 3)]
     assert found.filter("dataset = 'd2'").count() == 3
+
+
+def test_second_plan_and_unknown_labels(spark):
+    schema, batch = array_inputs(spark)
+    store = scratch_path(spark, "store")
+    one, two = (batch.only(batch.obs.select("file").filter(F.col("file") == f).distinct()) for f in ("f1", "f2"))
+    register_batch(spark, store, one)
+    ingest_partition(spark, store, one, schema, 0)
+    with pytest.raises(Exception, match="unregistered (obs|var) label"):
+        ingest_partition(spark, store, two, schema, 0)
+    register_batch(spark, store, two)
+    ingest_partition(spark, store, two, schema, 0)  # another plan, whose first partition holds other files
+    ingest_partition(spark, store, two, schema, 0)
+    assert read_store(spark, store, schema)["obs"].count() == 250
