@@ -21,10 +21,11 @@ SUM_TOLERANCE = 0.01
 EXAMPLES = 5
 TOO_LARGE = "File size is too large."
 
-# The checks of each matrix profile.
+# The checks of each matrix profile; ``null`` is added, as a long table can hold NULL values.
 MATRIX_PROFILES = {
-    "count_matrix": ["shape", "nan", "infinite", "negative", "non_integer", "int32_range"],
-    "feature_matrix": ["shape", "nan", "infinite"],
+    "count_matrix": ["shape", "nan", "infinite", "negative", "non_integer", "int32_range", "null"],
+    "feature_matrix": ["shape", "nan", "infinite", "null"],
+    "placed": ["shape", "null"],  # what ids are made from, whatever the values mean
 }
 
 
@@ -101,25 +102,27 @@ def _matrix_checks(value: Column, row: Column, col: Column, n_obs: Column, n_var
     finite = ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
     nearest = F.rint(v)
     off = F.abs(v - nearest) > F.lit(ABSOLUTE_TOLERANCE) + F.lit(RELATIVE_TOLERANCE) * F.abs(nearest)
+    inside = (row >= 0) & (row < n_obs) & (col >= 0) & (col < n_vars)
     return {
-        "shape": (row < 0) | (row >= n_obs) | (col < 0) | (col >= n_vars),
+        "shape": ~F.coalesce(inside, F.lit(False)),  # also where a position is NULL or the file has no shape
         "nan": F.isnan(v),
         "infinite": F.abs(v) == F.lit(float("inf")),
         "negative": ~F.isnan(v) & (v < 0),
         "non_integer": F.isnan(v) | (finite & off),
         "int32_range": ~F.isnan(v) & ((v < INT32_MIN) | (v > INT32_MAX)),
+        "null": v.isNull(),
     }
 
 
 def _with_shape(x: DataFrame, shapes: DataFrame) -> DataFrame:
-    return join_dimension(x, shapes.select("file", "n_obs", "n_vars"), "file", salt_on=["row_pos", "col_pos"])
+    return join_dimension(x, shapes.select("file", "n_obs", "n_vars"), "file", "left", salt_on=["row_pos", "col_pos"])
 
 
 def matrix_profile(x: DataFrame, shapes: DataFrame) -> DataFrame:
     """Every matrix check counted per file in one pass; a file of any size is combined map-side.
 
     ``x`` holds ``(file, row_pos, col_pos, value)``, ``shapes`` ``(file, n_obs, n_vars)``. Files
-    without a stored value have ``n_values`` 0.
+    without a stored value have ``n_values`` 0; values of a file without a shape are all outside it.
     """
     checks = _matrix_checks(*[F.col(c) for c in ("value", "row_pos", "col_pos", "n_obs", "n_vars")])
     counted = _with_shape(x, shapes).groupBy("file").agg(
@@ -127,7 +130,7 @@ def matrix_profile(x: DataFrame, shapes: DataFrame) -> DataFrame:
         *[F.count_if(condition).alias(name) for name, condition in checks.items()],
     )
     names = ["n_values", *checks]
-    return shapes.select("file").join(counted, "file", "left").select(
+    return shapes.select("file").join(counted, "file", "full").select(
         "file", *[F.coalesce(n, F.lit(0)).alias(n) for n in names]
     )
 
@@ -166,7 +169,8 @@ def offending_values(x: DataFrame, shapes: DataFrame, wanted: list[str]) -> Data
     checks = _matrix_checks(*[F.col(c) for c in ("value", "row_pos", "col_pos", "n_obs", "n_vars")])
     hit = F.array_compact(F.array(*[F.when(checks[name], F.lit(name)) for name in wanted]))
     offenders = _with_shape(x, shapes).select(
-        "file", "row_pos", "col_pos", F.col("value").cast("string").alias("value"), F.explode(hit).alias("check")
+        "file", "row_pos", "col_pos", F.coalesce(F.col("value").cast("string"), F.lit("NULL")).alias("value"),
+        F.explode(hit).alias("check"),
     )
     first = Window.partitionBy("file", "check").orderBy("row_pos", "col_pos")
     return offenders.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= EXAMPLES)
@@ -178,6 +182,27 @@ def repeated_positions(x: DataFrame) -> DataFrame:
     return repeated.groupBy("file").agg(F.count(F.lit(1)).alias("n_repeated"))
 
 
+def position_faults(df: DataFrame, column: str, context: str) -> DataFrame:
+    """Files whose positions are not 0 to n - 1, each once: ``n`` counts what is repeated, NULL, negative or left out."""
+    counted = df.groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(F.when(F.col(column) >= 0, F.col(column))).alias("places"),
+        F.coalesce(F.max(column) + 1, F.lit(0)).alias("end"),
+    )
+    surplus, gaps = F.col("rows") - F.col("places"), F.greatest(F.col("end") - F.col("places"), F.lit(0))
+    return counted.select(
+        "file", F.lit(f"{context}: positions").alias("check"), F.lit(column).alias("column_name"),
+        (surplus + gaps).alias("n"), F.lit(None).cast("string").alias("sample"),
+    ).filter(F.col("n") > 0)
+
+
+def repeated_faults(x: DataFrame) -> DataFrame:
+    """``repeated_positions`` as fault rows."""
+    return repeated_positions(x).select(
+        "file", F.lit("X: repeated positions").alias("check"), F.lit(None).cast("string").alias("column_name"),
+        F.col("n_repeated").alias("n"), F.lit(None).cast("string").alias("sample"),
+    )
+
+
 def raw_count_check(x: DataFrame, files: DataFrame) -> DataFrame:
     """``(file, n_values, is_valid)``: valid when the file's sum is within 0.01 of a whole number."""
     summed = x.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("double")).alias("s"))

@@ -16,7 +16,10 @@ from binwright.operators.joins import align_features, expand_to_axis
 from binwright.operators.projection import map_columns
 from binwright.operators.quality import (
     collected_faults,
+    matrix_faults,
+    position_faults,
     raise_on_faults,
+    repeated_faults,
     required_string_columns,
     string_column_faults,
 )
@@ -130,7 +133,7 @@ def count_rows(x: DataFrame, blocks: DataFrame) -> DataFrame:
     """Non-zero counts with global ids.
 
     Ids of a file are its block start plus the position, so the big table is mapped in place and
-    never shuffled to look ids up.
+    never shuffled to look ids up. Positions must lie inside their file (``placement_faults``).
     """
     wanted = blocks.select("file", "ingest_id", "cell_start", "feature_start")
     counted = x.withColumn("raw_count", clean_count(F.col("value")))
@@ -163,6 +166,18 @@ def required_text_faults(batch: Batch, obs_mapping=None, var_mapping=None) -> Da
     )
 
 
+def _place_faults(batch: Batch) -> DataFrame:
+    """Faults of positions: those of cells and features are 0 to n - 1, those of values occur once."""
+    return position_faults(batch.obs, "row_pos", "obs").unionByName(
+        position_faults(batch.var, "col_pos", "var")
+    ).unionByName(repeated_faults(batch.x))
+
+
+def placement_faults(batch: Batch) -> DataFrame:
+    """Faults that would give a count to another cell or lose it: positions, values outside their file, NULL values."""
+    return _place_faults(batch).unionByName(matrix_faults(batch.x, freeze(batch.shapes), "placed"))
+
+
 def ingest_batch(spark: SparkSession, warehouse: str, batch: Batch, obs_mapping: dict[str, str] | None = None,
                  var_mapping: dict[str, str] | None = None, tag: str | None = None,
                  metadata_limit: int = METADATA_VALUE_LIMIT, metadata_keep: list[str] | None = None,
@@ -172,7 +187,7 @@ def ingest_batch(spark: SparkSession, warehouse: str, batch: Batch, obs_mapping:
     A faulty file fails the batch. With ``partial`` the good files are committed and the error that
     lists the faults comes afterwards. Returns the id blocks of the committed files.
     """
-    faults = freeze(required_text_faults(batch, obs_mapping, var_mapping))
+    faults = freeze(required_text_faults(batch, obs_mapping, var_mapping).unionByName(placement_faults(batch)))
     found = faults.agg(
         F.count_distinct("file").alias("n_files"), F.coalesce(F.bool_or(F.col("file") == "*"), F.lit(False)).alias("all")
     ).first()
@@ -257,7 +272,7 @@ def batch_faults(batch: Batch, schema: ArraySchema) -> DataFrame:
     var = batch.var.withColumnRenamed("var_id", "feature_name")
     return collected_faults(
         batch.obs, batch.x, var, freeze(batch.shapes), schema.obs_columns, schema.features, schema.profile, schema.is_subset
-    )
+    ).unionByName(_place_faults(batch))
 
 
 def validate_and_sanitize(batch: Batch, schema: ArraySchema) -> Batch:

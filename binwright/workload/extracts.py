@@ -14,11 +14,11 @@ from binwright.workload.tables import base_tables
 
 
 def _flat(blocks, *columns):
-    """Blocks with their sparse rows as comparable values: which columns are set and their sum."""
+    """Blocks with their sparse rows as comparable text: which columns are set, and each value in that order."""
     return blocks.select(
         F.col("extract_bin").cast("bigint").alias("extract_bin"), "row_num", "id", *columns,
         F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("indices"),
-        F.aggregate("values", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total"), "n_features",
+        F.array_join(F.transform("values", lambda v: v.cast("bigint").cast("string")), ",").alias("counted"), "n_features",
     )
 
 
@@ -84,10 +84,11 @@ def prepared_metadata(t):
 
 _BLOCKS = """
 SELECT b.extract_bin, row_number() OVER (PARTITION BY b.extract_bin ORDER BY b.shuffle_key, b.id) - 1 AS row_num, b.id,
-       b.tissue, b.tissue_code, b.donor_id, coalesce(p.indices, '') AS indices, coalesce(p.total, 0)::DOUBLE AS total,
+       b.tissue, b.tissue_code, b.donor_id, coalesce(p.indices, '') AS indices, coalesce(p.counted, '') AS counted,
        (SELECT count(*) FROM wanted_features) AS n_features
 FROM (SELECT *, (dense_rank() OVER (ORDER BY tissue) - 1)::INTEGER AS tissue_code FROM random_binned) b
-LEFT JOIN (SELECT cell_id, string_agg(feature_id::VARCHAR, ',' ORDER BY feature_id) AS indices, sum(raw_count) AS total
+LEFT JOIN (SELECT cell_id, string_agg(feature_id::VARCHAR, ',' ORDER BY feature_id) AS indices,
+                  string_agg(raw_count::VARCHAR, ',' ORDER BY feature_id) AS counted
            FROM packed GROUP BY cell_id) p ON p.cell_id = b.id"""
 
 
@@ -107,14 +108,15 @@ def extracted_range(t):
 
 
 _ALL_ENTRIES = """
-(SELECT cell_id, string_agg(col_num::VARCHAR, ',' ORDER BY col_num) AS indices, sum(raw_count) AS total
+(SELECT cell_id, string_agg(col_num::VARCHAR, ',' ORDER BY col_num) AS indices,
+                  string_agg(raw_count::VARCHAR, ',' ORDER BY col_num) AS counted
  FROM counts JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS col_num FROM features) f ON f.id = feature_id
  GROUP BY cell_id)"""
 
 
 @query("J5_extract_grouped", f"""
 SELECT g.extract_bin, row_number() OVER (PARTITION BY g.extract_bin ORDER BY g.id) - 1 AS row_num, g.id, g.tissue,
-       coalesce(p.indices, '') AS indices, coalesce(p.total, 0)::DOUBLE AS total, (SELECT count(*) FROM features) AS n_features
+       coalesce(p.indices, '') AS indices, coalesce(p.counted, '') AS counted, (SELECT count(*) FROM features) AS n_features
 FROM (SELECT id, tissue, dense_rank() OVER (ORDER BY tissue, disease, chunk) - 1 AS extract_bin
       FROM (SELECT *, (row_number() OVER (PARTITION BY tissue, disease ORDER BY id) - 1) // 1000 AS chunk FROM cells
             WHERE score > 90000)) g
@@ -129,9 +131,10 @@ def grouped(t):
 
 _RANDOMIZED = f"""
 SELECT s.extract_bin, row_number() OVER (PARTITION BY s.extract_bin ORDER BY s.shuffle_key, s.id) - 1 AS row_num, s.id,
-       coalesce(p.indices, '') AS indices, coalesce(p.total, 0)::DOUBLE AS total, (SELECT count(*) FROM axis) AS n_features
+       coalesce(p.indices, '') AS indices, coalesce(p.counted, '') AS counted, (SELECT count(*) FROM axis) AS n_features
 FROM ({SHUFFLED}) s
-LEFT JOIN (SELECT cell_id, string_agg(col_num::VARCHAR, ',' ORDER BY col_num) AS indices, sum(raw_count) AS total
+LEFT JOIN (SELECT cell_id, string_agg(col_num::VARCHAR, ',' ORDER BY col_num) AS indices,
+                  string_agg(raw_count::VARCHAR, ',' ORDER BY col_num) AS counted
            FROM counts JOIN axis ON axis.id = feature_id GROUP BY cell_id) p ON p.cell_id = s.id"""
 
 

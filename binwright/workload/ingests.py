@@ -15,6 +15,7 @@ from binwright.plans.ingest import (
     ingest_batch,
     ingest_partition,
     partition_files,
+    placement_faults,
     plan_partitions,
     read_store,
     register_batch,
@@ -162,6 +163,24 @@ def first_file(t):
     return first_file_axis(first, schema).x
 
 
-@query("I10_batch_faults_clean", "SELECT file FROM file_obs WHERE row_pos < 0", ("file_obs",))
+@query("I10_batch_faults_clean", """
+SELECT count(DISTINCT file) AS n_files, count(*) FILTER (row_pos < 0) AS n_faults FROM file_obs""", ("file_obs",))
 def clean_batch(t):
-    return batch_faults(t.batch, _array_schema(t)).select("file")
+    found = batch_faults(t.batch, _array_schema(t)).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    files = t.batch.obs.select("file", F.col("file").alias("own")).distinct().join(found, "file", "full")
+    return files.agg(F.count("own").alias("n_files"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_faults"))
+
+
+@query("J2_misplaced_values", """
+SELECT file, count(*) FILTER (row_pos % 50 = 0) AS n_outside, count(*) FILTER (row_pos % 50 <> 0 AND col_pos % 40 = 0) AS n_null
+FROM file_x GROUP BY file HAVING count(*) FILTER (row_pos % 50 = 0 OR col_pos % 40 = 0) > 0""", ("file_x",))
+def misplaced(t):
+    batch, out = t.batch, F.col("row_pos") % 50 == 0
+    x = batch.x.withColumn("value", F.when(out | (F.col("col_pos") % 40 != 0), F.col("value"))).withColumn(
+        "row_pos", F.when(out, -1 - F.col("row_pos")).otherwise(F.col("row_pos"))
+    )
+    faults = placement_faults(Batch(batch.obs, batch.var, x))
+    return faults.groupBy("file").agg(
+        F.coalesce(F.sum(F.when(F.col("check") == "X: shape", F.col("n"))), F.lit(0)).alias("n_outside"),
+        F.coalesce(F.sum(F.when(F.col("check") == "X: null", F.col("n"))), F.lit(0)).alias("n_null"),
+    )

@@ -50,10 +50,11 @@ _CHECKS = {
     "negative": "NOT isnan(value) AND value < 0",
     "non_integer": "isnan(value) OR (NOT isinf(value) AND abs(value - round_even(value, 0)) > 1e-8 + 1e-5 * abs(round_even(value, 0)))",
     "int32_range": "NOT isnan(value) AND (value > 2147483647 OR value < -2147483648)",
+    "null": "value IS NULL",
 }
 _PROFILED = (
     "SELECT file, count(*) AS n_values, "
-    + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _CHECKS.items())
+    + ", ".join(f'count(*) FILTER ({c}) AS "{n}"' for n, c in _CHECKS.items())
     + " FROM faulty_x JOIN faulty_shapes USING (file) GROUP BY file"
 )
 
@@ -72,6 +73,19 @@ _one_check("I7_integer_like", "non_integer")
 _one_check("I8_int32_range", "int32_range")
 
 
+@query("I4_null_values", """
+SELECT file, count(*) FILTER (row_pos % 7 = 0) AS n_null, count(*) FILTER (col_pos % 11 = 0 OR NOT known) AS n_outside
+FROM (SELECT *, file <> 'file_N' AS known FROM faulty_x) GROUP BY file""", ("faulty_x",))
+def null_values(t):
+    x = faulty_x(t).withColumn("value", F.when(F.col("row_pos") % 7 != 0, F.col("value"))).withColumn(
+        "col_pos", F.when(F.col("col_pos") % 11 != 0, F.col("col_pos"))
+    )
+    shapes = x.where("file <> 'file_N'").groupBy("file").agg(
+        (F.max("row_pos") + 1).alias("n_obs"), (F.max("col_pos") + 1).alias("n_vars")
+    )
+    return matrix_profile(x, shapes).select("file", F.col("null").alias("n_null"), F.col("shape").alias("n_outside"))
+
+
 @query("I1_required_strings", """
 SELECT file, 'obs: NULL values' AS "check", column_name, n, NULL::VARCHAR AS sample FROM (
   SELECT 'file_' || ingest_id::VARCHAR AS file, 'tissue' AS column_name, count(*) FILTER (tissue IS NULL) AS n
@@ -122,7 +136,7 @@ def examples(t):
 
 
 def _profile_sql(names):
-    union = " UNION ALL ".join(f"SELECT file, 'X: {n}' AS \"check\", {n} AS n FROM ({_PROFILED})" for n in names)
+    union = " UNION ALL ".join(f"SELECT file, 'X: {n}' AS \"check\", \"{n}\" AS n FROM ({_PROFILED})" for n in names)
     return f"SELECT * FROM ({union}) WHERE n > 0"
 
 
@@ -183,7 +197,7 @@ SELECT file, 'file_size' AS validator, ok AS is_valid, CASE WHEN NOT ok THEN 'Fi
 UNION ALL SELECT file, 'binwright.operators.quality.raw_counts_validator', false,
   'The sum is not close to an integer: not raw counts.' FROM gate WHERE ok
 UNION ALL SELECT file, 'binwright.operators.quality.count_matrix_validator', false,
-  concat_ws(', ', {', '.join(f"CASE WHEN {n} > 0 THEN {n}::VARCHAR || ' {n}' END" for n in _CHECKS)})
+  concat_ws(', ', {', '.join(f"""CASE WHEN "{n}" > 0 THEN "{n}"::VARCHAR || ' {n}' END""" for n in _CHECKS)})
 FROM profiled JOIN gate USING (file) WHERE ok)""", _X)
 def report(t):
     x, shapes = faulty_x(t), faulty_shapes(t)

@@ -133,15 +133,16 @@ def cleaned(t):
 
 @query("H12_sparse_rows", """
 SELECT extract_bin, cell_id, string_agg(feature_id::VARCHAR, ',' ORDER BY feature_id) AS indices,
-       sum(raw_count)::DOUBLE AS total, count(*) AS n_values FROM packed GROUP BY ALL""", ("packed",))
+       string_agg(raw_count::VARCHAR, ',' ORDER BY feature_id) AS counted FROM packed GROUP BY ALL""", ("packed",))
 def sparse_rows(t):
     packed = count_matrix(t.counts, t.features, t.wanted_features, random_bins(t.cells, 1000, seed=7))
     entries = F.transform("feature_data", lambda e: F.struct(e["feature_id"].alias("col_num"), e["raw_counts"].alias("value")))
     rows = packed.select("extract_bin", "cell_id", entries.alias("e")).select(
         "extract_bin", "cell_id", sparse_indices(F.col("e")).alias("indices"), sparse_values(F.col("e")).alias("values")
     )
-    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    def listed(column, kind):
+        return F.array_join(F.transform(column, lambda v: v.cast(kind).cast("string")), ",")
+
     return rows.select(
-        "extract_bin", "cell_id", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("indices"),
-        total.alias("total"), F.size("values").cast("bigint").alias("n_values"),
+        "extract_bin", "cell_id", listed("indices", "bigint").alias("indices"), listed("values", "bigint").alias("counted")
     )

@@ -113,6 +113,45 @@ def test_faulty_files_are_isolated(spark):
         ingest_batch(spark, warehouse, small_batch(spark, "d"), MAPS[0], {}, partial=True)
 
 
+def replaced(batch, **parts):
+    return Batch(*[parts.get(n, getattr(batch, n)) for n in ("obs", "var", "x", "uns")])
+
+
+def test_misplaced_values_fail_their_file(spark):
+    first, moved = F.col("row_pos") + F.col("col_pos") == 0, (F.col("row_pos") == 3) & (F.col("col_pos") == 2)
+    b, c, d, e, f = (small_batch(spark, name) for name in "bcdef")
+    bad = [
+        replaced(b, x=b.x.withColumn("row_pos", F.when(moved, 4).otherwise(F.col("row_pos")).cast("bigint"))),
+        replaced(c, x=c.x.withColumn("value", F.when(~first, F.col("value")))),
+        replaced(d, x=d.x.unionByName(d.x.filter(first))),
+        replaced(e, obs=e.obs.withColumn("row_pos", F.when(F.col("row_pos") < 3, F.col("row_pos")).otherwise(5).cast("bigint"))),
+        replaced(f, var=f.var.withColumn("col_pos", F.lit(1).cast("bigint"))),
+    ]
+    batch, warehouse = union(small_batch(spark, "a"), *bad, small_batch(spark, "g")), scratch_path(spark, "wh")
+    with pytest.raises(DataValidationError, match="b: X: shape"):
+        ingest_batch(spark, warehouse, batch, *MAPS)
+    with pytest.raises(IngestError) as error:
+        ingest_batch(spark, warehouse, batch, *MAPS, partial=True)
+    assert rows(error.value.faults, "file", "check", "n") == [
+        ("b", "X: shape", 1), ("c", "X: null", 1), ("d", "X: repeated positions", 1), ("e", "obs: positions", 2), ("f", "var: positions", 3)]
+    assert rows(read_table(spark, warehouse, "cell_info").groupBy("ingest_id").count()) == [(0, 4), (1, 4)]
+    assert read_table(spark, warehouse, "raw_matrix_coo").count() == 10
+
+
+def test_values_of_a_file_without_cells(spark):
+    batch = small_batch(spark, "a")
+    stray = replaced(batch, x=batch.x.unionByName(small_batch(spark, "z").x))
+    with pytest.raises(DataValidationError, match="z: X: shape"):
+        ingest_batch(spark, scratch_path(spark, "wh"), stray, *MAPS)
+
+
+def test_array_backend_reports_positions(spark):
+    schema, batch = array_inputs(spark)
+    bad = Batch(batch.obs, batch.var, batch.x.unionByName(batch.x.filter("file = 'f2' AND row_pos = 7")))
+    with pytest.raises(DataValidationError, match="f2: X: repeated positions"):
+        validate_and_sanitize(bad, schema)
+
+
 def test_staged_directory(spark):
     stage, warehouse = scratch_path(spark, "stage"), scratch_path(spark, "wh")
     spark.createDataFrame([(5, "{}")], base.BASE_TABLES["ingest_info"]).write.parquet(f"{stage}/ingest-info.parquet")

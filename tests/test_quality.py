@@ -77,6 +77,15 @@ def test_profiles_pick_their_checks(x, shapes):
         matrix_faults(x, shapes, "no_such_profile")
 
 
+def test_null_values_and_files_without_shape(spark, shapes):
+    x = spark.createDataFrame(
+        [("good", 0, 0, None), ("good", None, 0, 1.0), ("good", 1, 1, 2.0), ("unknown", 0, 0, 1.0)],
+        "file string, row_pos bigint, col_pos bigint, value double",
+    )
+    found = rows(matrix_faults(x, shapes, "count_matrix"), "file", "check", "n", "sample")
+    assert found == [("good", "X: null", 1, "NULL"), ("good", "X: shape", 1, "1.0"), ("unknown", "X: shape", 1, "1.0")]
+
+
 def test_examples_are_limited_before_the_shuffle(spark, shapes):
     many = spark.range(5000).select(
         F.lit("good").alias("file"), F.col("id").alias("row_pos"), F.lit(0).cast("bigint").alias("col_pos"), F.lit(-1.0).alias("value")
