@@ -108,6 +108,18 @@ class Coded:
         return window, np.repeat(code, reps), np.append(base, n.sum())
 
 
+class WordNumbers(dict):
+    """A word as it stands in a text: its number, -1 for others, -2 if nothing is left of it. Filled as words are met."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        bare = word.strip(EDGES)
+        number = self[word] = self.vocabulary.get(bare, -1) if bare else -2
+        return number
+
+
 CODED = "doc_id long, n_words long, places array<int>, codes array<int>"
 
 
@@ -115,20 +127,14 @@ def coded(rows: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """Per document its number of words, and the places and numbers of those in the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}  # a word as it stands in the text: its number, -1 for others, -2 if nothing is left of it
+        known = WordNumbers(vocabulary)
         for batch in batches:
             counts, places, codes = [], [], []
             for text in batch.column("text").to_pylist():
                 words = text.lower().split()
                 if len(known) > CACHED_WORDS:
                     known.clear()
-                try:
-                    found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                except KeyError:
-                    for w in set(words):
-                        if w not in known:
-                            known[w] = vocabulary.get(bare, -1) if (bare := w.strip(EDGES)) else -2
-                    found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 found = found[found != -2]
                 at = np.flatnonzero(found >= 0)
                 counts.append(len(found))
