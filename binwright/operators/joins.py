@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from binwright.operators.dims import join_dimension
 from binwright.operators.ranks import rank_by_value
 
+EXAMPLES = 5  # names per file and fault
+
 
 def cells_with_ingest(cells: DataFrame, ingests: DataFrame) -> DataFrame:
     """Cells whose ingest is known."""
@@ -107,30 +110,40 @@ def align_features(file_features: DataFrame, schema_features: DataFrame) -> Data
 
 
 def feature_set_faults(file_features: DataFrame, schema_features: DataFrame, is_subset: bool = True) -> DataFrame:
-    """``(file, fault, n_features, examples)``: unknown features, and missing ones when required.
+    """``(file, fault, n_features, examples)``: labels that are not text, unknown features, and missing ones when required.
 
-    ``schema_features`` holds ``(feature_name, position)`` with dense positions. What a file misses
-    is the difference of the position range and its own positions, an array no longer than the
-    axis, so files are never paired with features.
+    ``schema_features`` holds ``(feature_name, position)`` with dense positions. A label that is not text equals
+    no feature; its type is the fault's example. The gaps between a file's own positions give what it misses, so
+    files are never paired with features.
     """
     axis = schema_features.select("feature_name", "position")
-    names = file_features.select("file", "feature_name").distinct()
-    unknown = join_dimension(names, axis.select("feature_name"), "feature_name", "left_anti", salt_on="file")
-    faults = _fault_rows(unknown, "unknown")
+    kind = file_features.schema["feature_name"].dataType
+    names = file_features.select("file", F.col("feature_name").cast("string").alias("feature_name")).distinct()
+    if isinstance(kind, T.StringType):
+        unknown = join_dimension(names, axis.select("feature_name"), "feature_name", "left_anti", salt_on="file")
+        held = join_dimension(names, axis, "feature_name", salt_on="file").select("file", F.col("position").cast("bigint").alias("position"))
+        faults = _fault_rows(unknown, "unknown")
+    else:
+        held = None
+        typed = names.groupBy("file").agg(F.count(F.lit(1)).alias("n_features"))
+        faults = _fault_rows(names, "unknown").unionByName(typed.select(
+            "file", F.lit("not text").alias("fault"), "n_features", F.array(F.lit(kind.simpleString())).alias("examples")
+        ))
     if is_subset:
         return faults
     total = axis.count()
-    held = join_dimension(names, axis, "feature_name", salt_on="file")
-    files = names.select("file").distinct().join(
-        held.groupBy("file").agg(F.collect_set(F.col("position").cast("bigint")).alias("held")), "file", "left"
-    )
-    whole = F.sequence(F.lit(0).cast("bigint"), F.lit(total - 1).cast("bigint"))
-    gaps = files.select(
-        "file", F.array_except(whole, F.coalesce("held", F.array().cast("array<bigint>"))).alias("gaps")
-    ).filter(F.size("gaps") > 0)
-    first = gaps.select(
-        "file", F.size("gaps").cast("bigint").alias("n_features"), F.explode(F.slice("gaps", 1, 5)).alias("position")
+    end = names.select("file").distinct().withColumn("position", F.lit(total).cast("bigint"))  # closes the last gap
+    inside = Window.partitionBy("file").orderBy("position")
+    gaps = (end if held is None else held.unionByName(end)).select(
+        "file", "position", (F.row_number().over(inside) - 1).alias("before"),
+        (F.coalesce(F.lag("position").over(inside), F.lit(-1)) + 1).alias("start"),
     )
+    few = F.least(F.col("position") - 1, F.col("before") + EXAMPLES - 1)  # of the places missing so far, start - before, five in all
+    missing = gaps.groupBy("file").agg(
+        (total - F.max("before")).cast("bigint").alias("n_features"),
+        F.flatten(F.collect_list(F.when(F.col("start") <= few, F.sequence("start", few)))).alias("positions"),
+    ).filter("n_features > 0")
+    first = missing.select("file", "n_features", F.explode("positions").alias("position"))
     named = join_dimension(first, axis, "position", salt_on="file")
     missing = named.groupBy("file", "n_features").agg(F.sort_array(F.collect_list("feature_name")).alias("examples"))
     return faults.unionByName(missing.select("file", F.lit("missing").alias("fault"), "n_features", "examples"))
@@ -140,7 +153,7 @@ def _fault_rows(df: DataFrame, fault: str) -> DataFrame:
     """Count per file and its first five names; the row limit is applied before the shuffle."""
     first = Window.partitionBy("file").orderBy("feature_name")
     examples = (
-        df.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= 5)
+        df.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= EXAMPLES)
         .groupBy("file").agg(F.sort_array(F.collect_list("feature_name")).alias("examples"))
     )
     counted = df.groupBy("file").agg(F.count(F.lit(1)).alias("n_features"))

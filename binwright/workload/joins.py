@@ -120,6 +120,17 @@ def set_faults(t):
     return faults.withColumn("examples", F.array_join("examples", ","))
 
 
+@query("D8_label_type", f"""
+SELECT file, 'not text' AS fault, count(DISTINCT col_pos) AS n_features, 'bigint' AS examples FROM file_var GROUP BY file
+UNION ALL
+SELECT file, 'unknown', count(DISTINCT col_pos), array_to_string((list(DISTINCT CAST(col_pos AS VARCHAR) ORDER BY CAST(col_pos AS VARCHAR)))[1:5], ',')
+FROM file_var GROUP BY file""", ("file_var",))
+def label_types(t):
+    labels = t.batch.var.select("file", F.col("col_pos").cast("bigint").alias("feature_name"))
+    faults = feature_set_faults(labels, schema_features(t))
+    return faults.withColumn("examples", F.array_join("examples", ","))
+
+
 @query("D9_feature_axis_expansion", f"""
 SELECT x.file, x.row_pos, s.position AS col_pos, x.value FROM file_x x
 JOIN file_var v ON x.file = v.file AND x.col_pos = v.col_pos JOIN {_SCHEMA} s ON v.var_id = s.feature_name""",

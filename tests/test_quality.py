@@ -137,6 +137,12 @@ def test_feature_sets(spark):
         ("b", "missing", 7, ["g0", "g1", "g2", "g4", "g5"]), ("b", "unknown", 1, ["new"]),
         ("c", "missing", 8, ["g0", "g1", "g2", "g3", "g4"]), ("c", "unknown", 1, ["other"]),
     ]
+    scattered = spark.createDataFrame([("d", f"g{i}") for i in (1, 2, 4, 7)] + [("e", f"g{i}") for i in range(7)], "file string, feature_name string")
+    assert rows(feature_set_faults(scattered, schema, is_subset=False)) == [
+        ("d", "missing", 4, ["g0", "g3", "g5", "g6"]), ("e", "missing", 1, ["g7"])]
+    numbers = spark.createDataFrame([("f", 1), ("f", 2)], "file string, feature_name bigint")
+    assert rows(feature_set_faults(numbers, schema, is_subset=False)) == [
+        ("f", "missing", 8, ["g0", "g1", "g2", "g3", "g4"]), ("f", "not text", 2, ["bigint"]), ("f", "unknown", 2, ["1", "2"])]
     x = spark.createDataFrame([("b", 0, 0, 5.0), ("b", 0, 1, 6.0)], "file string, row_pos bigint, col_pos bigint, value double")
     assert rows(expand_to_axis(x, files, schema)) == [("b", 0, 3, 5.0)]
 
