@@ -42,21 +42,17 @@ keyed AS (
 
 
 @query("J3_prepare_extract", """
-SELECT extract_bin, count(*) AS n_cells, sum(n) ::BIGINT AS n_values, sum(s)::BIGINT AS total FROM (
-  SELECT b.extract_bin, b.id, count(p.cell_id) AS n, coalesce(sum(p.raw_count), 0) AS s
-  FROM random_binned b LEFT JOIN packed p ON b.id = p.cell_id GROUP BY ALL) GROUP BY extract_bin""",
-       ("random_binned", "packed"))
+SELECT b.extract_bin, b.id, count(p.cell_id) AS n_values,
+       coalesce(string_agg(p.feature_id::VARCHAR || ':' || p.raw_count::VARCHAR, ' ' ORDER BY p.feature_id), '') AS entries
+FROM random_binned b LEFT JOIN packed p ON b.id = p.cell_id GROUP BY ALL""", ("random_binned", "packed"))
 def prepared(t):
     path, _ = _prepared(t, _RANDOM)
     cells = read_binned(t.spark, f"{path}/cell_info")
     packed = read_binned(t.spark, f"{path}/count_matrix")
-    sizes = packed.select(
-        F.col("cell_id").alias("id"), F.size("feature_data").alias("n"),
-        F.aggregate("feature_data", F.lit(0).cast("bigint"), lambda a, e: a + e["raw_counts"]).alias("s"),
-    )
-    return cells.join(sizes, "id", "left").groupBy("extract_bin").agg(
-        F.count(F.lit(1)).alias("n_cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"),
-        F.coalesce(F.sum("s"), F.lit(0)).alias("total"),
+    text = F.transform("feature_data", lambda e: F.concat(e["feature_id"].cast("string"), F.lit(":"), e["raw_counts"].cast("string")))
+    counts = packed.select(F.col("cell_id").alias("id"), F.size("feature_data").cast("bigint").alias("n"), F.array_join(text, " ").alias("text"))
+    return cells.join(counts, "id", "left").select(
+        F.col("extract_bin").cast("bigint").alias("extract_bin"), "id", F.coalesce("n", F.lit(0)).alias("n_values"), F.coalesce("text", F.lit("")).alias("entries")
     )
 
 
