@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 * 2**20
+ROW_BYTES = 32  # of a row's header, beside its columns
 SALTS = 16
 
 
+def _bytes(field: T.StructField) -> Column:
+    """About what a value takes in a broadcast table."""
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)) + 16
+    return F.lit(16)
+
+
 def fits_broadcast(dim: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return dim.count() <= rows
+    """Whether ``dim`` has at most ``rows`` rows and about ``BROADCAST_BYTES`` bytes."""
+    size = sum((_bytes(f) for f in dim.schema.fields), F.lit(ROW_BYTES)).cast("bigint")
+    found = dim.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return found["n"] <= rows and found["size"] <= BROADCAST_BYTES
 
 
 def join_dimension(big: DataFrame, dim: DataFrame, on: str | list[str], how: str = "inner",
                    salt_on: str | list[str] | None = None, rows: int = BROADCAST_ROWS,
                    fits: bool | None = None) -> DataFrame:
-    """``big`` joined with ``dim``, which holds few rows per key and only narrow columns.
+    """``big`` joined with ``dim``, which holds few rows per key.
 
-    A dimension of at most ``rows`` rows is broadcast, so the big side never moves. A larger one is
+    A dimension of at most ``rows`` rows and ``BROADCAST_BYTES`` bytes is broadcast, so the big side never moves. A larger one is
     joined by shuffle on the key plus a salt: the salt is a pure function of ``salt_on`` (never
     random, so a retried task routes its rows the same way) and spreads a hot key over ``SALTS``
     tasks. ``fits`` passes the outcome of an earlier check of the same dimension. ``how`` may be inner, left, left_semi or left_anti; the big side is on the left.

@@ -178,3 +178,11 @@ def test_no_single_task_over_cells(skewed, capsys):
     text = capsys.readouterr().out
     windows = [b for b in text.split("\n\n") if "SinglePartition" in b]
     assert windows and all("_bucket" in b and "key#" not in b for b in windows)
+
+
+def test_broadcast_counts_bytes(spark, monkeypatch):
+    narrow = spark.range(1000)
+    wide = narrow.select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    monkeypatch.setattr(dims, "BROADCAST_BYTES", 500_000)
+    assert dims.fits_broadcast(narrow) and not dims.fits_broadcast(wide) and not dims.fits_broadcast(narrow, rows=10)
+    assert dims.fits_broadcast(wide.limit(0))
