@@ -21,7 +21,7 @@ from binwright.operators.projection import (
 )
 from binwright.operators.ranks import bin_names, random_bins
 from binwright.plans.prepare import check_feature_ids
-from binwright.session import freeze
+from binwright.session import freeze, written
 from binwright.sources.base import path_exists
 from binwright.sources.sinks import (
     EXTRACT_METADATA,
@@ -167,7 +167,7 @@ def requested_axis(features: DataFrame, column: str | None, values: list[str] |
 
 
 def blocks_of_bins(binned: DataFrame, counts: DataFrame, axis: DataFrame, order: list[str]) -> DataFrame:
-    """Sparse blocks straight from base tables, for cells that already carry ``extract_bin``."""
+    """Sparse blocks straight from base tables, for written cells that carry ``extract_bin``: they are read twice."""
     on_axis = join_dimension(counts, axis, "feature_id", salt_on="cell_id").select(
         "cell_id", F.col("col_num").alias("feature_id"), "raw_count"
     )
@@ -183,7 +183,7 @@ def extract_grouped(cells: DataFrame, counts: DataFrame, features: DataFrame, ou
     ``bins`` limits the run to the bins ``[start, end)``, for work split over several runs.
     """
     binned = _bin_slice(grouped_bins(where(cells, filters), keys, bin_size), bins)
-    kept = keep_existing(binned, None if obs_columns is None else [*obs_columns, "extract_bin"])
+    kept = written(keep_existing(binned, None if obs_columns is None else [*obs_columns, "extract_bin"]), "binned_cells")
     axis = requested_axis(features, feature_column, feature_values)
     return _write(
         blocks_of_bins(kept, counts, axis, ["id"]), requested_features(features, axis, feature_columns), output,
@@ -226,7 +226,7 @@ def extract_randomized(cells: DataFrame, counts: DataFrame, features: DataFrame,
     found = where(cells, filters)
     binned = shuffle_into_bins(found, bin_size, seed, count_selected(found, filters), shuffle_names)
     binned = _bin_slice(binned, bins)
-    kept = keep_existing(binned, None if obs_columns is None else [*obs_columns, "extract_bin", "shuffle_key"])
+    kept = written(keep_existing(binned, None if obs_columns is None else [*obs_columns, "extract_bin", "shuffle_key"]), "binned_cells")
     axis = requested_axis(features, feature_column, feature_values)
     return _write(
         blocks_of_bins(kept, counts, axis, ["shuffle_key", "id"]),

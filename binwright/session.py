@@ -57,6 +57,13 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for a frame with many rows that several parts of a job read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def default_buckets(spark: SparkSession) -> int:
     """Buckets for distributed ranks: a power of two, about 16 per shuffle partition.
 
