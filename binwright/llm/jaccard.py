@@ -1,10 +1,11 @@
-"""Exact Jaccard join of documents' sets of three-word shingles, with skipping by set relations.
+"""Exact Jaccard join of documents' sets of word shingles, with skipping by set relations.
 
-Two documents link when 100 * |A and B| >= 90 * |A or B|. Sets are of 64-bit hashes of shingles.
+Two documents link when 100 * |A and B| >= percent * |A or B|: by default 90 over shingles of three words, the figures
+of op7; the pipeline takes 80 over five. Sets are of 64-bit hashes of shingles.
 
 1. Equal sets are one class (by a 128-bit digest of the set); one document stands for it from here on.
 2. All sets are ordered alike: shingles that are frequent come last, others by hash. Linked sets share a shingle
-   among the first |A| - ceil(0.9 |A|) + 1, so only those are indexed. Which shingles are frequent only steers
+   among the first |A| - ceil(percent / 100 |A|) + 1, so only those are indexed. Which shingles are frequent only steers
    the amount of work: at most ``FREQUENT`` of them are named, by a threshold that is a share of all entries.
 3. The index is a list per shingle in order of (set size, position). Within a list, blocks of positions that leave
    too few shingles for the required overlap are skipped, as are sizes out of range.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from binwright.llm.common import doc_key, id_and_text, joined, ship, stored
 
-PERCENT = 90
+PERCENT = 90  # defaults: the figures of op7
 SHINGLE = 3
 FREQUENT = 100_000
 NEAR = 64
@@ -44,13 +45,13 @@ CACHED_WORDS = 400_000  # per Python worker; emptied when full
 _WORDS: dict[bytes, int] = {}
 
 
-def required(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap with which sets of these sizes link."""
-    return -(-PERCENT * (n + m) // (100 + PERCENT))
+    return -(-percent * (n + m) // (100 + percent))
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -59,7 +60,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str) -> np.ndarray:
+def shingles(text: str, shingle: int) -> np.ndarray:
     """The set of hashed shingles of a text, ascending. Fewer words than a shingle are one shingle."""
     import xxhash
 
@@ -76,7 +77,7 @@ def shingles(text: str) -> np.ndarray:
             if w not in _WORDS:
                 _WORDS[w] = xxhash.xxh3_64_intdigest(w)
         hashes[:] = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(words))
+    width = min(shingle, len(words))
     out = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
         out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(words) - width + 1 + i])
@@ -127,29 +128,29 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def set_sizes(rows: DataFrame) -> DataFrame:
+def set_sizes(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, n, digest of the set, and its first shingles by hash."""
 
     def make(batch):
-        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        sets = [shingles(t, shingle) for t in batch.column("text").to_pylist()]
         return [
             batch.column("doc_id"), [len(s) for s in sets],
             [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-            [_signed(s[: prefix_length(len(s))]) if len(s) else [] for s in sets],
+            [_signed(s[: prefix_length(len(s), percent)]) if len(s) else [] for s in sets],
         ]
 
     return _map(rows, "doc_id long, n long, digest binary, first array<long>", make)
 
 
-def indexed_sets(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+def indexed_sets(rows: DataFrame, frequent: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """doc_id, text_key, n, digest, bitmaps and the first shingles with ``frequent`` ones (sorted) last."""
 
     def make(batch):
-        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        sets = [shingles(t, shingle) for t in batch.column("text").to_pylist()]
         first = []
         for s in sets:
             common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
-            first.append(_signed(np.concatenate((s[~common], s[common]))[: prefix_length(len(s))]) if len(s) else [])
+            first.append(_signed(np.concatenate((s[~common], s[common]))[: prefix_length(len(s), percent)]) if len(s) else [])
         return [
             batch.column("doc_id"), batch.column("text_key"), [len(s) for s in sets],
             [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [bitmap(s) for s in sets],
@@ -183,7 +184,7 @@ def index_lists(entries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "shingle long, n long, pos long, id long")
 
 
-def near_pairs(lists: DataFrame) -> DataFrame:
+def near_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each entry with the nearest of the ``NEAR`` before it that it may link with, and with the first."""
     ordered = lists.repartition("shingle").sortWithinPartitions(*LIST)
 
@@ -199,13 +200,13 @@ def near_pairs(lists: DataFrame) -> DataFrame:
                 if not len(waiting):
                     break
                 x, y = rows[waiting], rows[waiting - back]
-                ok = _allowed(x, y)
+                ok = _allowed(x, y, percent)
                 found.append((x[ok, 3], y[ok, 3]))
-                waiting = waiting[~ok & (100 * y[:, 1] >= PERCENT * x[:, 1])]  # sizes ascend: before a small one, all are small
+                waiting = waiting[~ok & (100 * y[:, 1] >= percent * x[:, 1])]  # sizes ascend: before a small one, all are small
             index = np.arange(len(rows))
             first = np.maximum.accumulate(np.where(np.append(True, rows[1:, 0] != rows[:-1, 0]), index, 0))
             x, y = rows[start:], rows[first[start:]]
-            ok = (first[start:] < index[start:]) & _allowed(x, y)
+            ok = (first[start:] < index[start:]) & _allowed(x, y, percent)
             found.append((x[ok, 3], y[ok, 3]))
             held = rows[-NEAR:]
             a, b = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -215,39 +216,39 @@ def near_pairs(lists: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _allowed(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Whether entries of the same lists may link, by sizes, positions and short bitmaps."""
-    most = x[:, 1] + y[:, 1] - 2 * required(x[:, 1], y[:, 1])
+    most = x[:, 1] + y[:, 1] - 2 * required(x[:, 1], y[:, 1], percent)
     differ = np.bitwise_count(x[:, 4:] ^ y[:, 4:]).sum(1, dtype=np.int64)
-    return may_link(x[:, 1], x[:, 2], y[:, 1], y[:, 2]) & (differ <= most)
+    return may_link(x[:, 1], x[:, 2], y[:, 1], y[:, 2], percent) & (differ <= most)
 
 
-def may_link(n, i, m, j):
+def may_link(n, i, m, j, percent):
     """Whether sets of sizes n and m can link if the first shingle they share is at positions i and j."""
-    need = required(n, m)
-    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (n - i >= need) & (m - j >= need)
+    need = required(n, m, percent)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (n - i >= need) & (m - j >= need)
 
 
-def _passing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _passing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, n_a, n_b) whose bitmaps allow a link."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
 
     def make(batch):
         a, b, n, m = (batch.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b"))
-        most = n + m - 2 * required(n, m)
+        most = n + m - 2 * required(n, m, percent)
         ok = np.array([least_difference(x, y) <= d for x, y, d in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), most, strict=True)], bool)
         return [a[ok], b[ok], n[ok], m[ok]]
 
     return _map(pairs.join(side("a"), "a").join(side("b"), "b"), "a long, b long, n_a long, n_b long", make)
 
 
-def _overlaps(pairs: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
+def _overlaps(pairs: DataFrame, members: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """Exact overlap of each pair: a, b, n_a, n_b, overlap. Full sets are made for the documents in pairs alone."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(members, "id"), "wanted_sets")
     text = rows.withColumn("doc_key", doc_key())
     full = _map(
         joined(text, wanted, ["doc_key", "text_key"], "inner").select("id", "text"), "id long, elements binary",
-        lambda batch: [batch.column("id"), [shingles(t).tobytes() for t in batch.column("text").to_pylist()]],
+        lambda batch: [batch.column("id"), [shingles(t, shingle).tobytes() for t in batch.column("text").to_pylist()]],
     ).dropDuplicates(["id"])
     full = stored(full, "full_sets")
 
@@ -260,8 +261,8 @@ def _overlaps(pairs: DataFrame, members: DataFrame, rows: DataFrame) -> DataFram
     return _map(filled, "a long, b long, n_a long, n_b long, overlap long", make)
 
 
-def links(overlaps: DataFrame) -> DataFrame:
-    return overlaps.where(f"100 * overlap >= {PERCENT} * (n_a + n_b - overlap)").select("a", "b")
+def links(overlaps: DataFrame, percent: int) -> DataFrame:
+    return overlaps.where(f"100 * overlap >= {percent} * (n_a + n_b - overlap)").select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,18 +290,21 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links), per row of ``docs``."""
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links), per row of ``docs``.
+
+    ``shingle`` is the number of words of a shingle, ``percent`` the similarity from which documents link.
+    """
     ship(docs.sparkSession)
     rows = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
-    sized = stored(set_sizes(rows), "set_sizes")
+    sized = stored(set_sizes(rows, shingle, percent), "set_sizes")
     counts = sized.select(F.explode("first").alias("shingle")).groupBy("shingle").count()
     entries = sized.agg(F.sum(F.size("first"))).first()[0] or 0
     often = counts.where(F.col("count") >= max(4, entries // FREQUENT)).select("shingle")  # at most FREQUENT rows
     frequent = np.sort(often.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
     sets = stored(
-        indexed_sets(rows, frequent).where("n > 0").withColumn("doc_key", doc_key()).groupBy("digest").agg(
+        indexed_sets(rows, frequent, shingle, percent).where("n > 0").withColumn("doc_key", doc_key()).groupBy("digest").agg(
             F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_key", "text_key")).alias("at"), F.first("n").alias("n"),
             F.first("bits").alias("bits"), F.first("short").alias("short"), F.first("first").alias("first"),
         ).select("digest", "doc_id", "at.*", "n", "bits", "short", "first", F.coalesce("doc_id", F.xxhash64("digest")).alias("id")),
@@ -319,14 +323,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lists = stored(index_lists(entries).join(short, "id").select(*LIST, *BITS), "index_lists")
     members = sets.select("id", "doc_key", "text_key")  # where the text of a set is
 
-    led = stored(near_pairs(lists), "near_pairs")
-    known = stored(_overlaps(stored(_passing(led, sets), "near_pairs"), members, rows), "overlaps")
-    first = stored(components(links(known)), "components")
+    led = stored(near_pairs(lists, percent), "near_pairs")
+    known = stored(_overlaps(stored(_passing(led, sets, percent), "near_pairs"), members, rows, shingle), "overlaps")
+    first = stored(components(links(known, percent)), "components")
 
-    rest = stored(_between(lists, first).join(led, ["a", "b"], "left_anti"), "other_pairs")
-    rest = stored(_passing(_derived(rest, known), sets), "open_pairs")
-    more = stored(_overlaps(rest, members, rows), "overlaps") if not rest.isEmpty() else None
-    every = links(known) if more is None else links(known).unionByName(links(more))
+    rest = stored(_between(lists, first, percent).join(led, ["a", "b"], "left_anti"), "other_pairs")
+    rest = stored(_passing(_derived(rest, known, percent), sets, percent), "open_pairs")
+    more = stored(_overlaps(rest, members, rows, shingle), "overlaps") if not rest.isEmpty() else None
+    every = links(known, percent) if more is None else links(known, percent).unionByName(links(more, percent))
     final = first if more is None else stored(components(every), "components")
 
     named = sets.select("digest", "id", F.col("doc_id").alias("least")).join(final, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -337,7 +341,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def _between(lists: DataFrame, comps: DataFrame) -> DataFrame:
+def _between(lists: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b, n_a, n_b) of sets in different components that share a list and may link.
 
     In each list the entries outside its largest component meet the others, so a component never meets itself.
@@ -347,11 +351,11 @@ def _between(lists: DataFrame, comps: DataFrame) -> DataFrame:
         F.max_by("comp", "count").alias("largest"), F.count(F.lit(1)).alias("comps")
     ).where("comps > 1").select("shingle", "largest")
     entries = stored(entries.join(largest, "shingle"), "mixed_lists")
-    need = f"ceil({PERCENT} * (x.n + y.n) / {100 + PERCENT})"
+    need = f"ceil({percent} * (x.n + y.n) / {100 + percent})"
     differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in BITS)
     pairs = entries.where("comp != largest").alias("x").join(entries.alias("y"), F.expr(
         f"x.shingle = y.shingle AND x.comp != y.comp AND (y.comp = y.largest OR x.id < y.id) "
-        f"AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) AND x.n - x.pos >= {need} AND y.n - y.pos >= {need} "
+        f"AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.n - x.pos >= {need} AND y.n - y.pos >= {need} "
         f"AND {differ} <= x.n + y.n - 2 * {need}"
     ))
     first = F.col("x.id") < F.col("y.id")
@@ -361,7 +365,7 @@ def _between(lists: DataFrame, comps: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _derived(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _derived(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) without those that the answers of a similar set rule out."""
     two_ways = known.select("a", "b", "n_a", "overlap").unionByName(
         known.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), "overlap")
@@ -371,7 +375,7 @@ def _derived(pairs: DataFrame, known: DataFrame) -> DataFrame:
         F.col("a").alias("x"), F.col("near.p").alias("p"), F.col("near.outside").alias("outside")
     )
     answers = two_ways.select(F.col("a").alias("p"), F.col("b").alias("y"), "overlap")
-    need = F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / (100 + PERCENT))
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     for x, y in (("a", "b"), ("b", "a")):
         bounded = pairs.withColumnRenamed(x, "x").withColumnRenamed(y, "y").join(near, "x").join(answers, ["p", "y"])
         out = bounded.where(F.col("overlap") + F.col("outside") < need).select(F.col("x").alias(x), F.col("y").alias(y))

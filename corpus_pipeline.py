@@ -4,7 +4,7 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 
 1. ``quality``: rows that the classifier rejects go.
 2. ``line_dedup``: repeated lines go; a document all of whose lines went goes with them.
-3. ``jaccard``: of each component of similar documents the one with the least doc_id stays.
+3. ``jaccard``: of each component of similar documents (five-word shingles, 80 %) the one with the least doc_id stays.
 4. ``decontaminate``: documents with a benchmark passage go.
 5. ``pieces``: token counts and digests of the ids and of the decoded text.
 """
@@ -19,6 +19,10 @@ from binwright.llm import decontaminate, jaccard, line_dedup, pieces, quality
 from binwright.llm.common import SPACES, stored, table
 
 
+SHINGLE = 5
+PERCENT = 80
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
@@ -31,7 +35,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = jaccard.jaccard_components(docs)
+    joined = jaccard.jaccard_components(docs, SHINGLE, PERCENT)
     gone = joined.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 

@@ -1,5 +1,7 @@
 """The pipeline on a small table: every stage's decisions take effect, columns pass, clean documents stay."""
 
+import random
+
 import corpus_pipeline
 from tests.llm.test_operators import prose
 
@@ -28,3 +30,37 @@ def test_stages(spark, tmp_path):
     assert left[1] == ids | {3001, 3002} and left[2] == ids | {3002}
     assert left[3] == left[4] == ids
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "jaccard", "decontaminate", "pieces"]
+
+
+def shingle_similarity(a, b, width):
+    x, y = ({tuple(w[k:k + width]) for k in range(len(w) - width + 1)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_jaccard_stage_links_at_four_fifths_of_five_word_shingles(spark):
+    rng, rows = random.Random(21), []
+    for base in range(8):
+        words = prose(7000 + base, 150).split()
+        for copy in range(8):  # changes at one end leave more of the five-word shingles than changes all over
+            changed = list(words)
+            for at in rng.sample(range(150), rng.randint(0, 4)):
+                changed[at] = f"new{base}x{copy}x{at}"
+            rows.append((100 * base + copy, " ".join(changed[: 150 - rng.randint(0, 14)])))
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    between = 0
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and shingle_similarity(a, b, 5) >= 0.8:
+                between += shingle_similarity(a, b, 3) < 0.9
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    assert between >= 20
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.jaccard_stage(spark, table, "").select("doc_id").collect()}
+    assert left == {i for i, _ in rows if root(i) == i}
