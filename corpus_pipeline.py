@@ -3,7 +3,7 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
 
 1. ``quality``: rows that the classifier rejects go.
-2. ``line_dedup``: repeated lines go; a document all of whose lines went goes with them.
+2. ``line_dedup``: repeated lines go, those with one word edited too; a document all of whose lines went goes with them.
 3. ``jaccard``: of each component of similar documents (five-word shingles, 80 %) the one with the least doc_id stays.
 4. ``decontaminate``: documents with a benchmark passage go.
 5. ``pieces``: token counts and digests of the ids and of the decoded text.
@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_repeated_lines(docs)
+    out = line_dedup.drop_repeated_lines(docs, word_edits=True)
     emptied = (F.col("n_kept_lines") < F.col("n_lines")) & (F.regexp_replace("text", SPACES, "") == "")
     kept = out.where(~emptied).withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(*docs.columns)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tests.llm.test_operators import prose
+from tests.llm.test_operators import prose, within_one
 
 
 def test_stages(spark, tmp_path):
@@ -64,3 +64,39 @@ def test_jaccard_stage_links_at_four_fifths_of_five_word_shingles(spark):
     table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = {r.doc_id for r in corpus_pipeline.jaccard_stage(spark, table, "").select("doc_id").collect()}
     assert left == {i for i, _ in rows if root(i) == i}
+
+
+def within_one_word(a, b):
+    a, b = a.split(" "), b.split(" ")
+    if abs(len(a) - len(b)) > 1:
+        return False
+    p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[p + (len(a) >= len(b)):] == b[p + (len(b) >= len(a)):]
+
+
+def test_line_stage_drops_lines_with_one_word_edited(spark):
+    rng, texts = random.Random(22), []
+    base = [prose(8000 + s, n) for s, n in enumerate([7, 8, 9, 12, 20, 60])]
+    for _ in range(50):
+        lines = []
+        for line in rng.choices(base, k=3):
+            words = line.split(" ")
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                p = rng.randrange(len(words))
+                words[p : p + rng.randint(0, 1)] = rng.choice([[], [f"unlike{rng.randint(0, 30)}"]])
+            lines.append(" ".join(words))
+        texts.append("\n".join(lines))
+    seen, want, by_word = [], {}, 0
+    for i, text in enumerate(texts):
+        kept = []
+        for line in text.split("\n"):
+            by_char = any(line == s or within_one(line, s) for s in seen)
+            near = by_char or any(min(line.count(" "), s.count(" ")) >= 7 and within_one_word(line, s) for s in seen)
+            by_word += near and not by_char
+            kept += [] if near else [line]
+            seen.append(line)
+        if kept:
+            want[i] = "\n".join(kept)
+    assert by_word >= 30 and sum(t.count("\n") + 1 for t in want.values()) >= 30
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, table, "").collect()} == want
