@@ -8,7 +8,8 @@ of each). Scoring uses every passage of every text.
 
 Defined cases: null text is empty; an empty text scores 0. Without labels of both classes, every other text
 scores the share of label 1 (0.5 without labels). Several labels of one id count as their mean, rounded half up;
-null labels are ignored. A null ``doc_id`` has no label; repeated ids are scored row by row. An empty table gives
+null labels are ignored. A null ``doc_id`` has no label; of the rows of a repeated id one is learned from, the one with
+the least hash of its text, and all are scored row by row. An empty table gives
 no rows. ``score_quality`` reads doc_id and text only.
 """
 
@@ -148,7 +149,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
     share = min(1.0, sample / max(1, known.count()))
     rank = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(2**31)) / 2**31
     picked = known.where(rank < share).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    rows = id_and_text(docs).join(F.broadcast(picked), "doc_id")  # about ``sample`` rows, by the share above
+    rows = id_and_text(docs).join(F.broadcast(picked), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    rows = rows.groupBy("doc_id", "label").agg(one).select("doc_id", "label", "one.text")  # about ``sample`` rows, by the share above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -127,6 +127,16 @@ def test_quality_learns_and_keeps_columns(spark):
     assert {r.score for r in quality.quality_report(docs(spark, [(1, "a"), (2, None)]), nothing).collect()} == {0.5, 0.0}
 
 
+def test_quality_learns_from_one_row_of_a_repeated_id(spark, monkeypatch):
+    rows, labels = bags()
+    rows += [(4, prose(9000 + i, 80)) for i in range(200)]
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda b, y: seen.append([x.tobytes() for x in b]) or fit(b, y, steps=1))
+    for part in (3, 7):  # the row does not depend on the partitions
+        quality.learn_quality(docs(spark, rows).repartition(part), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert len(seen[0]) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in labels) and seen[0] == seen[1]
+
+
 def test_attention_gradients():
     import numpy as np
 
