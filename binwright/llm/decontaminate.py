@@ -12,7 +12,8 @@
 4. A candidate counts if the longest common subsequence of words covers ``COVER`` of the item's passage (all of it for
    fewer than ``SHORT`` words) and half of the words of its answer, the passage's last ``ANSWER`` words, are in order in the window.
 
-Documents that hold too few feature words of every item for such a cosine to be possible are left out before it.
+Documents that hold too few words of every item for the subsequence of step 4 are left out before step 3, as are windows
+without features. This loses nothing that the steps find, whatever the cosine of the projections.
 Words are compared in lower case without punctuation at their ends.
 
 Defined cases: null text is empty and has no passages; so do empty and null benchmark items, which are never found.
@@ -302,9 +303,31 @@ def place_bits(words: list) -> dict:
     return out
 
 
-def least_features(weights: list[np.ndarray]) -> np.ndarray:
-    """Per item, given the squares of its unit row: the fewest features with which a cosine of ``COSINE`` is possible."""
-    return np.array([1 + int((np.cumsum(np.sort(w)[::-1]) < COSINE**2 - 1e-9).sum()) for w in weights])
+def least_words(sizes: np.ndarray) -> np.ndarray:
+    """Per item of so many words: the fewest of its places that the longest common subsequence must cover."""
+    return np.where(sizes >= SHORT, np.ceil(COVER * sizes - 1e-9).astype(np.int64), sizes)
+
+
+class Places:
+    """How many places of each item can be covered by the words of a document, and how many must be."""
+
+    def __init__(self, item: np.ndarray, word: np.ndarray, count: np.ndarray, size: int, need: np.ndarray):
+        order = np.argsort(word, kind="stable")
+        self.item, self.count, self.need = item[order], count[order].astype(float), need
+        self.first = np.searchsorted(word[order], np.arange(size + 1))
+
+    def possible(self, doc: np.ndarray, word: np.ndarray, n_docs: int) -> np.ndarray:
+        """Per document, given its different words (by document), whether they can cover enough places of some item."""
+        n_items, out = len(self.need), np.zeros(n_docs, bool)
+        step = max(1, 4_000_000 // n_items)
+        for at in range(0, n_docs, step):
+            a, b = np.searchsorted(doc, [at, at + step])
+            n = self.first[word[a:b] + 1] - self.first[word[a:b]]
+            post = np.repeat(self.first[word[a:b]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rows = min(step, n_docs - at)
+            met = np.bincount(np.repeat(doc[a:b] - at, n) * n_items + self.item[post], self.count[post], rows * n_items)
+            out[at : at + rows] = (met.reshape(rows, n_items) >= self.need).any(1)
+        return out
 
 
 HITS = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
@@ -324,24 +347,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     basis = latent_basis(rows, items, weight, total).astype(np.float32)
     passages, ids = [[items.vocabulary[w] for w in p] for p in items.passages], items.ids
     row = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
-    entries = _tfidf(*_counted(row, np.array([c for p in passages for c in p]), size), weight)
+    item, word, count = _counted(row, np.array([c for p in passages for c in p]), size)
+    entries = _tfidf(item, word, count, weight)
     queries = _project(*entries, basis).astype(np.float32)
-    order = np.argsort(entries[1], kind="stable")
-    holders, first = entries[0][order], np.searchsorted(entries[1][order], np.arange(size + 1))  # items per feature
-    fewest = least_features([entries[2][entries[0] == i] ** 2 for i in range(len(passages))])
+    sizes, feature = np.array([len(p) for p in passages]), weight[word] > 0
+    need = least_words(sizes)
+    # Of the places with features, those that the others cannot make up for; a window without any has no direction.
+    fewest = np.maximum(1, np.bincount(item[feature], count[feature], len(passages)).astype(np.int64) - (sizes - need))
+    by_feature = Places(item[feature], word[feature], count[feature], size, fewest)
+    by_word = Places(item, word, count, size, need)
     weight = weight.astype(np.float32)
 
     def possible(docs: Coded) -> np.ndarray:
-        """Per document whether it holds enough features of some item."""
-        keep = weight[docs.code] > 0
-        pair = np.unique(docs.doc[keep] * size + docs.code[keep])
+        """Per document whether it holds enough words of some item."""
+        pair = np.unique(docs.doc * size + docs.code)
         doc, code = pair // size, pair % size
-        n = first[code + 1] - first[code]
-        at = np.repeat(first[code], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        met, count = np.unique(np.repeat(doc, n) * len(passages) + holders[at], return_counts=True)
-        out = np.zeros(len(docs.lengths), bool)
-        out[met[count >= fewest[met % len(passages)]] // len(passages)] = True
-        return out
+        keep = weight[code] > 0
+        some = by_feature.possible(doc[keep], code[keep], len(docs.lengths))
+        keep = some[doc]
+        return some & by_word.possible(doc[keep], code[keep], len(docs.lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, tails = [place_bits(p) for p in passages], [place_bits(p[-ANSWER:]) for p in passages]

@@ -310,6 +310,17 @@ def test_decontaminate(spark):
     assert left.count() == len(rows) - len(got) and left.columns == docs(spark, []).columns
 
 
+def test_decontaminate_retrieves_by_the_latent_cosine_alone(spark, monkeypatch):
+    # The paraphrases keep 46 of 60 words in order, but only 2 of 16 features: a plain TF-IDF cosine is below 0.5.
+    items = [(i, " ".join(f"i{i}w{k:02}" for k in range(60))) for i in range(4)]
+    para = [(5000 + i, " ".join("other" if w[3:] < "14" else w for w in t.split())) for i, t in items]
+    rows = [(i, prose(i, 20)) for i in range(1200)] + para
+    basis = decontaminate.latent_basis
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda *a: basis(*a, rank=4))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(5000 + i, i) for i in range(4)}
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
