@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from binwright.llm import chat, decontaminate, exact_dedup, jaccard, langid, line_dedup, phrases, pieces, pii, quality, runs, token_files
+from binwright.llm import chat, decontaminate, exact_dedup, jaccard, langid, line_dedup, minhash, phrases, pieces, pii, quality, runs, token_files
 from binwright.llm.common import table
 
 
@@ -60,8 +60,13 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.runs_report(table(spark, folder, "documents"))
 
 
+def op13_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_line_dedup, op3_quality, op4_language, op5_token_files, op6_chat_format, op7_jaccard,
     op8_personal_data, op9_decontaminate, op10_pieces, op11_phrases, op12_periodic_runs,
+    op13_near_duplicates,
 )}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op6_chat_format": chat.ORACLE}
