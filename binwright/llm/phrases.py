@@ -78,9 +78,9 @@ def _phrase_hashes(lang: str, words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _places(hashes: np.ndarray) -> np.ndarray:
-    """The two bits of each hash in the table."""
-    size = np.uint64(TABLE_BITS)
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The two bits of each hash in a table of ``bits``."""
+    size = np.uint64(bits)
     return np.stack((hashes % size, (hashes >> np.uint64(32)) % size)).astype(np.int64)
 
 
@@ -123,7 +123,7 @@ def _block_counts(words: list[bytes], texts: dict[str, list[np.ndarray]], length
             if n < 2:
                 continue
             shorter = _phrase_hashes(lang, [hashes[ids[j : n + j]] for j in range(length - 1)])
-            bits = _places(shorter)
+            bits = _places(shorter, 8 * len(table))
             ok = ((table[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1).all(0)
             for j in range(length - 1):
                 ok &= ids[j : n + j] != 0
@@ -176,8 +176,8 @@ def _counted(docs: DataFrame, length: int, table) -> DataFrame:
     return docs.mapInArrow(run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _table(frequent: DataFrame) -> np.ndarray:
-    """The bit table of these phrases. Its cells come to the driver: at most TABLE_BITS / 64."""
+def _table(frequent: DataFrame, bits: int) -> np.ndarray:
+    """The bit table of these phrases. Its cells come to the driver: at most ``bits`` / 64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,13 +185,13 @@ def _table(frequent: DataFrame) -> np.ndarray:
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(phrase.encode("utf-8", "surrogatepass").split(b" "))
             for lang, phrases in by_lang.items():
-                places = _places(_phrase_hashes(lang, [_word_hashes(list(w)) for w in zip(*phrases, strict=True)])).ravel()
+                places = _places(_phrase_hashes(lang, [_word_hashes(list(w)) for w in zip(*phrases, strict=True)]), bits).ravel()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(places >> 6), pa.array(np.left_shift(np.int64(1), places & 63))], ["cell", "bits"]
                 )
 
     cells = frequent.select("lang", "phrase").mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(TABLE_BITS // 64, np.int64)
+    table = np.zeros(bits // 64, np.int64)
     table[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
     return table.view(np.uint8)
 
@@ -203,7 +203,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     words = stored(_counted(texts, 1, None).where(f"phrase IS NULL OR n >= {least}"), "words")
     every = [words.where("phrase IS NOT NULL")]
     for length in range(2, longest + 1):
-        table = docs.sparkSession.sparkContext.broadcast(_table(every[-1]))
+        table = docs.sparkSession.sparkContext.broadcast(_table(every[-1], TABLE_BITS))
         every.append(stored(_counted(texts, length, table).where(f"n >= {least}"), "phrases"))
     frequent = every[0]
     for more in every[1:]:
