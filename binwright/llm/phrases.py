@@ -290,8 +290,8 @@ def _reported(entries: list[_Entry], suffix: bool) -> pa.RecordBatch:
     ], ["lang", "phrase", "n", "parts", "extension"])
 
 
-def scored_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, inside: int = INSIDE) -> DataFrame:
-    """lang, phrase, a, l, r, n, score of every candidate that stays; n is the number of words of its language."""
+def scored_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, inside: int = INSIDE) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, a, l, r, score) of every candidate that stays, and (lang, n) of all words."""
     frequent, totals = phrase_counts(docs, least, longest)
     none = F.lit(None).cast("array<bigint>")
     prefix = _stream(frequent, longest, False).select("lang", "phrase", "n", F.col("parts").alias("firsts"), none.alias("lasts"), "extension")
@@ -306,12 +306,13 @@ def scored_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST,
     cut = F.expr(
         f"array_min(transform(sequence(1, size(firsts)), k -> struct({score} AS score, k AS k, firsts[k - 1] AS l, lasts[size(lasts) - k] AS r)))"
     )
-    found = merged.withColumn("cut", cut).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    return found.join(totals, "lang")
+    return merged.withColumn("cut", cut).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), totals
 
 
 def top_phrases(docs: DataFrame, top: int = TOP) -> DataFrame:
     """Each language's first ``top`` candidates: lang, rank, phrase, a, l, r, n, score."""
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored_phrases(docs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    found, totals = scored_phrases(docs)
+    # Each task keeps its first ``top`` of a language before the languages are brought together.
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
