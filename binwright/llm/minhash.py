@@ -12,8 +12,11 @@ Two documents link when 100 * |A and B| >= 80 * |A or B| for their sets of two-w
    components, and what is in one component needs no more pairs.
 4. *Between components.* Buckets that still hold several components are cut into blocks of about ``BLOCK`` entries; every entry
    outside the bucket's largest component meets every entry of other components, block against block inside the tasks.
-   What passes the verification of 2 is verified on full sets, in blocks again, each set sent once a block. So no
-   candidate is skipped, groups of copies are linear, and no task holds more than two blocks.
+   Entries with a partner that passes the verification of 2 get their full sets, in the same blocks, and meet there again,
+   exactly; of the links found, a block reports those that merge components. So no candidate is skipped, no pairs are
+   made as rows, and no task holds more than two blocks.
+
+Buckets of different bands that hold the same sets, and blocks with the same entries, are compared once.
 
 Defined cases: a document without words (null text too) has an empty set, is linked with nothing and is its own component;
 with one word, the word is the set. Rows that repeat a doc_id with different texts are different sets whose components may
@@ -43,7 +46,6 @@ ROWS = 5
 BATCH = 40  # values of a signature that are compared before the next decision
 MISS = 1e-6  # probability of a link below which a pair is dropped
 BLOCK = 256  # entries of a bucket's block
-BLOCK_ELEMENTS = 1 << 22  # elements of the pairs that are verified together in a block, about
 SEED = 20_011
 
 
@@ -125,7 +127,7 @@ def _sizes_allow(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _plausible_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) that survive, with the sizes n_a and n_b."""
+    """``pairs`` (a, b) that survive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,62 +135,84 @@ def _plausible_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFra
             batch = batch.filter(pa.array(ok))
             if batch.num_rows:
                 ok = plausible(_signatures(batch.column("s_a")), _signatures(batch.column("s_b")), percent)
-                yield batch.filter(pa.array(ok)).select(["a", "b", "n_a", "n_b"])
+                yield batch.filter(pa.array(ok)).select(["a", "b"])
 
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(
-        run, "a long, b long, n_a long, n_b long"
-    )
-
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
-def verified_links(pairs: DataFrame, members: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that link, of ``pairs`` (around, a, b, n_a, n_b), by full sets.
 
-    Pairs around one component are cut into blocks by both ids; a block's task gets each of its sets once.
-    """
-    size = pairs.groupBy("around").agg(F.ceil(F.sqrt(F.sum(F.col("n_a") + F.col("n_b")) / BLOCK_ELEMENTS)).cast("long").alias("cuts"))
-    block = [F.pmod(F.xxhash64(x), F.col("cuts")).alias(f"of_{x}") for x in ("a", "b")]
-    pairs = stored(pairs.join(size, "around").select("around", *block, "a", "b"), "blocked_pairs")
-    group = ["around", "of_a", "of_b"]
-    needed = pairs.select(*group, F.col("a").alias("id")).unionByName(pairs.select(*group, F.col("b").alias("id"))).distinct()
-    needed = stored(needed, "needed_sets")
-
-    wanted = stored(needed.select("id").distinct().join(members, "id"), "wanted_sets")
+def full_sets(wanted: DataFrame, members: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, elements) of the ids in ``wanted``, made from their texts."""
+    at = stored(wanted.select("id").distinct().join(members, "id"), "wanted_sets")
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
                 elements = [shingles(t, shingle).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(elements, pa.binary())], ["id", "elements"])
 
-    texts = joined(rows.withColumn("doc_key", doc_key()), wanted, ["doc_key", "text_key"], "inner").select("id", "text")
-    sets = texts.mapInArrow(full, "id long, elements binary").dropDuplicates(["id"])
-    held = needed.join(sets, "id").select(*group, F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
-    asked = pairs.select(*group, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("elements"))
-    together = held.unionByName(asked).repartition(*group).sortWithinPartitions(*group, "kind")
+    texts = joined(rows.withColumn("doc_key", doc_key()), at, ["doc_key", "text_key"], "inner").select("id", "text")
+    return texts.mapInArrow(run, "id long, elements binary").dropDuplicates(["id"])
+
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets = None, {}
+def star_links(stars: DataFrame, members: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that link, of ``stars`` (a, b: the head), by full sets. A head's pairs are cut into blocks of about BLOCK, each
+    of which gets the head's set once."""
+    cuts = stars.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
+    placed = stars.join(cuts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("cuts")).alias("part"), "a")
+    placed = stored(placed, "placed_stars")
+    heads = placed.select("b", "part").distinct().select("b", "part", F.lit(0).alias("kind"), F.col("b").alias("id"))
+    both = stored(heads.unionByName(placed.select("b", "part", F.lit(1).alias("kind"), F.col("a").alias("id"))), "star_sets")
+    columns = ["b", "part", "kind", "id", "elements"]
+    ordered = both.join(full_sets(both, members, rows, shingle), "id").select(*columns).repartition("b", "part").sortWithinPartitions("b", "part", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
         for batch in batches:
-            found = []
-            for *at, kind, a, b, elements in zip(*(batch.column(c).to_pylist() for c in [*group, "kind", "a", "b", "elements"]), strict=True):
-                if at != now:
-                    now, sets = at, {}
+            a, b = [], []
+            for at, kind, of, elements in zip(*(batch.column(c).to_pylist() for c in ("b", "kind", "id", "elements")), strict=True):
+                x = np.frombuffer(elements, np.uint64)
                 if kind == 0:
-                    sets[a] = np.frombuffer(elements, np.uint64)
+                    head = x
                     continue
-                x, y = sets[a], sets[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+                both = len(np.intersect1d(x, head, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(head) - both):
+                    a.append(of)
+                    b.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return together.mapInArrow(verify, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
-def _between(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs (around, a, b, n_a, n_b) of sets in different components that share a bucket; ``around`` is the component of b."""
+GROUP = ["key", "p", "q"]  # a bucket and two of its blocks
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One batch per group of rows that come sorted by GROUP."""
+    waiting = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if waiting is None else [waiting, batch]).combine_chunks().to_batches()[0]
+        keys = np.column_stack([rows.column(c).to_numpy() for c in GROUP])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()]
+        for at, end in zip(cuts, cuts[1:]):
+            yield rows.slice(at, end - at)
+        waiting = rows.slice(cuts[-1])
+    if waiting is not None:
+        yield waiting
+
+
+def _sides(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Which rows are in the group's first and in its second block; whether these are one block."""
+    first = batch.column("block").to_numpy() == batch.column("p").to_numpy()
+    same = batch.column("p")[0] == batch.column("q")[0]
+    return np.flatnonzero(first), np.flatnonzero(first if same else ~first), same
+
+
+def _blocks(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries (GROUP, block, id, comp) of buckets with several components, once per group of two blocks that they meet in."""
     entries = joined(buckets, comps, ["id"], "left").withColumn("comp", F.coalesce("comp", "id"))
     held = entries.groupBy("key", "comp").count().groupBy("key").agg(
         F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.max("count").alias("most"), F.sum("count").alias("total")
@@ -201,45 +225,74 @@ def _between(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int
         "IF(comp = largest, others + pmod(xxhash64(id), own), pmod(xxhash64(id), others))"
     ))
     partner = F.explode(F.expr("sequence(0L, IF(comp = largest, others, others + own) - 1)")).alias("partner")
-    copies = placed.select("key", "id", "comp", "block", partner).select(
+    return placed.select("key", "id", "comp", "block", partner).select(
         "key", F.least("block", "partner").alias("p"), F.greatest("block", "partner").alias("q"), "block", "id", "comp"
     )
-    group = ["key", "p", "q"]
-    columns = [*group, "block", "id", "comp", "n", "signature"]
-    ordered = copies.join(sets.select("id", "n", "signature"), "id").select(*columns).repartition(*group).sortWithinPartitions(*group)
-
-    def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p, block, ids, comp, n = (batch.column(c).to_numpy() for c in ("p", "block", "id", "comp", "n"))
-        signature = _signatures(batch.column("signature"))
-        first = block == p
-        second = ~first if not first.all() else first  # p = q: a block against itself
-        i, j = np.flatnonzero(first), np.flatnonzero(second)
-        x, y = np.nonzero((comp[i][:, None] != comp[j][None, :]) & _sizes_allow(n[i][:, None], n[j][None, :], percent))
-        x, y = i[x], j[y]
-        if second is first:
-            x, y = x[x < y], y[x < y]
-        ok = plausible(signature[x], signature[y], percent)
-        x, y = x[ok], y[ok]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (comp[y], ids[x], ids[y], n[x], n[y])], ["around", "a", "b", "n_a", "n_b"])
+
+
+def _open_entries(copies: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The entries of ``copies`` that have a plausible partner of another component in their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch] if waiting is None else [waiting, batch]).combine_chunks().to_batches()[0]
-            keys = np.column_stack([rows.column(c).to_numpy() for c in group])
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()]
-            for at, end in zip(cuts, cuts[1:]):
-                yield compared(rows.slice(at, end - at))
-            waiting = rows.slice(cuts[-1])
-        if waiting is not None:
-            yield compared(waiting)
-
-    pairs = ordered.mapInArrow(run, "around long, a long, b long, n_a long, n_b long")
-    return pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(
-        F.min(F.struct("around", "a", "b", "n_a", "n_b")).alias("pair")
-    ).select("pair.*")
+        for batch in _groups(batches):
+            i, j, same = _sides(batch)
+            comp, n = (batch.column(c).to_numpy() for c in ("comp", "n"))
+            x, y = np.nonzero((comp[i][:, None] != comp[j][None, :]) & _sizes_allow(n[i][:, None], n[j][None, :], percent))
+            x, y = i[x], j[y]
+            if same:
+                x, y = x[x < y], y[x < y]
+            signature = _signatures(batch.column("signature"))
+            ok = plausible(signature[x], signature[y], percent)
+            some = np.unique(np.concatenate((x[ok], y[ok])))
+            if len(some):
+                yield batch.take(pa.array(some)).select([*GROUP, "block", "id", "comp"])
+
+    columns = [*GROUP, "block", "id", "comp", "n", "signature"]
+    ordered = copies.join(sets.select("id", "n", "signature"), "id").select(*columns).repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return ordered.mapInArrow(run, "key long, p long, q long, block long, id long, comp long")
+
+
+def overlaps(x: np.ndarray, elements: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """How many elements ``x`` shares with each of ``n`` sets, given all their elements in order with the set of each."""
+    start, end = np.searchsorted(elements, x, "left"), np.searchsorted(elements, x, "right")
+    counts = end - start
+    at = np.repeat(start - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+    return np.bincount(owners[at], minlength=n)
+
+
+def _merging_links(entries: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between entries of different components, by full sets; in each group only those that merge components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches):
+            i, j, _ = _sides(batch)
+            sets = [np.frombuffer(e, np.uint64) for e in batch.column("elements").to_pylist()]
+            ids, comp = batch.column("id").to_pylist(), batch.column("comp").to_numpy().copy()
+            size = np.array([len(s) for s in sets])
+            together = np.concatenate([sets[k] for k in j]) if len(j) else np.zeros(0, np.uint64)
+            order = np.argsort(together, kind="stable")
+            together, owners = together[order], np.repeat(np.arange(len(j)), size[j])[order]
+            a, b = [], []
+            for x in i.tolist():
+                both = overlaps(sets[x], together, owners, len(j))
+                for y in j[(100 * both >= percent * (size[x] + size[j] - both)) & (comp[j] != comp[x])].tolist():
+                    if comp[x] != comp[y]:
+                        a.append(ids[x])
+                        b.append(ids[y])
+                        comp[comp == comp[y]] = comp[x]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    columns = [*GROUP, "block", "id", "comp", "elements"]
+    ordered = entries.join(elements, "id").select(*columns).repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def _once(entries: DataFrame, key: list[str], also: list[str]) -> DataFrame:
+    """``entries`` of one of all groups (``key``) that have the same ids (and ``also`` columns), told by count and two 64-bit hashes."""
+    same = entries.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id", *also)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id", *also)).alias("y")
+    ).groupBy("n", "x", "y").agg(F.min(F.struct(*key)).alias("one")).select("one.*")
+    return joined(entries, stored(same, "distinct_groups"), key, "inner")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -263,17 +316,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     members = sets.select("id", "doc_key", "text_key")  # where the text of a set is
 
     entries = sets.select(F.explode("keys").alias("key"), "id")
-    heads = stored(entries.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head"), "heads")
-    buckets = stored(joined(entries, heads, ["key"], "inner"), "buckets")
+    held = stored(entries.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head"), "heads")
+    buckets = stored(_once(joined(entries, held, ["key"], "inner"), ["key"], []), "buckets")
     stars = buckets.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    stars = stored(_plausible_pairs(stars, sets, percent).withColumn("around", F.col("b")), "star_pairs")
-    first = stored(verified_links(stars, members, rows, shingle, percent), "star_links")
+    stars = stored(_plausible_pairs(stars, sets, percent), "star_pairs")
+    first = stored(star_links(stars, members, rows, shingle, percent), "star_links")
     comps = stored(components(first), "components")
 
-    rest = _between(buckets.select("key", "id"), comps, sets, percent).join(stars, ["a", "b"], "left_anti")
-    rest = stored(rest.join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "open_pairs")
+    copies = _blocks(buckets.select("key", "id"), comps)
+    rest = stored(_once(stored(_open_entries(copies, sets, percent), "open_entries"), GROUP, ["block"]), "open_entries")
     if not rest.isEmpty():
-        more = stored(verified_links(rest, members, rows, shingle, percent), "more_links")
+        more = stored(_merging_links(rest, full_sets(rest, members, rows, shingle), percent), "merging_links")
         comps = stored(components(first.unionByName(more)), "components")
 
     named = sets.select("digest", "id", F.col("doc_id").alias("least")).join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

@@ -215,8 +215,7 @@ def near_rows():
 @pytest.mark.parametrize("block", [2, 256])
 def test_near_duplicates_are_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    if block == 2:
-        monkeypatch.setattr(minhash, "BLOCK_ELEMENTS", 100)
+
     rows = near_rows()
     got = sorted(map(tuple, minhash.near_duplicates(docs(spark, rows)).collect()), key=str)
     want = brute_components(rows)
