@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binwright.operators.counts import pack_entries
+
 
 def extract_summary(cells: DataFrame, bin_column: str = "extract_bin") -> DataFrame:
     """One row ``(total_bins, last_bin_size, total_cells)`` from one scan."""
@@ -44,8 +46,7 @@ def pack_counts(counts: DataFrame, bin_column: str = "extract_bin") -> DataFrame
     The rows already lie together by cell id after the join that attached the bins, so grouping
     moves nothing. Every cell has one row; its array holds one entry per feature that the cell has a count of.
     """
-    entry = F.struct("feature_id", F.col("raw_count").alias("raw_counts"))
-    return counts.groupBy(bin_column, "cell_id").agg(F.sort_array(F.collect_list(entry)).alias("feature_data"))
+    return pack_entries(counts, [bin_column, "cell_id"])
 
 
 def group_bin_statistics(chunked: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from binwright.operators.counts import pruned_counts
 from binwright.operators.dims import join_dimension
 from binwright.operators.ranks import rank_by_value
 
@@ -38,11 +39,13 @@ def remap_features(counts: DataFrame, mapping: DataFrame) -> DataFrame:
 def counts_of_cells(counts: DataFrame, cells: DataFrame, bin_column: str = "extract_bin") -> DataFrame:
     """Counts of the selected cells, each with the bin of its cell.
 
-    Cells are as many as the extract holds, so this is a shuffle join on the cell id. A cell has at
-    most one count per feature, which bounds the rows of one key by the length of the feature axis.
+    Counts of other ingests and ranges of ids are not read (``pruned_counts``). Cells are as many as the extract holds, so this
+    is a shuffle join, by ingest too where both sides have it. A cell has at most one count per feature, which bounds the
+    rows of one key by the length of the feature axis.
     """
-    bins = cells.select(F.col("id").alias("cell_id"), bin_column)
-    return counts.join(bins, "cell_id")
+    keys = ["cell_id", *(["ingest_id"] if "ingest_id" in counts.columns and "ingest_id" in cells.columns else [])]
+    bins = cells.select(F.col("id").alias("cell_id"), *keys[1:], bin_column)
+    return pruned_counts(counts, cells).join(bins, keys).select("cell_id", "feature_id", "raw_count", bin_column)
 
 
 def row_and_column_numbers(entries: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:

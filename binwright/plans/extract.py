@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from binwright.functions import fill_for_extract, sparse_indices, sparse_values
-from binwright.operators.aggregates import pack_counts
 from binwright.operators.bins import grouped_bins
+from binwright.operators.counts import pack_selected
 from binwright.operators.dims import fits_broadcast, join_dimension
 from binwright.operators.filters import where
-from binwright.operators.joins import counts_of_cells, feature_axis
+from binwright.operators.joins import feature_axis, local_index
 from binwright.operators.projection import (
     keep_existing,
     keep_existing_or_all,
@@ -21,17 +21,21 @@ from binwright.operators.projection import (
 )
 from binwright.operators.ranks import bin_names, random_bins
 from binwright.plans.prepare import check_feature_ids
-from binwright.session import freeze, written
-from binwright.sources.base import path_exists
+from binwright.session import freeze, setting, written
+from binwright.sources.base import path_exists, remove_folders
 from binwright.sources.sinks import (
     EXTRACT_METADATA,
     PACKED_COUNTS,
     PARTITION_BINS,
     PARTITION_SIZE,
     read_binned,
+    read_bucketed,
     write_bins,
 )
 
+# Tables bucketed by a part of the join's keys need no exchange. Fixed value of Spark's.
+BUCKETS_SUFFICE = ("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
 
 def drop_all_null(df: DataFrame, columns: list[str]) -> DataFrame:
     """Without the given columns that hold no value at all; decided once, so all bins agree."""
@@ -110,22 +114,51 @@ def sparse_blocks(cells: DataFrame, packed: DataFrame, n_features: int, order: l
     )
 
 
+def assemble(cells: DataFrame, packed: DataFrame, n_features: int) -> DataFrame:
+    """``sparse_blocks`` of cells and packed counts that both have their row in the bin, joined by it.
+
+    ``packed`` is sorted by feature in each row. Where both sides are bucketed or dealt by ``extract_bin``, neither moves, and the
+    order of the join is that of the output.
+    """
+    describing = [c for c in cells.columns if c not in ("extract_bin", "row_num", "id", "bin_bucket")]
+    left = cells.select("extract_bin", "row_num", "id", *describing)
+    right = packed.select("extract_bin", "row_num", F.col("feature_data").alias("entries"))
+
+    def column_number(e):
+        known = (e["feature_id"] >= 0) & (e["feature_id"] < n_features)
+        message = F.concat(F.lit("Invalid feature id: "), e["feature_id"].cast("string"))
+        return F.when(known, e["feature_id"]).otherwise(F.raise_error(message).cast("bigint"))
+
+    none = F.array().cast("array<struct<feature_id:bigint,raw_counts:bigint>>")
+    placed = F.transform(
+        F.coalesce("entries", none), lambda e: F.struct(column_number(e).alias("col_num"), e["raw_counts"].alias("value"))
+    )
+    return left.join(right.hint("merge"), ["extract_bin", "row_num"], "left").withColumn("entries", placed).select(
+        "extract_bin", "row_num", "id", *describing,
+        sparse_indices(F.col("entries")).alias("indices"), sparse_values(F.col("entries")).alias("values"),
+        F.lit(n_features).cast("bigint").alias("n_features"),
+    )
+
+
 def extract_bins(spark: SparkSession, path: str, output: str, start_bin: int | None = None,
                  end_bin: int | None = None, obs_columns: list[str] | None = None,
                  partition_bins: int = PARTITION_BINS, partition_size: int = PARTITION_SIZE) -> DataFrame:
     """Writes the bins of a prepared extract, all of them unless a range is given; returns a reader."""
     metadata = spark.read.schema(EXTRACT_METADATA).json(f"{path}/metadata")
     n_features = check_feature_ids(read_binned(spark, f"{path}/feature_info"))
-    cells = read_binned(spark, f"{path}/cell_info")
-    packed = read_binned(spark, f"{path}/count_matrix", PACKED_COUNTS)
-    fixed = ["extract_bin", "id", "ingest_id", "shuffle_key"]
+    buckets = spark.read.schema("buckets bigint").json(f"{path}/layout").first()["buckets"]
+    cells = read_bucketed(spark, f"{path}/cell_info", read_binned(spark, f"{path}/cell_info").schema, buckets)
+    packed = read_bucketed(spark, f"{path}/count_matrix", PACKED_COUNTS, buckets)
+    fixed = ["extract_bin", "row_num", "id", "ingest_id", "shuffle_key"]
     described = [c for c in cells.columns if c not in (*fixed, "bin_bucket")]
     wanted = described if obs_columns is None else [c for c in obs_columns if c in described]
     # Decided on the whole extract, so that bins written by different runs have the same columns.
     cells = drop_all_null(cells.select(*fixed, *wanted, "bin_bucket"), wanted)
+    bins = None
     if start_bin is not None or end_bin is not None:
         low = start_bin or 0
         high = metadata.first()["total_bins"] - 1 if end_bin is None else end_bin
+        bins = (low, high + 1)
         cells, packed = (read_bins(t, low, high, None, partition_bins, partition_size) for t in (cells, packed))
     kept = [c for c in wanted if c in cells.columns]
     categories = category_table(metadata)
@@ -134,21 +167,31 @@ def extract_bins(spark: SparkSession, path: str, output: str, start_bin: int | N
     cells = encode_categories(fill_nulls(cells, [c for c in kept if c not in coded]), categories, coded)
 
     features = read_binned(spark, f"{path}/feature_info")
-    blocks = sparse_blocks(cells, packed, n_features, ["shuffle_key", "id"])
-    ranged = start_bin is not None or end_bin is not None
-    return _write(blocks, features.withColumn("col_num", F.col("id")), output, ranged)
+    blocks = assemble(cells, packed, n_features)
+    with setting(spark, *BUCKETS_SUFFICE):
+        return _write(blocks, features.withColumn("col_num", F.col("id")), output, cells, bins)
 
 
-def _write(blocks: DataFrame, features: DataFrame, output: str, ranged: bool = False) -> DataFrame:
+def _write(blocks: DataFrame, features: DataFrame, output: str, cells: DataFrame | None = None, bins: tuple[int, int] | None = None) -> DataFrame:
     """Bins below ``bins`` and their common feature axis below ``features``; reads the output's bins back.
 
-    A ``ranged`` run replaces its own bins and keeps those of other runs. A range without cells gives no
-    rows rather than an error.
+    A run over the bins ``[start, end)`` replaces these and keeps those of other runs; of its own, those that ``cells`` has no
+    rows of any more go. A range without cells gives no rows rather than an error.
     """
-    others = ranged and path_exists(blocks.sparkSession, f"{output}/bins")
+    spark = blocks.sparkSession
+    others = bins is not None and path_exists(spark, f"{output}/bins")
     features.write.mode("overwrite").parquet(f"{output}/features")
     write_bins(blocks, f"{output}/bins", placed=True, keep_others=others)
-    return blocks.sparkSession.read.schema(blocks.schema).parquet(f"{output}/bins")
+    if others:
+        held = {r["extract_bin"] for r in cells.select("extract_bin").distinct().collect()}  # bins of one run
+        remove_folders(spark, f"{output}/bins", lambda name: _stale(name, bins, held))
+    return spark.read.schema(blocks.schema).parquet(f"{output}/bins")
+
+
+def _stale(folder: str, bins: tuple[int, int], held: set[int]) -> bool:
+    """Whether a folder ``extract_bin=n`` is of a bin of the range that holds no cells."""
+    name, _, value = folder.partition("=")
+    return name == "extract_bin" and value.isdigit() and bins[0] <= int(value) < bins[1] and int(value) not in held
 
 
 def requested_features(features: DataFrame, axis: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -166,12 +209,17 @@ def requested_axis(features: DataFrame, column: str | None, values: list[str] |
     return freeze(axis.select(F.col("id").alias("feature_id"), "col_num"))
 
 
-def blocks_of_bins(binned: DataFrame, counts: DataFrame, axis: DataFrame, order: list[str]) -> DataFrame:
-    """Sparse blocks straight from base tables, for written cells that carry ``extract_bin``: they are read twice."""
-    on_axis = join_dimension(counts, axis, "feature_id", salt_on="cell_id").select(
-        "cell_id", F.col("col_num").alias("feature_id"), "raw_count"
-    )
-    return sparse_blocks(binned, pack_counts(counts_of_cells(on_axis, binned)), axis.count(), order)
+def blocks_of_bins(binned: DataFrame, counts: DataFrame, features: DataFrame, axis: DataFrame, obs_columns: list[str] | None = None) -> DataFrame:
+    """Sparse blocks straight from base tables, for written cells with ``extract_bin`` and ``row_num``: they are read several times.
+
+    Counts move twice: by cell, where they are packed, and packed, by bin. The ingest of a cell tells which partitions of the
+    counts are read; it is part of the output only where ``obs_columns`` (all if None) name it.
+    """
+    mapping = axis.select("feature_id", F.col("col_num").alias("extract_feature_id"))
+    packed = pack_selected(counts, binned, features, mapping, ["extract_bin", "row_num"])
+    # Dealt here rather than by the join, whose partitions might be split and with them a bin.
+    described = binned if obs_columns is None or "ingest_id" in obs_columns else binned.drop("ingest_id")
+    return assemble(described.repartition("extract_bin"), packed.repartition("extract_bin"), axis.count())
 
 
 def extract_grouped(cells: DataFrame, counts: DataFrame, features: DataFrame, output: str, keys: list[str],
@@ -183,11 +231,12 @@ def extract_grouped(cells: DataFrame, counts: DataFrame, features: DataFrame, ou
     ``bins`` limits the run to the bins ``[start, end)``, for work split over several runs.
     """
     binned = _bin_slice(grouped_bins(where(cells, filters), keys, bin_size), bins)
-    kept = written(keep_existing(binned, None if obs_columns is None else [*obs_columns, "extract_bin"]), "binned_cells")
+    kept = keep_existing(binned, None if obs_columns is None else [*obs_columns, "extract_bin", "ingest_id"])
+    kept = written(local_index(kept, order=["id"]), "binned_cells")
     axis = requested_axis(features, feature_column, feature_values)
     return _write(
-        blocks_of_bins(kept, counts, axis, ["id"]), requested_features(features, axis, feature_columns), output,
-        bins is not None,
+        blocks_of_bins(kept, counts, features, axis, obs_columns), requested_features(features, axis, feature_columns), output,
+        kept, bins,
     )
 
 
@@ -226,11 +275,12 @@ def extract_randomized(cells: DataFrame, counts: DataFrame, features: DataFrame,
     found = where(cells, filters)
     binned = shuffle_into_bins(found, bin_size, seed, count_selected(found, filters), shuffle_names)
     binned = _bin_slice(binned, bins)
-    kept = written(keep_existing(binned, None if obs_columns is None else [*obs_columns, "extract_bin", "shuffle_key"]), "binned_cells")
+    kept = keep_existing(binned, None if obs_columns is None else [*obs_columns, "extract_bin", "shuffle_key", "ingest_id"])
+    kept = written(local_index(kept, order=["shuffle_key", "id"]), "binned_cells")
     axis = requested_axis(features, feature_column, feature_values)
     return _write(
-        blocks_of_bins(kept, counts, axis, ["shuffle_key", "id"]),
-        requested_features(features, axis, feature_columns), output, bins is not None,
+        blocks_of_bins(kept, counts, features, axis, obs_columns),
+        requested_features(features, axis, feature_columns), output, kept, bins,
     )
 
 

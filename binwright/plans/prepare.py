@@ -11,21 +11,24 @@ from pyspark.sql import functions as F
 
 from binwright.errors import EmptySelectionError
 from binwright.functions import category_key, json_scalars
-from binwright.operators.aggregates import extract_summary, pack_counts
+from binwright.operators.aggregates import extract_summary
 from binwright.operators.bins import CATEGORY_KEY, category_bins
+from binwright.operators.counts import pack_selected
 from binwright.operators.explore import CATEGORY_LIMIT_EXTRACT, category_lists
 from binwright.operators.filters import where
-from binwright.operators.joins import cells_with_ingest, counts_of_cells, feature_map, remap_features
+from binwright.operators.joins import cells_with_ingest, feature_map, local_index
 from binwright.operators.projection import select_cell_columns
 from binwright.operators.ranks import random_bins, with_shuffle_key
 from binwright.schemas import EXTRACT_FEATURE_INFO
+from binwright.session import written
 from binwright.sources.base import scan
 from binwright.sources.sinks import (
     EXTRACT_METADATA,
     PARTITION_BINS,
     PARTITION_SIZE,
+    bucket_count,
     read_binned,
-    write_binned,
+    write_bucketed,
     write_features,
     write_metadata,
 )
@@ -68,14 +71,15 @@ def bin_cells(selected: DataFrame, spec: ExtractSpec) -> DataFrame:
     return random_bins(selected.drop("shuffle_key"), spec.bin_size, spec.seed)
 
 
-def count_matrix(counts: DataFrame, source_features: DataFrame, wanted: DataFrame, cells: DataFrame) -> DataFrame:
-    """Packed counts of the requested features and selected cells.
+def count_matrix(counts: DataFrame, source_features: DataFrame, wanted: DataFrame, cells: DataFrame,
+                 carried: list[str] | None = None) -> DataFrame:
+    """Packed counts of the requested features and selected cells; rows keep the ``carried`` columns of their cell.
 
-    Features go first: the map is small, so the big table is reduced in place; then one shuffle on
-    the cell id serves the join with the cells and the grouping.
+    Of the count table only the ingests and ranges of ids that hold the cells are read, and counts move once. ``cells`` is
+    read several times: pass a written table.
     """
-    mapped = remap_features(counts, feature_map(source_features, wanted))
-    return pack_counts(counts_of_cells(mapped, cells))
+    mapping = written(feature_map(source_features, wanted), "feature_map")
+    return pack_selected(counts, cells, source_features, mapping, carried or ["extract_bin"])
 
 
 def number_features(spark: SparkSession, features: list[tuple[str, str]]) -> DataFrame:
@@ -110,21 +114,25 @@ def extract_metadata(cells: DataFrame, spec: ExtractSpec) -> DataFrame:
 def prepare_extract(tables: Mapping[str, DataFrame], wanted: DataFrame, path: str, spec: ExtractSpec) -> DataFrame:
     """Writes the tables of an extract below ``path`` and returns its metadata row.
 
-    ``tables`` holds cell_info, ingest_info, feature_info and raw_matrix_coo. Later steps read the
-    written cell table, so binning runs once.
+    ``tables`` holds cell_info, ingest_info, feature_info and raw_matrix_coo (``sources.base.read_tables``: counts that carry
+    ``ingest_id`` are read by ingest). Later steps read the written cell table, so binning runs once. Cells and counts are
+    bucketed alike by bin, so that ``extract_bins`` joins them without moving either.
     """
     spark = wanted.sparkSession
     write_features(wanted, f"{path}/feature_info")
     wanted = scan(spark, f"{path}/feature_info", EXTRACT_FEATURE_INFO)
     check_feature_ids(wanted)
 
-    binned = bin_cells(select_cells(tables["cell_info"], tables["ingest_info"], spec), spec)
-    write_binned(binned, f"{path}/cell_info", spec.partition_bins, spec.partition_size, then=("shuffle_key", "id"))
-    cells = read_binned(spark, f"{path}/cell_info", binned.schema)
-    if cells.isEmpty():
+    binned = written(bin_cells(select_cells(tables["cell_info"], tables["ingest_info"], spec), spec), "binned_cells")
+    total_bins = extract_summary(binned).first()["total_bins"]
+    if not total_bins:
         raise EmptySelectionError("no cells match the filters")
-
-    packed = count_matrix(tables["raw_matrix_coo"], tables["feature_info"], wanted, cells)
-    write_binned(packed, f"{path}/count_matrix", spec.partition_bins, spec.partition_size, then=("cell_id",))
+    buckets = bucket_count(total_bins)
+    write_metadata(spark.range(1).select(F.lit(buckets).alias("buckets")), f"{path}/layout")
+    # Rows are numbered here, on the narrow table; the counts get the number with the bin.
+    write_bucketed(local_index(binned, order=["shuffle_key", "id"]), f"{path}/cell_info", buckets, spec.partition_bins, spec.partition_size)
+    cells = read_binned(spark, f"{path}/cell_info")
+    packed = count_matrix(tables["raw_matrix_coo"], tables["feature_info"], wanted, cells, ["extract_bin", "row_num"])
+    write_bucketed(packed, f"{path}/count_matrix", buckets, spec.partition_bins, spec.partition_size)
     write_metadata(extract_metadata(cells, spec), f"{path}/metadata")
     return spark.read.schema(EXTRACT_METADATA).json(f"{path}/metadata")

@@ -7,7 +7,7 @@ four tables of an ingest appear together or not at all.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def remove_folders(spark: SparkSession, path: str, chosen: Callable[[str], bool]) -> list[str]:
+    """Deletes the folders right below ``path`` whose names are chosen; their names, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory())
+    gone = [n for n in names if chosen(n)]
+    for name in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+    return gone
+
+
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet with a declared schema: no inference, pruned columns and pushed filters."""
     return spark.read.schema(schema).parquet(path)
@@ -52,13 +65,19 @@ def read_commits(spark: SparkSession, warehouse: str) -> DataFrame:
     return stored_rows(spark, f"{warehouse}/commits", COMMITS).distinct()
 
 
-def read_table(spark: SparkSession, warehouse: str, table: str, schema: T.StructType | None = None) -> DataFrame:
-    """Committed rows of a table, in its declared columns."""
+def read_table(spark: SparkSession, warehouse: str, table: str, schema: T.StructType | None = None,
+               with_ingest: bool = False) -> DataFrame:
+    """Committed rows of a table, in its declared columns; ``with_ingest`` adds the partition column ``ingest_id``."""
     schema = schema or BASE_TABLES[table]
     stored = stored_rows(spark, f"{warehouse}/{table}", stored_schema(schema))
     spread = schema.names[:2]
     visible = join_dimension(stored, read_commits(spark, warehouse), "ingest_id", "left_semi", salt_on=spread)
-    return visible.select(*schema.names)
+    return visible.select(*dict.fromkeys([*schema.names, *(["ingest_id"] if with_ingest else [])]))
+
+
+def read_tables(spark: SparkSession, warehouse: str) -> dict[str, DataFrame]:
+    """The four base tables; counts carry their ``ingest_id``, so that extracts read the partitions of their ingests only."""
+    return {t: read_table(spark, warehouse, t, with_ingest=True) for t in BASE_TABLES}
 
 
 def next_id(spark: SparkSession, warehouse: str, table: str, column: str = "id",

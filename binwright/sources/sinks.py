@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,8 @@ from binwright.schemas import EXTRACT_FEATURE_INFO, conform
 
 PARTITION_BINS = 40_000
 PARTITION_SIZE = 10
+BINS_PER_BUCKET = 8
+MOST_BUCKETS = 20_000
 
 # The document that describes an extract.
 EXTRACT_METADATA = T.StructType([
@@ -38,9 +42,42 @@ def write_binned(df: DataFrame, path: str, partition_bins: int = PARTITION_BINS,
     )
 
 
-# Packed counts of an extract.
+def bucket_count(total_bins: int) -> int:
+    """Buckets for tables of that many bins: a task per bucket, whole bins in each."""
+    return max(1, min(MOST_BUCKETS, -(-total_bins // BINS_PER_BUCKET)))
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int, partition_bins: int = PARTITION_BINS,
+                   partition_size: int = PARTITION_SIZE) -> None:
+    """Table partitioned by groups of bins, and bucketed by bin, so that tables of the same bins join without an exchange.
+
+    A bucket holds whole bins, in order of bin and row.
+    """
+    spark, name = df.sparkSession, f"binned_{uuid.uuid4().hex}"
+    placed = df.withColumn("bin_bucket", bucket_of_bin(F.col("extract_bin"), partition_bins, partition_size))
+    (
+        placed.repartition(buckets, "extract_bin").write.format("parquet").mode("overwrite").option("path", path)
+        .partitionBy("bin_bucket").bucketBy(buckets, "extract_bin").sortBy("extract_bin", "row_num").saveAsTable(name)
+    )
+    spark.sql(f"DROP TABLE {name}")  # of the catalog only: its files stay
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: T.StructType, buckets: int) -> DataFrame:
+    """A table of ``write_bucketed``, declared again with its buckets."""
+    name, fields = f"binned_{uuid.uuid4().hex}", [f for f in schema.fields if f.name != "bin_bucket"]
+    columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}, bin_bucket BIGINT) USING parquet PARTITIONED BY (bin_bucket) "
+        f"CLUSTERED BY (extract_bin) SORTED BY (extract_bin, row_num) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
+# Packed counts of an extract. ``row_num`` is the row of the cell in its bin.
 PACKED_COUNTS = T.StructType([
     T.StructField("extract_bin", T.LongType()),
+    T.StructField("row_num", T.LongType()),
     T.StructField("cell_id", T.LongType()),
     T.StructField("feature_data", T.ArrayType(T.StructType([
         T.StructField("feature_id", T.LongType()), T.StructField("raw_counts", T.LongType()),

@@ -103,6 +103,15 @@ def extracted_range(t):
     return _flat(blocks, "tissue", "tissue_code", "donor_id")
 
 
+@query("J4_extract_two_ranges", f"SELECT * FROM ({_BLOCKS}) WHERE extract_bin BETWEEN 2 AND 9",
+       ("random_binned", "packed", "wanted_features"))
+def extracted_ranges(t):
+    path, _ = _prepared(t, _RANDOM)
+    extract_bins(t.spark, path, f"{path}/bins", 2, 7, obs_columns=["tissue", "donor_id"])
+    blocks = extract_bins(t.spark, path, f"{path}/bins", 5, 9, obs_columns=["tissue", "donor_id"])
+    return _flat(blocks, "tissue", "tissue_code", "donor_id")
+
+
 _ALL_ENTRIES = """
 (SELECT cell_id, string_agg(col_num::VARCHAR, ',' ORDER BY col_num) AS indices,
                   string_agg(raw_count::VARCHAR, ',' ORDER BY col_num) AS counted
