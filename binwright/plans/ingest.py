@@ -33,7 +33,9 @@ from binwright.sources.base import (
     path_exists,
     read_table,
     scan,
+    stored_rows,
 )
+from binwright.sources.reserve import reserve
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,7 @@ class Batch:
 def reserve_blocks(shapes: DataFrame, first_ingest: int = 0, first_cell: int = 0, first_feature: int = 0) -> DataFrame:
     """``(file, n_obs, n_vars, ingest_id, cell_start, feature_start)``: one id block per file.
 
-    Blocks follow the file order without gaps. One writer per dataset reserves for its whole batch.
+    Blocks follow the file order without gaps from the given ids on, which ``sources.reserve`` sets apart for one writer.
     """
     sized = running_sum(
         shapes.withColumn("_one", F.lit(1)), ["file"],
@@ -197,10 +199,11 @@ def ingest_batch(spark: SparkSession, warehouse: str, batch: Batch, obs_mapping:
     if found["n_files"]:
         shapes = freeze(shapes.join(faults.select("file").distinct(), "file", "left_anti"))
         batch = batch.only(shapes)
-    blocks = reserve_blocks(
-        shapes, next_id(spark, warehouse, "ingest_info"), next_id(spark, warehouse, "cell_info"),
-        next_id(spark, warehouse, "feature_info"),
-    )
+    shapes = freeze(shapes)
+    sums = [F.count(F.lit(1)).alias("ingest_info"), F.sum("n_obs").alias("cell_info"), F.sum("n_vars").alias("feature_info")]
+    sizes = {k: v or 0 for k, v in shapes.agg(*sums).first().asDict().items()}
+    start = reserve(spark, warehouse, sizes, lambda: {t: next_id(spark, warehouse, t) for t in sizes})
+    blocks = reserve_blocks(shapes, start["ingest_info"], start["cell_info"], start["feature_info"])
     append_ingests(spark, warehouse, {
         "ingest_info": ingest_rows(batch.uns, blocks, metadata_limit, metadata_keep),
         "cell_info": cell_rows(batch.obs, batch.x, blocks, obs_mapping, tag),
@@ -342,45 +345,111 @@ def _known(column: str, what: str, label: str):
     return F.coalesce(F.col(column), unknown.cast("bigint"))
 
 
-def ingest_partition(spark: SparkSession, store: str, batch: Batch, schema: ArraySchema, partition_index: int) -> None:
-    """Validates, sanitizes and appends the files of one partition under their registered ids.
+# Fixed schemas of a store: which file and content an ingest is, and which cells' rows of older ingests it replaces.
+FILES = T.StructType([
+    T.StructField("ingest_id", T.LongType()), T.StructField("file", T.StringType()),
+    T.StructField("content", T.LongType()), T.StructField("version", T.LongType()),
+])
+REPLACED = T.StructType([T.StructField("cell_id", T.LongType(), False), T.StructField("old_ingest_id", T.LongType(), False)])
+
+
+def file_contents(batch: Batch) -> DataFrame:
+    """``(file, content)``: a hash over all rows of a file, whatever their order. Sums and XORs are combined before they move."""
+
+    def hashed(df: DataFrame, what: str) -> DataFrame:
+        row = F.xxhash64(F.lit(what), *[F.col(f"`{c}`") for c in sorted(df.columns) if c != "file"])
+        return df.select("file", row.alias("h"))
 
-    Labels are unique inside the registry, so the joins that turn them into ids meet no hot key;
-    the matrix is first given global positions per file, then both ids. A label without an id, NULL too, and
-    a value at a position that no label has are errors. The commit is keyed by the partition and its
-    files: a rerun adds nothing, while a further plan over other files adds its own.
+    every = hashed(batch.obs, "obs").unionByName(hashed(batch.var, "var")).unionByName(hashed(batch.x, "x"))
+    parts = every.groupBy("file").agg(
+        F.bit_xor("h").alias("x"), F.sum(F.shiftright("h", 8)).alias("s"), F.count(F.lit(1)).alias("n")
+    )
+    return parts.select("file", F.xxhash64("x", "s", "n").alias("content"))
+
+
+def read_files(spark: SparkSession, store: str) -> DataFrame:
+    """Committed ingests of a store with their file, content and version."""
+    return stored_rows(spark, f"{store}/commits", FILES).select(*FILES.names)
+
+
+def new_versions(spark: SparkSession, store: str, batch: Batch) -> DataFrame:
+    """``(file, content, version, ingest_id)`` of the files that are new, or whose content differs from what was ingested last."""
+    last = read_files(spark, store).groupBy("file").agg(
+        F.max("version").alias("last"), F.max_by("content", "version").alias("held")
+    )
+    found = file_contents(batch).join(last, "file", "left").filter("held IS NULL OR held <> content")
+    numbered = found.select("file", "content", F.coalesce(F.col("last") + 1, F.lit(0)).cast("bigint").alias("version"))
+    return freeze(numbered.withColumn("ingest_id", F.xxhash64("file", "content", "version")))
+
+
+def ingest_partition(spark: SparkSession, store: str, batch: Batch, schema: ArraySchema, partition_index: int = 0) -> DataFrame:
+    """Validates, sanitizes and adds the files of one partition under their registered ids; returns the versions it added.
+
+    A file is known by its name and content, whatever the partition or plan: the same content again adds nothing, other content
+    is a new version. A cell has the rows of the file that brought it last (of one batch, the file whose name comes last): the
+    commit of a version says which cells of older ones it replaces, and readers leave those rows out. Labels are unique inside the
+    registry, so the joins that turn them into ids meet no hot key. Features and rows of a file are dimensions of the
+    matrix, which only moves to be written. A label without an id, NULL too, and a value at a position that no
+    label has are errors.
     """
-    clean = validate_and_sanitize(batch, schema)
-    cells = clean.obs.join(
+    fresh = new_versions(spark, store, batch)
+    if fresh.isEmpty():
+        return fresh
+    clean = validate_and_sanitize(batch.only(fresh), schema)
+    ids = join_dimension(clean.obs, fresh.select("file", "ingest_id"), "file", salt_on="row_pos").join(
         read_registry(spark, store, "obs").withColumnRenamed("label", "obs_id"), "obs_id", "left"
     ).withColumn("id", _known("id", "obs label", "obs_id"))
-    features = clean.var.select("file", "col_pos", F.col("feature_name").alias("label")).join(
+    cells = freeze(ids)
+    features = freeze(clean.var.select("file", "col_pos", F.col("feature_name").alias("label")).join(
         read_registry(spark, store, "var"), "label", "left"
-    ).select("file", "col_pos", _known("id", "var label", "label").alias("feature_id"))
-    placed = clean.x.join(features, ["file", "col_pos"], "left").join(
-        cells.select("file", "row_pos", F.col("id").alias("cell_id")), ["file", "row_pos"], "left"
-    ).withColumn("feature_id", _known("feature_id", "column of file", "file")).withColumn(
-        "cell_id", _known("cell_id", "row of file", "file")
+    ).select("file", "col_pos", _known("id", "var label", "label").alias("feature_id")))
+    rows = cells.select("file", "row_pos", F.col("id").alias("cell_id"), "ingest_id")
+    placed = join_dimension(clean.x, features, ["file", "col_pos"], "left", salt_on="row_pos")
+    placed = join_dimension(placed, rows, ["file", "row_pos"], "left", salt_on="col_pos").withColumn(
+        "feature_id", _known("feature_id", "column of file", "file")
+    ).withColumn("cell_id", _known("cell_id", "row of file", "file"))
+
+    # Rows of the same cells in older ingests, and in files of this batch that come before the last one that has the cell.
+    own = cells.groupBy("id").agg(F.max(F.struct("file", "ingest_id")).alias("last"))
+    held = _live(read_table(spark, store, "obs", schema.obs_type(), with_ingest=True), read_replaced(spark, store), "id")
+    older = held.select("id", F.col("ingest_id").alias("old_ingest_id")).unionByName(
+        cells.select("id", F.col("ingest_id").alias("old_ingest_id")).distinct()
+    )
+    replaced = older.join(own, "id").filter(F.col("old_ingest_id") != F.col("last.ingest_id")).select(
+        F.col("id").alias("cell_id"), "old_ingest_id", F.col("last.ingest_id").alias("ingest_id")
     )
-    key = batch.obs.select("file").distinct().agg(F.coalesce(F.bit_xor(F.xxhash64("file")), F.lit(0)).alias("key")).first()["key"]
-    part = F.xxhash64(F.lit(partition_index), F.lit(key)).alias("ingest_id")
     append_together(
         spark, store,
         {
-            "obs": cells.select("*", part),
-            "X": placed.select("cell_id", "feature_id", F.col("value").cast("double").alias("value"), part),
+            "obs": cells,
+            "X": placed.select("cell_id", "feature_id", F.col("value").cast("double").alias("value"), "ingest_id"),
+            "replaced": freeze(replaced),
         },
-        {"obs": schema.obs_type(), "X": MATRIX}, {"obs": "id", "X": "cell_id"},
+        {"obs": schema.obs_type(), "X": MATRIX, "replaced": REPLACED}, {"obs": "id", "X": "cell_id", "replaced": "cell_id"},
+        commits=fresh.select("ingest_id", "file", "content", "version"),
     )
+    return fresh
+
+
+def read_replaced(spark: SparkSession, store: str) -> DataFrame:
+    """``(cell_id, ingest_id)``: rows of a cell that a later ingest replaced."""
+    return read_table(spark, store, "replaced", REPLACED).select("cell_id", F.col("old_ingest_id").alias("ingest_id")).distinct()
+
+
+def _live(rows: DataFrame, replaced: DataFrame, cell: str) -> DataFrame:
+    """Rows without those of replaced cells: few against all, so that ``rows`` stay where they are."""
+    gone = replaced.withColumnRenamed("cell_id", cell)
+    return join_dimension(rows, gone, [cell, "ingest_id"], "left_anti", salt_on=rows.columns[:2])
 
 
 def read_store(spark: SparkSession, store: str, schema: ArraySchema) -> dict[str, DataFrame]:
-    """Committed ``obs``, ``X`` and the feature axis with registered ids."""
+    """Committed ``obs``, ``X`` and the feature axis with registered ids; a cell as the last file that brought it has it."""
     registered = read_registry(spark, store, "var").withColumnRenamed("label", "feature_name")
+    replaced = read_replaced(spark, store)
+    obs = read_table(spark, store, "obs", schema.obs_type(), with_ingest=True)
+    x = read_table(spark, store, "X", MATRIX, with_ingest=True)
     return {
-        "obs": read_table(spark, store, "obs", schema.obs_type()),
-        "X": read_table(spark, store, "X", MATRIX),
+        "obs": _live(obs, replaced, "id").drop("ingest_id"),
+        "X": _live(x, replaced, "cell_id").drop("ingest_id"),
         "var": schema.features.join(registered, "feature_name"),
     }
-
-

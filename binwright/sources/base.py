@@ -2,12 +2,16 @@
 
 A warehouse is a folder with one Parquet table per base table, each partitioned by ``ingest_id``,
 and a ``commits`` table. Rows of an ingest exist for readers only once its commit row does, so the
-four tables of an ingest appear together or not at all.
+four tables of an ingest appear together or not at all. Writers at the same time keep apart: ids are reserved
+(``sources.reserve``), each writes its own partitions and its own part of ``commits``. What a failed writer left
+is removed by ``vacuum``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import time
+import uuid
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +52,7 @@ def remove_folders(spark: SparkSession, path: str, chosen: Callable[[str], bool]
     gone = [n for n in names if chosen(n)]
     for name in gone:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
-    return gone
+    return gone.select("table_name", "ingest_id")
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -62,7 +66,7 @@ def stored_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def read_commits(spark: SparkSession, warehouse: str) -> DataFrame:
-    return stored_rows(spark, f"{warehouse}/commits", COMMITS).distinct()
+    return stored_rows(spark, f"{warehouse}/commits", COMMITS).select("ingest_id").distinct()
 
 
 def read_table(spark: SparkSession, warehouse: str, table: str, schema: T.StructType | None = None,
@@ -118,38 +122,77 @@ def _write(df: DataFrame, path: str, schema: T.StructType, sort_column: str) ->
 
 
 def append_together(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame],
-                    schemas: Mapping[str, T.StructType], sort_columns: Mapping[str, str]) -> None:
-    """Writes all tables, each with an ``ingest_id`` column, then commits their ingests.
+                    schemas: Mapping[str, T.StructType], sort_columns: Mapping[str, str],
+                    commits: DataFrame | None = None) -> DataFrame:
+    """Writes all tables, each with an ``ingest_id`` column, then commits their ingests; returns the skipped ``ingest_id``.
 
     Nothing is visible before the last statement: if any write fails, no commit row is added. A
-    rerun replaces what a failed run left behind and leaves committed ingests as they are.
+    rerun replaces what a failed run left behind and leaves committed ingests as they are: these are skipped.
+    ``commits`` holds further columns per ``ingest_id`` for the commit rows.
     """
-    fresh = dict(tables)
+    fresh, skipped = dict(tables), spark.createDataFrame([], COMMITS)
+    first = next(iter(schemas))
     if path_exists(spark, f"{warehouse}/commits"):
         committed = freeze(read_commits(spark, warehouse))
         small = fits_broadcast(committed)
         fresh = {t: join_dimension(tables[t], committed, "ingest_id", "left_anti", fits=small) for t in schemas}
+        asked = tables[first].select(F.col("ingest_id").cast("bigint").alias("ingest_id")).distinct()
+        skipped = freeze(join_dimension(asked, committed, "ingest_id", "left_semi", fits=small))
     for table, schema in schemas.items():
         _write(fresh[table], f"{warehouse}/{table}", stored_schema(schema), sort_columns[table])
-    first = next(iter(schemas))
     ids = fresh[first].select(F.col("ingest_id").cast("bigint").alias("ingest_id")).distinct()
-    ids.write.mode("append").parquet(f"{warehouse}/commits")
+    rows = ids if commits is None else ids.join(commits, "ingest_id")
+    # A folder of its own, so that writers never share a job's temporary files.
+    rows.write.parquet(f"{warehouse}/commits/writer={uuid.uuid4().hex}")
+    return skipped
+
+
+GRACE_SECONDS = 24 * 3600
 
 
-def append_ingests(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame]) -> None:
-    """Appends one or many ingests to the four base tables at once.
+def vacuum(spark: SparkSession, warehouse: str, tables: Iterable[str] = tuple(BASE_TABLES),
+           grace_seconds: float = GRACE_SECONDS, now: float | None = None) -> DataFrame:
+    """Removes rows of ingests that were never committed; returns ``(table_name, ingest_id)`` of what went.
+
+    A running writer's rows look the same until it commits, so only folders that did not change for ``grace_seconds`` go: the
+    grace must be longer than any ingest takes. Staging folders that writers left go alike.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(warehouse)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = ((time.time() if now is None else now) - grace_seconds) * 1000
+    old = []
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{warehouse}/{table}")
+        for status in fs.listStatus(path) if fs.exists(path) else []:
+            name, changed = status.getPath().getName(), status.getModificationTime()
+            if status.isDirectory() and name.startswith("ingest_id="):
+                inside = [s.getModificationTime() for s in fs.listStatus(status.getPath())]
+                if max([changed, *inside]) < before:
+                    old.append((table, int(name.removeprefix("ingest_id="))))
+            elif status.isDirectory() and name.startswith(".spark-staging-") and changed < before:
+                fs.delete(status.getPath(), True)
+    # Commits are read after the folders: what was committed meanwhile stays.
+    listed = spark.createDataFrame(old, "table_name string, ingest_id bigint")
+    gone = freeze(join_dimension(listed, read_commits(spark, warehouse), "ingest_id", "left_anti", salt_on="table_name"))
+    for row in gone.collect():  # one row per folder of a failed run
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{warehouse}/{row['table_name']}/ingest_id={row['ingest_id']}"), True)
+    return gone.select("table_name", "ingest_id")
+
+
+def append_ingests(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Appends one or many ingests to the four base tables at once; returns the ``ingest_id`` that were committed before.
 
     ``raw_matrix_coo`` carries ``ingest_id`` besides its own columns.
     """
     rows = {**tables, "ingest_info": tables["ingest_info"].withColumn("ingest_id", F.col("id"))}
-    append_together(spark, warehouse, rows, BASE_TABLES, CLUSTER_COLUMN)
+    return append_together(spark, warehouse, rows, BASE_TABLES, CLUSTER_COLUMN)
 
 
-def append_staged(spark: SparkSession, warehouse: str, directory: str) -> None:
-    """Commits one staging directory, whose counts all belong to its single ingest."""
+def append_staged(spark: SparkSession, warehouse: str, directory: str) -> DataFrame:
+    """Commits one staging directory, whose counts all belong to its single ingest; returns its id if it was committed before."""
     staged = read_staged(spark, directory)
     ids = [r["id"] for r in staged["ingest_info"].limit(2).collect()]
     if len(ids) != 1:
         raise ValueError(f"{directory} must hold exactly one ingest")
     counts = staged["raw_matrix_coo"].withColumn("ingest_id", F.lit(ids[0]).cast("bigint"))
-    append_ingests(spark, warehouse, {**staged, "raw_matrix_coo": counts})
+    return append_ingests(spark, warehouse, {**staged, "raw_matrix_coo": counts})

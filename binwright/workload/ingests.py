@@ -110,26 +110,69 @@ def _array_schema(t) -> ArraySchema:
     return ArraySchema([("cell_type", "string", False), ("tissue", "string", True), ("age", "int32", True)], features)
 
 
-@query("J7_partitioned_ingest", """
+_STORED_SQL = """
 SELECT o.obs_id, v.var_id AS feature_name, x.value, o.cell_type, o.tissue, NULL::INTEGER AS age
 FROM file_x x JOIN file_obs o ON x.file = o.file AND x.row_pos = o.row_pos
-JOIN file_var v ON x.file = v.file AND x.col_pos = v.col_pos""", ("file_x", "file_obs", "file_var"))
-def partitioned(t):
-    store, schema, batch = scratch_path(t.spark, "store"), _array_schema(t), t.batch
-    register_batch(t.spark, store, batch)
+JOIN file_var v ON x.file = v.file AND x.col_pos = v.col_pos"""
+_STORED_VIEWS = ("file_x", "file_obs", "file_var")
+
+
+def _run_plan(t, store, schema, batch, batch_size):
+    """Ingests all files of a batch by a plan of its own."""
     names = batch.obs.select("file").distinct().withColumn("n", F.substring("file", 6, 9).cast("bigint"))
     files = rank_by_value(names, "n", "_rank").select("file", (F.col("_rank") - 1).alias("position"))
     total = files.count()
-    planned, totals = plan_partitions(files, total, batch_size=13)
+    planned, totals = plan_partitions(files, total, batch_size)
     for index in range(totals["num_partitions"]):
-        part = batch.only(partition_files(planned, total, index, 13))
+        part = batch.only(partition_files(planned, total, index, batch_size))
         ingest_partition(t.spark, store, part, schema, index)
+
+
+def _stored(t, store, schema):
     stored = read_store(t.spark, store, schema)
     cells = stored["obs"].withColumnRenamed("id", "cell_id")
     features = stored["var"].select(F.col("id").alias("feature_id"), "feature_name")
     return stored["X"].join(cells, "cell_id").join(features, "feature_id").drop("cell_id", "feature_id")
 
 
+def _first_files(batch, n):
+    return batch.only(batch.obs.select("file").distinct().filter(F.substring("file", 6, 9).cast("int") < n))
+
+
+@query("J7_partitioned_ingest", _STORED_SQL, _STORED_VIEWS)
+def partitioned(t):
+    store, schema, batch = scratch_path(t.spark, "store"), _array_schema(t), t.batch
+    register_batch(t.spark, store, batch)
+    _run_plan(t, store, schema, batch, 13)
+    return _stored(t, store, schema)
+
+
+@query("J7_overlapping_plans", _STORED_SQL, _STORED_VIEWS)
+def overlapping(t):
+    """Some files with other values and types, then all files as they are: each cell once, as it came last."""
+    store, schema, batch = scratch_path(t.spark, "store"), _array_schema(t), t.batch
+    register_batch(t.spark, store, batch)
+    early = _first_files(batch, 12)
+    wrong = F.col("file") == "file_003"
+    early = Batch(
+        early.obs.withColumn("tissue", F.when(wrong, F.lit("other")).otherwise(F.col("tissue"))), early.var,
+        early.x.withColumn("value", F.when(wrong, F.col("value") + 1).otherwise(F.col("value"))),
+    )
+    _run_plan(t, store, schema, early, 12)
+    _run_plan(t, store, schema, batch, 25)
+    return _stored(t, store, schema)
+
+
+@query("J7_second_plan", _STORED_SQL, _STORED_VIEWS)
+def second_plan(t):
+    """A plan over the first files, then one over the others, registered as they come."""
+    store, schema, batch = scratch_path(t.spark, "store"), _array_schema(t), t.batch
+    for lot in (_first_files(batch, 9), batch.only(batch.obs.select("file").distinct().filter(F.substring("file", 6, 9).cast("int") >= 9))):
+        register_batch(t.spark, store, lot)
+        _run_plan(t, store, schema, lot, 25)
+    return _stored(t, store, schema)
+
+
 @query("J7_ingest_plan", """
 SELECT file, (row_number() OVER (ORDER BY file) - 1) // 10 AS partition_index FROM (SELECT DISTINCT file FROM file_obs)""",
        ("file_obs",))
