@@ -362,7 +362,7 @@ def file_contents(batch: Batch) -> DataFrame:
 
     every = hashed(batch.obs, "obs").unionByName(hashed(batch.var, "var")).unionByName(hashed(batch.x, "x"))
     parts = every.groupBy("file").agg(
-        F.bit_xor("h").alias("x"), F.sum(F.shiftright("h", 8)).alias("s"), F.count(F.lit(1)).alias("n")
+        F.bit_xor("h").alias("x"), F.sum(F.shiftright("h", 32)).alias("s"), F.count(F.lit(1)).alias("n")
     )
     return parts.select("file", F.xxhash64("x", "s", "n").alias("content"))
 

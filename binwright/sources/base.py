@@ -52,7 +52,7 @@ def remove_folders(spark: SparkSession, path: str, chosen: Callable[[str], bool]
     gone = [n for n in names if chosen(n)]
     for name in gone:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
-    return gone.select("table_name", "ingest_id")
+    return gone
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
