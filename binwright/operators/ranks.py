@@ -3,7 +3,8 @@
 A plain ``row_number() over (order by ...)`` sends all rows to one task. Here every row gets a
 bucket that is a pure function of its sort value and grows with it; a first pass counts rows per
 bucket, a running sum over that small table gives each bucket its offset, and ranks inside a bucket
-are taken by a window partitioned on it. Results do not depend on the number of buckets.
+are taken by a window partitioned on it. Results do not depend on the number of buckets. Ranks by value take the
+partitions of a range partitioning as buckets.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from binwright.session import default_buckets, freeze
 MAX_VALUE_BUCKETS = 4096
 # A group of at most this many rows is sorted by one task; a larger one is split.
 HOT_GROUP_ROWS = 1_000_000
+_NUMBER_BITS = 33  # of monotonically_increasing_id: the row in its partition. Fixed value of Spark's.
 
 
 def hash_bucket(hashed: Column, buckets: int) -> Column:
@@ -70,9 +72,22 @@ def rank_by_hash(df: DataFrame, hash_column: str = "shuffle_key", tie: str = "id
     return _rank_in_buckets(bucketed, [hash_column, tie], out)
 
 
-def rank_by_value(df: DataFrame, column: str = "id", out: str = "rank", buckets: int | None = None) -> DataFrame:
-    """1-based rank by a numeric column whose values are unique."""
-    return _rank_in_buckets(with_value_bucket(df, column, buckets), [column], out)
+def rank_by_value(df: DataFrame, column: str = "id", out: str = "rank") -> DataFrame:
+    """1-based rank by a column whose values are unique, NULL first.
+
+    Rows are cut into ranges of the column and sorted there, and keep their number in the range: the low bits of a number that Spark
+    gives within a partition, written down with the rows (a checkpoint), so that it stays true. Then only the sizes of the
+    ranges are added up. The input is read to choose the ranges and to sort, and moves once.
+    """
+    placed = df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id())
+    placed = freeze(placed)
+    part, number = F.shiftright("_at", _NUMBER_BITS), F.col("_at").bitwiseAND(F.lit((1 << _NUMBER_BITS) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    )
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.withColumn(out, F.col("_offset") + number + 1).drop("_part", "_offset", "_at")
 
 
 class SplitGroups(NamedTuple):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,9 @@ from binwright.sources.base import (
 from binwright.sources.reserve import reserve
 
 
+CELLS_PER_BLOCK = 2_000  # cells whose counts lie together in a file: a few million counts
+
+
 @dataclass(frozen=True)
 class Batch:
     """Rows of any number of input files, told apart by ``file``.
@@ -131,20 +134,26 @@ def feature_rows(var: DataFrame, blocks: DataFrame, mapping: dict[str, str] | No
     )
 
 
-def count_rows(x: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Non-zero counts with global ids.
+def placed_counts(x: DataFrame, blocks: DataFrame, observed: Observation) -> DataFrame:
+    """Non-zero counts with global ids, dealt by ingest and block of cells and in order of cell and feature.
 
-    Ids of a file are its block start plus the position, so the big table is mapped in place and
-    never shuffled to look ids up. Positions must lie inside their file (``placement_faults``).
+    Ids of a file are its block start plus the position, so the big table is mapped in place. It moves once, to be written; that
+    exchange and sort also show what the files must not hold: positions that occur twice (next to each other by then),
+    values outside their file or without one, and NULL values. ``observed`` counts them while the rows are written.
     """
-    wanted = blocks.select("file", "ingest_id", "cell_start", "feature_start")
-    counted = x.withColumn("raw_count", clean_count(F.col("value")))
-    placed = join_dimension(counted, wanted, "file", salt_on=["row_pos", "col_pos"])
-    return placed.filter(F.col("raw_count") != 0).select(
-        (F.col("cell_start") + F.col("row_pos")).alias("cell_id"),
-        (F.col("feature_start") + F.col("col_pos")).alias("feature_id"),
-        "raw_count", "ingest_id",
+    wanted = blocks.select("file", "ingest_id", "cell_start", "feature_start", "n_obs", "n_vars")
+    known = join_dimension(x.select("file", "row_pos", "col_pos", "value"), wanted, "file", "left", salt_on=["row_pos", "col_pos"])
+    inside = F.col("row_pos").between(0, F.col("n_obs") - 1) & F.col("col_pos").between(0, F.col("n_vars") - 1) & F.col("value").isNotNull()
+    numbered = known.select(
+        "ingest_id", (F.col("cell_start") + F.col("row_pos")).alias("cell_id"), (F.col("feature_start") + F.col("col_pos")).alias("feature_id"),
+        clean_count(F.col("value")).alias("raw_count"), F.coalesce(inside, F.lit(False)).alias("_inside"),
+    ).withColumn("_block", F.call_function("div", F.col("cell_id"), F.lit(CELLS_PER_BLOCK)))
+    cell = Window.partitionBy("ingest_id", "_block", "cell_id").orderBy("feature_id")
+    again = F.coalesce(F.lag("feature_id").over(cell) == F.col("feature_id"), F.lit(False))
+    seen = numbered.repartition("ingest_id", "_block").withColumn("_again", again).observe(
+        observed, F.count_if(F.col("_again")).alias("repeated"), F.count_if(~F.col("_inside")).alias("misplaced")
     )
+    return seen.filter("_inside AND raw_count <> 0").select("cell_id", "feature_id", "raw_count", "ingest_id")
 
 
 def ingest_rows(uns: DataFrame | None, blocks: DataFrame, limit: int = METADATA_VALUE_LIMIT,
@@ -180,39 +189,61 @@ def placement_faults(batch: Batch) -> DataFrame:
     return _place_faults(batch).unionByName(matrix_faults(batch.x, freeze(batch.shapes), "placed"))
 
 
+class _Faulty(Exception):
+    """What was written must not be committed."""
+
+
+def _append(spark, warehouse, batch, shapes, obs_mapping, var_mapping, tag, metadata_limit, metadata_keep) -> DataFrame:
+    """Numbers, writes and commits all files; ``_Faulty`` where the written counts turn out to be misplaced."""
+    shapes = freeze(shapes)
+    sums = [F.count(F.lit(1)).alias("ingest_info"), F.sum("n_obs").alias("cell_info"), F.sum("n_vars").alias("feature_info")]
+    sizes = {k: v or 0 for k, v in shapes.agg(*sums).first().asDict().items()}
+    start = reserve(spark, warehouse, sizes, lambda: {t: next_id(spark, warehouse, t) for t in sizes})
+    blocks = reserve_blocks(shapes, start["ingest_info"], start["cell_info"], start["feature_info"])
+    observed = Observation()
+
+    def check():
+        if sum(observed.get.values()):
+            raise _Faulty
+
+    append_ingests(spark, warehouse, {
+        "ingest_info": ingest_rows(batch.uns, blocks, metadata_limit, metadata_keep),
+        "cell_info": cell_rows(batch.obs, batch.x, blocks, obs_mapping, tag),
+        "feature_info": feature_rows(batch.var, blocks, var_mapping, tag),
+        "raw_matrix_coo": placed_counts(batch.x, blocks, observed),
+    }, placed=["raw_matrix_coo"], check=check)
+    return blocks
+
+
 def ingest_batch(spark: SparkSession, warehouse: str, batch: Batch, obs_mapping: dict[str, str] | None = None,
                  var_mapping: dict[str, str] | None = None, tag: str | None = None,
                  metadata_limit: int = METADATA_VALUE_LIMIT, metadata_keep: list[str] | None = None,
                  partial: bool = False) -> DataFrame:
     """Validates, maps and numbers every file of the batch and appends all of them at once.
 
-    A faulty file fails the batch. With ``partial`` the good files are committed and the error that
-    lists the faults comes afterwards. Returns the id blocks of the committed files.
+    The narrow tables are validated before anything is written, the counts while they are written: only if none is misplaced,
+    the commit follows. Otherwise all faults are listed per file, for which the counts are read again. A faulty file fails
+    the batch. With ``partial`` the good files are committed and the error that lists the faults comes afterwards. Returns the id
+    blocks of the committed files. What was written and not committed goes with ``sources.base.vacuum``.
     """
+    how = (obs_mapping, var_mapping, tag, metadata_limit, metadata_keep)
+    narrow = required_text_faults(batch, obs_mapping, var_mapping).unionByName(
+        position_faults(batch.obs, "row_pos", "obs").unionByName(position_faults(batch.var, "col_pos", "var"))
+    )
+    if narrow.isEmpty():
+        try:
+            return _append(spark, warehouse, batch, batch.shapes, *how)
+        except _Faulty:
+            pass
     faults = freeze(required_text_faults(batch, obs_mapping, var_mapping).unionByName(placement_faults(batch)))
     found = faults.agg(
         F.count_distinct("file").alias("n_files"), F.coalesce(F.bool_or(F.col("file") == "*"), F.lit(False)).alias("all")
     ).first()
-    if found["n_files"] and (found["all"] or not partial):
+    if found["all"] or not partial:
         raise_on_faults(faults)
-    shapes = batch.shapes
-    if found["n_files"]:
-        shapes = freeze(shapes.join(faults.select("file").distinct(), "file", "left_anti"))
-        batch = batch.only(shapes)
-    shapes = freeze(shapes)
-    sums = [F.count(F.lit(1)).alias("ingest_info"), F.sum("n_obs").alias("cell_info"), F.sum("n_vars").alias("feature_info")]
-    sizes = {k: v or 0 for k, v in shapes.agg(*sums).first().asDict().items()}
-    start = reserve(spark, warehouse, sizes, lambda: {t: next_id(spark, warehouse, t) for t in sizes})
-    blocks = reserve_blocks(shapes, start["ingest_info"], start["cell_info"], start["feature_info"])
-    append_ingests(spark, warehouse, {
-        "ingest_info": ingest_rows(batch.uns, blocks, metadata_limit, metadata_keep),
-        "cell_info": cell_rows(batch.obs, batch.x, blocks, obs_mapping, tag),
-        "feature_info": feature_rows(batch.var, blocks, var_mapping, tag),
-        "raw_matrix_coo": count_rows(batch.x, blocks),
-    })
-    if found["n_files"]:
-        raise IngestError(f"{found['n_files']} files were not ingested; see the fault table", faults)
-    return blocks
+    shapes = freeze(batch.shapes.join(faults.select("file").distinct(), "file", "left_anti"))
+    _append(spark, warehouse, batch.only(shapes), shapes, *how)
+    raise IngestError(f"{found['n_files']} files were not ingested; see the fault table", faults)
 
 
 # -- array-backend rules -----------------------------------------------------------------------

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Collection, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,25 +110,31 @@ def read_staged(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     return {**tables, "raw_matrix_coo": read_staged_counts(spark, directory)}
 
 
-def _write(df: DataFrame, path: str, schema: T.StructType, sort_column: str) -> None:
-    """Replaces the ingests present in ``df``; rebalancing splits a hot ingest into even files."""
-    rows = conform(df, schema).withColumn("_block", F.call_function("div", F.col(sort_column), F.lit(IDS_PER_BLOCK)))
+def _write(df: DataFrame, path: str, schema: T.StructType, sort_column: str, placed: bool = False) -> None:
+    """Replaces the ingests present in ``df``; rebalancing splits a hot ingest into even files.
+
+    ``placed`` says that rows lie together and in order as they are, which saves the exchange.
+    """
+    rows = conform(df, schema)
+    if not placed:
+        blocked = rows.withColumn("_block", F.call_function("div", F.col(sort_column), F.lit(IDS_PER_BLOCK)))
+        rows = blocked.hint("rebalance", F.col("ingest_id"), F.col("_block")).drop("_block").sortWithinPartitions("ingest_id", sort_column)
     (
-        rows.hint("rebalance", F.col("ingest_id"), F.col("_block")).drop("_block")
-        .sortWithinPartitions("ingest_id", sort_column)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("ingest_id").parquet(path)
     )
 
 
 def append_together(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame],
                     schemas: Mapping[str, T.StructType], sort_columns: Mapping[str, str],
-                    commits: DataFrame | None = None) -> DataFrame:
+                    commits: DataFrame | None = None, placed: Collection[str] = (),
+                    check: Callable[[], None] | None = None) -> DataFrame:
     """Writes all tables, each with an ``ingest_id`` column, then commits their ingests; returns the skipped ``ingest_id``.
 
     Nothing is visible before the last statement: if any write fails, no commit row is added. A
     rerun replaces what a failed run left behind and leaves committed ingests as they are: these are skipped.
-    ``commits`` holds further columns per ``ingest_id`` for the commit rows.
+    ``commits`` holds further columns per ``ingest_id`` for the commit rows, ``placed`` names tables whose rows lie in order, and
+    ``check`` runs after the writes: what it raises keeps them uncommitted.
     """
     fresh, skipped = dict(tables), spark.createDataFrame([], COMMITS)
     first = next(iter(schemas))
@@ -139,7 +145,9 @@ def append_together(spark: SparkSession, warehouse: str, tables: Mapping[str, Da
         asked = tables[first].select(F.col("ingest_id").cast("bigint").alias("ingest_id")).distinct()
         skipped = freeze(join_dimension(asked, committed, "ingest_id", "left_semi", fits=small))
     for table, schema in schemas.items():
-        _write(fresh[table], f"{warehouse}/{table}", stored_schema(schema), sort_columns[table])
+        _write(fresh[table], f"{warehouse}/{table}", stored_schema(schema), sort_columns[table], **({"placed": True} if table in placed else {}))
+    if check:
+        check()
     ids = fresh[first].select(F.col("ingest_id").cast("bigint").alias("ingest_id")).distinct()
     rows = ids if commits is None else ids.join(commits, "ingest_id")
     # A folder of its own, so that writers never share a job's temporary files.
@@ -179,13 +187,14 @@ def vacuum(spark: SparkSession, warehouse: str, tables: Iterable[str] = tuple(BA
     return gone.select("table_name", "ingest_id")
 
 
-def append_ingests(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+def append_ingests(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame], placed: Collection[str] = (),
+                   check: Callable[[], None] | None = None) -> DataFrame:
     """Appends one or many ingests to the four base tables at once; returns the ``ingest_id`` that were committed before.
 
     ``raw_matrix_coo`` carries ``ingest_id`` besides its own columns.
     """
     rows = {**tables, "ingest_info": tables["ingest_info"].withColumn("ingest_id", F.col("id"))}
-    return append_together(spark, warehouse, rows, BASE_TABLES, CLUSTER_COLUMN)
+    return append_together(spark, warehouse, rows, BASE_TABLES, CLUSTER_COLUMN, placed=placed, check=check)
 
 
 def append_staged(spark: SparkSession, warehouse: str, directory: str) -> DataFrame:

@@ -20,10 +20,12 @@ from binwright.operators.explore import (
     distinct_values,
 )
 from binwright.operators.ranks import random_bins
-from binwright.plans.facets import refresh_facets
+from binwright.plans.facets import refresh_facets, refresh_warehouse_facets
 from binwright.plans.prepare import count_matrix
 from binwright.session import scratch_path
+from binwright.sources.base import append_ingests
 from binwright.workload.registry import query
+from binwright.workload.tables import base_tables
 
 
 @query("C1_filtered_count", "SELECT count(*) AS total_cells FROM cells WHERE tissue = 'BUILDING' AND score >= 100000",
@@ -119,3 +121,22 @@ def facets(t):
         {"orders": t.cells.drop("original_id"), "events": t.event_cells}, scratch_path(t.spark, "facets"), threshold=40
     )
     return rows.select("dataset", "facet", "value", "n")
+
+
+@query("J12_facets_after_appends", """
+SELECT 'orders' AS dataset, 'total_cells' AS facet, NULL::VARCHAR AS value, count(*) AS n FROM cells
+UNION ALL SELECT DISTINCT 'orders', 'cell_type', cell_type, 1 FROM cells
+UNION ALL SELECT DISTINCT 'orders', 'disease', disease, 1 FROM cells
+UNION ALL SELECT DISTINCT 'orders', 'tissue', tissue, 1 FROM cells""", ("cells",))
+def facets_after_appends(t):
+    """Two appends with a refresh after each: the second reads the new ingests only."""
+    warehouse, path, tables = scratch_path(t.spark, "warehouse"), scratch_path(t.spark, "facets"), base_tables(t)
+    rows = None
+    for part in (F.col("ingest_id") < 15, F.col("ingest_id") >= 15):
+        append_ingests(t.spark, warehouse, {
+            "ingest_info": tables["ingest_info"].withColumn("ingest_id", F.col("id")).filter(part).drop("ingest_id"),
+            "cell_info": tables["cell_info"].filter(part), "feature_info": tables["feature_info"].limit(0),
+            "raw_matrix_coo": t.spark.createDataFrame([], "cell_id long, feature_id long, raw_count long, ingest_id long"),
+        })
+        rows = refresh_warehouse_facets(t.spark, warehouse, path, "orders", threshold=40)
+    return rows

@@ -79,11 +79,11 @@ def test_nothing_is_visible_after_a_failure(spark, monkeypatch):
     ingest_batch(spark, warehouse, small_batch(spark, "a"), *MAPS)
     write, calls = base._write, []
 
-    def failing(df, path, schema, sort_column):
+    def failing(df, path, schema, sort_column, **how):
         calls.append(path)
         if path.endswith("raw_matrix_coo"):
             raise RuntimeError("disk lost")
-        write(df, path, schema, sort_column)
+        write(df, path, schema, sort_column, **how)
 
     monkeypatch.setattr(base, "_write", failing)
     with pytest.raises(RuntimeError):

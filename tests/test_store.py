@@ -1,12 +1,14 @@
 """Writers that overlap, repeat, correct, fail or work at the same time."""
 
 import os
+import re
 import threading
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from binwright.errors import DataValidationError
 from binwright.operators.ranks import rank_by_value
 from binwright.plans.ingest import (
     Batch,
@@ -99,8 +101,8 @@ def test_a_failed_version_is_written_again(spark, monkeypatch):
     register_batch(spark, store, batch)
     write = base._write
 
-    def failing(df, path, schema, sort_column):
-        write(df, path, schema, sort_column)
+    def failing(df, path, schema, sort_column, **how):
+        write(df, path, schema, sort_column, **how)
         if path.endswith("/X"):
             raise RuntimeError("disk lost")
 
@@ -120,9 +122,9 @@ def test_matrix_moves_only_to_be_written(spark, monkeypatch):
     register_batch(spark, store, batch)
     plans, write = {}, base._write
 
-    def seen(df, path, schema, sort_column):
+    def seen(df, path, schema, sort_column, **how):
         plans[path.rsplit("/", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
-        write(df, path, schema, sort_column)
+        write(df, path, schema, sort_column, **how)
 
     monkeypatch.setattr(base, "_write", seen)
     ingest_partition(spark, store, batch, schema)
@@ -130,6 +132,25 @@ def test_matrix_moves_only_to_be_written(spark, monkeypatch):
     assert "BroadcastHashJoin [file" in text and "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
 
 
+def test_counts_are_checked_by_the_exchange_that_writes_them(spark, monkeypatch):
+    warehouse, plans, write = scratch_path(spark, "wh"), {}, base._write
+
+    def seen(df, path, schema, sort_column, **how):
+        plans[path.rsplit("/", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
+        write(df, path, schema, sort_column, **how)
+
+    monkeypatch.setattr(base, "_write", seen)
+    ingest_batch(spark, warehouse, small_batch(spark, "a"), *MAPS)
+    text = plans["raw_matrix_coo"]
+    assert len(re.findall(r"(?<!Broadcast)Exchange ", text)) == 1 and text.count("Sort [") == 1 and "Window" in text
+    monkeypatch.undo()
+    twice = small_batch(spark, "b")
+    twice = Batch(twice.obs, twice.var, twice.x.unionByName(twice.x.limit(1)), twice.uns)
+    with pytest.raises(DataValidationError):
+        ingest_batch(spark, warehouse, twice, *MAPS)
+    assert read_table(spark, warehouse, "cell_info").count() == 4
+
+
 def test_writers_at_the_same_time_get_blocks_apart(spark):
     warehouse, got, errors = scratch_path(spark, "wh"), [], []
     start = threading.Barrier(8)
@@ -197,10 +218,10 @@ def test_vacuum_removes_what_was_never_committed(spark, monkeypatch):
     warehouse, write = scratch_path(spark, "wh"), base._write
     ingest_batch(spark, warehouse, small_batch(spark, "a"), *MAPS)
 
-    def failing(df, path, schema, sort_column):
+    def failing(df, path, schema, sort_column, **how):
         if path.endswith("raw_matrix_coo"):
             raise RuntimeError("disk lost")
-        write(df, path, schema, sort_column)
+        write(df, path, schema, sort_column, **how)
 
     monkeypatch.setattr(base, "_write", failing)
     with pytest.raises(RuntimeError):
