@@ -10,14 +10,15 @@ of op7; the pipeline takes 80 over five. Sets are of 64-bit hashes of shingles.
 3. The index is a list per shingle in order of (set size, position). Within a list, blocks of positions that leave
    too few shingles for the required overlap are skipped, as are sizes out of range.
 4. *Neighbours first*: each entry is paired with the nearest of the ``NEAR`` entries before it that it may link with,
-   and with its list's first: two pairs an entry at most. Verified pairs give components and exact overlaps.
-5. *Answers of a similar set*: what is in one component needs no more pairs. For the rest, all pairs between
-   components that the index allows are taken; a pair (x, y) is dropped if a set p that is similar to x was compared with
-   y and |p and y| + |x - p| is below the required overlap. What is left is verified. So no link between components
-   is lost, and components are exact.
+   and with its list's first: two pairs an entry at most. Verified pairs give components.
+5. *Between components*: what is in one component needs no more pairs. Lists that hold several are cut by classes of sizes and
+   then into blocks (``blocks.py``), which meet inside the tasks; what size, position and bitmaps rule out is skipped. Entries with a
+   possible partner get their full sets and meet again. There *a set takes its answers from a similar one*: its overlaps with all
+   others are those of the set before, changed by the elements that only one of both has. Of the links, a
+   block reports those that merge components; so no link between components is lost, components are exact, and pairs are no rows.
 
-Pairs are made only where parity bitmaps allow a link (bits that differ are at most the elements that differ): a short
-one is in the lists, a longer one is compared before full sets are made, for the documents in pairs that pass.
+Parity bitmaps rule out links (bits that differ are at most the elements that differ): a short
+one is in the lists, a longer one is compared before full sets are made, for the near pairs that pass.
 
 Defined cases: a document without words (null text too) has an empty set, is linked with nothing and is its own
 component. Rows that repeat a doc_id with different texts are different sets whose components may have one
@@ -28,13 +29,16 @@ told apart by their set and named null. An empty table gives no rows. Other colu
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binwright.llm.blocks import BLOCK, GROUP, full_sets, groups, in_blocks, merging_links, once, sides
 from binwright.llm.common import doc_key, id_and_text, joined, ship, stored
 
 PERCENT = 90  # defaults: the figures of op7
@@ -219,7 +223,7 @@ def near_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def _allowed(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Whether entries of the same lists may link, by sizes, positions and short bitmaps."""
     most = x[:, 1] + y[:, 1] - 2 * required(x[:, 1], y[:, 1], percent)
-    differ = np.bitwise_count(x[:, 4:] ^ y[:, 4:]).sum(1, dtype=np.int64)
+    differ = np.bitwise_count(np.ascontiguousarray(x[:, 4:] ^ y[:, 4:]).view(np.uint64)).sum(1, dtype=np.int64)
     return may_link(x[:, 1], x[:, 2], y[:, 1], y[:, 2], percent) & (differ <= most)
 
 
@@ -327,11 +331,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     known = stored(_overlaps(stored(_passing(led, sets, percent), "near_pairs"), members, rows, shingle), "overlaps")
     first = stored(components(links(known, percent)), "components")
 
-    rest = stored(_between(lists, first, percent).join(led, ["a", "b"], "left_anti"), "other_pairs")
-    rest = stored(_passing(_derived(rest, known, percent), sets, percent), "open_pairs")
-    more = stored(_overlaps(rest, members, rows, shingle), "overlaps") if not rest.isEmpty() else None
-    every = links(known, percent) if more is None else links(known, percent).unionByName(links(more, percent))
-    final = first if more is None else stored(components(every), "components")
+    keyed = _by_size(lists, percent)
+    copies = in_blocks(keyed, first, ("n", "pos", "own", *BITS), BLOCK)
+    rest = stored(once(stored(_open_entries(copies, percent), "open_entries"), GROUP, ["block"]), "open_entries")
+    final = first
+    if not rest.isEmpty():
+        more = stored(merging_links(rest, full_sets(rest, members, rows, partial(shingles, shingle=shingle)), percent), "merging_links")
+        final = stored(components(links(known, percent).unionByName(more)), "components")
 
     named = sets.select("digest", "id", F.col("doc_id").alias("least")).join(final, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -341,43 +347,42 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     )
 
 
-def _between(lists: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b, n_a, n_b) of sets in different components that share a list and may link.
+def _by_size(lists: DataFrame, percent: int) -> DataFrame:
+    """The entries of the lists by parts (key) that hold the sets of one class of sizes (``own``) and of the next larger one.
 
-    In each list the entries outside its largest component meet the others, so a component never meets itself.
+    Sets of classes further apart differ too much in size to link: so much of a list is skipped.
     """
-    entries = joined(lists, comps, ["id"], "left").withColumn("comp", F.coalesce("comp", "id"))
-    largest = entries.groupBy("shingle", "comp").count().groupBy("shingle").agg(
-        F.max_by("comp", "count").alias("largest"), F.count(F.lit(1)).alias("comps")
-    ).where("comps > 1").select("shingle", "largest")
-    entries = stored(entries.join(largest, "shingle"), "mixed_lists")
-    need = f"ceil({percent} * (x.n + y.n) / {100 + percent})"
-    differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in BITS)
-    pairs = entries.where("comp != largest").alias("x").join(entries.alias("y"), F.expr(
-        f"x.shingle = y.shingle AND x.comp != y.comp AND (y.comp = y.largest OR x.id < y.id) "
-        f"AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.n - x.pos >= {need} AND y.n - y.pos >= {need} "
-        f"AND {differ} <= x.n + y.n - 2 * {need}"
-    ))
-    first = F.col("x.id") < F.col("y.id")
-    return pairs.select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
-        F.when(first, F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"), F.when(first, F.col("y.n")).otherwise(F.col("x.n")).alias("n_b"),
-    ).distinct()
-
-
-def _derived(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) without those that the answers of a similar set rule out."""
-    two_ways = known.select("a", "b", "n_a", "overlap").unionByName(
-        known.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), "overlap")
-    )
-    # of each set x: the compared set p with the fewest elements of x outside it
-    near = two_ways.groupBy("a").agg(F.min(F.struct((F.col("n_a") - F.col("overlap")).alias("outside"), F.col("b").alias("p"))).alias("near")).select(
-        F.col("a").alias("x"), F.col("near.p").alias("p"), F.col("near.outside").alias("outside")
-    )
-    answers = two_ways.select(F.col("a").alias("p"), F.col("b").alias("y"), "overlap")
-    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    for x, y in (("a", "b"), ("b", "a")):
-        bounded = pairs.withColumnRenamed(x, "x").withColumnRenamed(y, "y").join(near, "x").join(answers, ["p", "y"])
-        out = bounded.where(F.col("overlap") + F.col("outside") < need).select(F.col("x").alias(x), F.col("y").alias(y))
-        pairs = pairs.join(out, ["a", "b"], "left_anti")
-    return pairs.select("a", "b")
+    width = -math.log(percent / 100) * 1.0001 if percent < 100 else 1e-9
+    classed = lists.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / width).cast("long"))
+    part = F.explode(F.array(F.struct(F.col("class").alias("of"), F.lit(1).alias("own")), F.struct((F.col("class") - 1).alias("of"), F.lit(0).alias("own"))))
+    return classed.withColumn("part", part).select(F.xxhash64("shingle", "part.of").alias("key"), "id", "n", "pos", F.col("part.own").cast("long").alias("own"), *BITS)
+
+
+def _open_entries(copies: DataFrame, percent: int) -> DataFrame:
+    """The entries of ``copies`` that have a partner of another component in their group with which they may link.
+
+    Blocks are taken in order of position. A set whose first shared shingle is late needs all that is left of both: entries
+    after the last position that any partner allows are skipped without a look at their bitmaps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches):
+            i, j, same = sides(batch)
+            comp, n, pos, own = (batch.column(c).to_numpy() for c in ("comp", "n", "pos", "own"))
+            reach = n - pos >= required(n, n * percent // 100, percent)  # with the smallest partner of all
+            i, j = i[reach[i]], j[reach[j]]
+            x, y = np.nonzero((comp[i][:, None] != comp[j][None, :]) & (own[i][:, None] + own[j][None, :] > 0) & may_link(
+                n[i][:, None], pos[i][:, None], n[j][None, :], pos[j][None, :], percent
+            ))
+            x, y = i[x], j[y]
+            if same:
+                x, y = x[x < y], y[x < y]
+            bits = np.column_stack([batch.column(c).to_numpy() for c in BITS])
+            differ = np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)).sum(1, dtype=np.int64)
+            ok = differ <= n[x] + n[y] - 2 * required(n[x], n[y], percent)
+            some = np.unique(np.concatenate((x[ok], y[ok])))
+            if len(some):
+                yield batch.take(pa.array(some)).select([*GROUP, "block", "id", "comp"])
+
+    ordered = copies.select(*GROUP, "block", "id", "comp", "n", "pos", "own", *BITS).repartition(*GROUP).sortWithinPartitions(*GROUP, "pos")
+    return ordered.mapInArrow(run, "key long, p long, q long, block long, id long, comp long")

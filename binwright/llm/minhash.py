@@ -30,12 +30,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binwright.llm.blocks import BLOCK, GROUP, full_sets, groups, in_blocks, merging_links, once, sides
 from binwright.llm.common import doc_key, id_and_text, joined, ship, stored
 from binwright.llm.jaccard import components, shingles
 
@@ -45,7 +47,6 @@ BANDS = 40
 ROWS = 5
 BATCH = 40  # values of a signature that are compared before the next decision
 MISS = 1e-6  # probability of a link below which a pair is dropped
-BLOCK = 256  # entries of a bucket's block
 SEED = 20_011
 
 
@@ -141,21 +142,6 @@ def _plausible_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def full_sets(wanted: DataFrame, members: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, elements) of the ids in ``wanted``, made from their texts."""
-    at = stored(wanted.select("id").distinct().join(members, "id"), "wanted_sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                elements = [shingles(t, shingle).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(elements, pa.binary())], ["id", "elements"])
-
-    texts = joined(rows.withColumn("doc_key", doc_key()), at, ["doc_key", "text_key"], "inner").select("id", "text")
-    return texts.mapInArrow(run, "id long, elements binary").dropDuplicates(["id"])
-
-
 def star_links(stars: DataFrame, members: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) that link, of ``stars`` (a, b: the head), by full sets. A head's pairs are cut into blocks of about BLOCK, each
     of which gets the head's set once."""
@@ -165,7 +151,7 @@ def star_links(stars: DataFrame, members: DataFrame, rows: DataFrame, shingle: i
     heads = placed.select("b", "part").distinct().select("b", "part", F.lit(0).alias("kind"), F.col("b").alias("id"))
     both = stored(heads.unionByName(placed.select("b", "part", F.lit(1).alias("kind"), F.col("a").alias("id"))), "star_sets")
     columns = ["b", "part", "kind", "id", "elements"]
-    ordered = both.join(full_sets(both, members, rows, shingle), "id").select(*columns).repartition("b", "part").sortWithinPartitions("b", "part", "kind")
+    ordered = both.join(full_sets(both, members, rows, partial(shingles, shingle=shingle)), "id").select(*columns).repartition("b", "part").sortWithinPartitions("b", "part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
@@ -185,57 +171,12 @@ def star_links(stars: DataFrame, members: DataFrame, rows: DataFrame, shingle: i
     return ordered.mapInArrow(run, "a long, b long")
 
 
-GROUP = ["key", "p", "q"]  # a bucket and two of its blocks
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One batch per group of rows that come sorted by GROUP."""
-    waiting = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch] if waiting is None else [waiting, batch]).combine_chunks().to_batches()[0]
-        keys = np.column_stack([rows.column(c).to_numpy() for c in GROUP])
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()]
-        for at, end in zip(cuts, cuts[1:]):
-            yield rows.slice(at, end - at)
-        waiting = rows.slice(cuts[-1])
-    if waiting is not None:
-        yield waiting
-
-
-def _sides(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Which rows are in the group's first and in its second block; whether these are one block."""
-    first = batch.column("block").to_numpy() == batch.column("p").to_numpy()
-    same = batch.column("p")[0] == batch.column("q")[0]
-    return np.flatnonzero(first), np.flatnonzero(first if same else ~first), same
-
-
-def _blocks(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Entries (GROUP, block, id, comp) of buckets with several components, once per group of two blocks that they meet in."""
-    entries = joined(buckets, comps, ["id"], "left").withColumn("comp", F.coalesce("comp", "id"))
-    held = entries.groupBy("key", "comp").count().groupBy("key").agg(
-        F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.max("count").alias("most"), F.sum("count").alias("total")
-    ).where("total > most")
-    # Blocks 0 to others - 1 hold what is outside the largest component, the blocks after them the largest component.
-    held = held.select(
-        "key", "largest", F.ceil((F.col("total") - F.col("most")) / BLOCK).alias("others"), F.ceil(F.col("most") / BLOCK).alias("own")
-    )
-    placed = joined(entries, stored(held, "mixed_buckets"), ["key"], "inner").withColumn("block", F.expr(
-        "IF(comp = largest, others + pmod(xxhash64(id), own), pmod(xxhash64(id), others))"
-    ))
-    partner = F.explode(F.expr("sequence(0L, IF(comp = largest, others, others + own) - 1)")).alias("partner")
-    return placed.select("key", "id", "comp", "block", partner).select(
-        "key", F.least("block", "partner").alias("p"), F.greatest("block", "partner").alias("q"), "block", "id", "comp"
-    )
-
-
 def _open_entries(copies: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The entries of ``copies`` that have a plausible partner of another component in their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches):
-            i, j, same = _sides(batch)
+        for batch in groups(batches):
+            i, j, same = sides(batch)
             comp, n = (batch.column(c).to_numpy() for c in ("comp", "n"))
             x, y = np.nonzero((comp[i][:, None] != comp[j][None, :]) & _sizes_allow(n[i][:, None], n[j][None, :], percent))
             x, y = i[x], j[y]
@@ -252,49 +193,6 @@ def _open_entries(copies: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return ordered.mapInArrow(run, "key long, p long, q long, block long, id long, comp long")
 
 
-def overlaps(x: np.ndarray, elements: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    """How many elements ``x`` shares with each of ``n`` sets, given all their elements in order with the set of each."""
-    start, end = np.searchsorted(elements, x, "left"), np.searchsorted(elements, x, "right")
-    counts = end - start
-    at = np.repeat(start - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    return np.bincount(owners[at], minlength=n)
-
-
-def _merging_links(entries: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between entries of different components, by full sets; in each group only those that merge components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches):
-            i, j, _ = _sides(batch)
-            sets = [np.frombuffer(e, np.uint64) for e in batch.column("elements").to_pylist()]
-            ids, comp = batch.column("id").to_pylist(), batch.column("comp").to_numpy().copy()
-            size = np.array([len(s) for s in sets])
-            together = np.concatenate([sets[k] for k in j]) if len(j) else np.zeros(0, np.uint64)
-            order = np.argsort(together, kind="stable")
-            together, owners = together[order], np.repeat(np.arange(len(j)), size[j])[order]
-            a, b = [], []
-            for x in i.tolist():
-                both = overlaps(sets[x], together, owners, len(j))
-                for y in j[(100 * both >= percent * (size[x] + size[j] - both)) & (comp[j] != comp[x])].tolist():
-                    if comp[x] != comp[y]:
-                        a.append(ids[x])
-                        b.append(ids[y])
-                        comp[comp == comp[y]] = comp[x]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    columns = [*GROUP, "block", "id", "comp", "elements"]
-    ordered = entries.join(elements, "id").select(*columns).repartition(*GROUP).sortWithinPartitions(*GROUP)
-    return ordered.mapInArrow(run, "a long, b long")
-
-
-def _once(entries: DataFrame, key: list[str], also: list[str]) -> DataFrame:
-    """``entries`` of one of all groups (``key``) that have the same ids (and ``also`` columns), told by count and two 64-bit hashes."""
-    same = entries.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id", *also)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id", *also)).alias("y")
-    ).groupBy("n", "x", "y").agg(F.min(F.struct(*key)).alias("one")).select("one.*")
-    return joined(entries, stored(same, "distinct_groups"), key, "inner")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept, per row of ``docs``.
 
@@ -317,16 +215,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     entries = sets.select(F.explode("keys").alias("key"), "id")
     held = stored(entries.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head"), "heads")
-    buckets = stored(_once(joined(entries, held, ["key"], "inner"), ["key"], []), "buckets")
+    buckets = stored(once(joined(entries, held, ["key"], "inner"), ["key"], []), "buckets")
     stars = buckets.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     stars = stored(_plausible_pairs(stars, sets, percent), "star_pairs")
     first = stored(star_links(stars, members, rows, shingle, percent), "star_links")
     comps = stored(components(first), "components")
 
-    copies = _blocks(buckets.select("key", "id"), comps)
-    rest = stored(_once(stored(_open_entries(copies, sets, percent), "open_entries"), GROUP, ["block"]), "open_entries")
+    copies = in_blocks(buckets.select("key", "id"), comps, block=BLOCK)
+    rest = stored(once(stored(_open_entries(copies, sets, percent), "open_entries"), GROUP, ["block"]), "open_entries")
     if not rest.isEmpty():
-        more = stored(_merging_links(rest, full_sets(rest, members, rows, shingle), percent), "merging_links")
+        more = stored(merging_links(rest, full_sets(rest, members, rows, partial(shingles, shingle=shingle)), percent), "merging_links")
         comps = stored(components(first.unionByName(more)), "components")
 
     named = sets.select("digest", "id", F.col("doc_id").alias("least")).join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
