@@ -117,12 +117,14 @@ def sparse_blocks(cells: DataFrame, packed: DataFrame, n_features: int, order: l
 def assemble(cells: DataFrame, packed: DataFrame, n_features: int) -> DataFrame:
     """``sparse_blocks`` of cells and packed counts that both have their row in the bin, joined by it.
 
-    ``packed`` is sorted by feature in each row. Where both sides are bucketed or dealt by ``extract_bin``, neither moves, and the
-    order of the join is that of the output.
+    ``packed`` is sorted by feature in each row. Where both sides are bucketed by ``bin_group`` or dealt by ``extract_bin``, neither
+    moves, and the order of the join is that of the output.
     """
-    describing = [c for c in cells.columns if c not in ("extract_bin", "row_num", "id", "bin_bucket")]
-    left = cells.select("extract_bin", "row_num", "id", *describing)
-    right = packed.select("extract_bin", "row_num", F.col("feature_data").alias("entries"))
+    grouped = ["bin_group"] if "bin_group" in cells.columns and "bin_group" in packed.columns else []
+    keys = ["extract_bin", "row_num", *grouped]
+    describing = [c for c in cells.columns if c not in (*keys, "id", "bin_bucket", "bin_group")]
+    left = cells.select(*keys, "id", *describing)
+    right = packed.select(*keys, F.col("feature_data").alias("entries"))
 
     def column_number(e):
         known = (e["feature_id"] >= 0) & (e["feature_id"] < n_features)
@@ -133,7 +135,7 @@ def assemble(cells: DataFrame, packed: DataFrame, n_features: int) -> DataFrame:
     placed = F.transform(
         F.coalesce("entries", none), lambda e: F.struct(column_number(e).alias("col_num"), e["raw_counts"].alias("value"))
     )
-    return left.join(right.hint("merge"), ["extract_bin", "row_num"], "left").withColumn("entries", placed).select(
+    return left.join(right.hint("merge"), keys, "left").withColumn("entries", placed).select(
         "extract_bin", "row_num", "id", *describing,
         sparse_indices(F.col("entries")).alias("indices"), sparse_values(F.col("entries")).alias("values"),
         F.lit(n_features).cast("bigint").alias("n_features"),
@@ -149,7 +151,7 @@ def extract_bins(spark: SparkSession, path: str, output: str, start_bin: int | N
     buckets = spark.read.schema("buckets bigint").json(f"{path}/layout").first()["buckets"]
     cells = read_bucketed(spark, f"{path}/cell_info", read_binned(spark, f"{path}/cell_info").schema, buckets)
     packed = read_bucketed(spark, f"{path}/count_matrix", PACKED_COUNTS, buckets)
-    fixed = ["extract_bin", "row_num", "id", "ingest_id", "shuffle_key"]
+    fixed = ["extract_bin", "row_num", "bin_group", "id", "ingest_id", "shuffle_key"]
     described = [c for c in cells.columns if c not in (*fixed, "bin_bucket")]
     wanted = described if obs_columns is None else [c for c in obs_columns if c in described]
     # Decided on the whole extract, so that bins written by different runs have the same columns.

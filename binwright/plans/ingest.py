@@ -38,7 +38,7 @@ from binwright.sources.base import (
 from binwright.sources.reserve import reserve
 
 
-CELLS_PER_BLOCK = 2_000  # cells whose counts lie together in a file: a few million counts
+CELLS_PER_BLOCK = 10_000  # cells whose counts lie together in a file: some ten million counts
 
 
 @dataclass(frozen=True)

@@ -127,7 +127,7 @@ def prepare_extract(tables: Mapping[str, DataFrame], wanted: DataFrame, path: st
     total_bins = extract_summary(binned).first()["total_bins"]
     if not total_bins:
         raise EmptySelectionError("no cells match the filters")
-    buckets = bucket_count(total_bins)
+    buckets = bucket_count(total_bins, spec.partition_size)
     write_metadata(spark.range(1).select(F.lit(buckets).alias("buckets")), f"{path}/layout")
     # Rows are numbered here, on the narrow table; the counts get the number with the bin.
     write_bucketed(local_index(binned, order=["shuffle_key", "id"]), f"{path}/cell_info", buckets, spec.partition_bins, spec.partition_size)

@@ -13,7 +13,6 @@ from binwright.schemas import EXTRACT_FEATURE_INFO, conform
 
 PARTITION_BINS = 40_000
 PARTITION_SIZE = 10
-BINS_PER_BUCKET = 8
 MOST_BUCKETS = 20_000
 
 # The document that describes an extract.
@@ -42,33 +41,37 @@ def write_binned(df: DataFrame, path: str, partition_bins: int = PARTITION_BINS,
     )
 
 
-def bucket_count(total_bins: int) -> int:
-    """Buckets for tables of that many bins: a task per bucket, whole bins in each."""
-    return max(1, min(MOST_BUCKETS, -(-total_bins // BINS_PER_BUCKET)))
+def bucket_count(total_bins: int, partition_size: int = PARTITION_SIZE) -> int:
+    """Buckets for tables of that many bins: about one per group of ``partition_size`` bins."""
+    return max(1, min(MOST_BUCKETS, -(-total_bins // partition_size)))
 
 
 def write_bucketed(df: DataFrame, path: str, buckets: int, partition_bins: int = PARTITION_BINS,
                    partition_size: int = PARTITION_SIZE) -> None:
-    """Table partitioned by groups of bins, and bucketed by bin, so that tables of the same bins join without an exchange.
+    """Table partitioned by groups of bins, and bucketed by these groups (``bin_group``, not capped as the storage partitions are),
+    so that tables of the same bins join without an exchange.
 
-    A bucket holds whole bins, in order of bin and row.
+    A group's rows are one file, in order of bin and row; a bucket holds whole groups.
     """
     spark, name = df.sparkSession, f"binned_{uuid.uuid4().hex}"
-    placed = df.withColumn("bin_bucket", bucket_of_bin(F.col("extract_bin"), partition_bins, partition_size))
+    placed = df.withColumns({
+        "bin_group": F.call_function("div", F.col("extract_bin"), F.lit(partition_size)).cast("bigint"),
+        "bin_bucket": bucket_of_bin(F.col("extract_bin"), partition_bins, partition_size),
+    })
     (
-        placed.repartition(buckets, "extract_bin").write.format("parquet").mode("overwrite").option("path", path)
-        .partitionBy("bin_bucket").bucketBy(buckets, "extract_bin").sortBy("extract_bin", "row_num").saveAsTable(name)
+        placed.repartition(buckets, "bin_group").write.format("parquet").mode("overwrite").option("path", path)
+        .partitionBy("bin_bucket").bucketBy(buckets, "bin_group").sortBy("extract_bin", "row_num").saveAsTable(name)
     )
     spark.sql(f"DROP TABLE {name}")  # of the catalog only: its files stay
 
 
 def read_bucketed(spark: SparkSession, path: str, schema: T.StructType, buckets: int) -> DataFrame:
     """A table of ``write_bucketed``, declared again with its buckets."""
-    name, fields = f"binned_{uuid.uuid4().hex}", [f for f in schema.fields if f.name != "bin_bucket"]
-    columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
+    name, own = f"binned_{uuid.uuid4().hex}", ("bin_bucket", "bin_group")
+    columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields if f.name not in own)
     spark.sql(
-        f"CREATE TABLE {name} ({columns}, bin_bucket BIGINT) USING parquet PARTITIONED BY (bin_bucket) "
-        f"CLUSTERED BY (extract_bin) SORTED BY (extract_bin, row_num) INTO {buckets} BUCKETS LOCATION '{path}'"
+        f"CREATE TABLE {name} ({columns}, bin_group BIGINT, bin_bucket BIGINT) USING parquet PARTITIONED BY (bin_bucket) "
+        f"CLUSTERED BY (bin_group) SORTED BY (extract_bin, row_num) INTO {buckets} BUCKETS LOCATION '{path}'"
     )
     spark.catalog.recoverPartitions(name)
     return spark.table(name)

@@ -124,7 +124,7 @@ def test_bins_are_assembled_without_moving_counts(spark, warehouse):
     wanted = number_features(spark, [("a", "E3"), ("b", "E5"), ("c", "E0")])
     prepare_extract(read_tables(spark, warehouse), wanted, path, spec)
     buckets = spark.read.json(f"{path}/layout").first()["buckets"]
-    assert buckets == 2
+    assert buckets == 6 and len(read_binned(spark, f"{path}/count_matrix").inputFiles()) == 6
     cells = read_bucketed(spark, f"{path}/cell_info", read_binned(spark, f"{path}/cell_info").schema, buckets)
     packed = read_bucketed(spark, f"{path}/count_matrix", PACKED_COUNTS, buckets)
     with setting(spark, *BUCKETS_SUFFICE):
