@@ -12,10 +12,10 @@ of op7; the pipeline takes 80 over five. Sets are of 64-bit hashes of shingles.
 4. *Neighbours first*: each entry is paired with the nearest of the ``NEAR`` entries before it that it may link with,
    and with its list's first: two pairs an entry at most. Verified pairs give components.
 5. *Between components*: what is in one component needs no more pairs. Lists that hold several are cut by classes of sizes and
-   then into blocks (``blocks.py``), which meet inside the tasks; what size, position and bitmaps rule out is skipped. Entries with a
-   possible partner get their full sets and meet again. There *a set takes its answers from a similar one*: its overlaps with all
-   others are those of the set before, changed by the elements that only one of both has. Of the links, a
-   block reports those that merge components; so no link between components is lost, components are exact, and pairs are no rows.
+   then into blocks (``blocks.py``), which meet inside the tasks; what size, position and short bitmaps rule out is skipped. Entries
+   with a possible partner get their long bitmaps and meet again; the pairs that these allow come out. *Answers of a similar set*
+   rule out more: a pair (x, y) is dropped if a set p that is similar to x was compared with y and |p and y| + |x - p| is
+   below the required overlap. What is left is verified. So no link between components is lost, and components are exact.
 
 Parity bitmaps rule out links (bits that differ are at most the elements that differ): a short
 one is in the lists, a longer one is compared before full sets are made, for the near pairs that pass.
@@ -31,14 +31,13 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binwright.llm.blocks import BLOCK, GROUP, full_sets, groups, in_blocks, merging_links, once, sides
+from binwright.llm.blocks import BLOCK, GROUP, groups, in_blocks, once, sides
 from binwright.llm.common import doc_key, id_and_text, joined, ship, stored
 
 PERCENT = 90  # defaults: the figures of op7
@@ -334,9 +333,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     keyed = _by_size(lists, percent)
     copies = in_blocks(keyed, first, ("n", "pos", "own", *BITS), BLOCK)
     rest = stored(once(stored(_open_entries(copies, percent), "open_entries"), GROUP, ["block"]), "open_entries")
+    rest = stored(_possible_pairs(rest, sets, percent).join(led, ["a", "b"], "left_anti"), "open_pairs")
     final = first
     if not rest.isEmpty():
-        more = stored(merging_links(rest, full_sets(rest, members, rows, partial(shingles, shingle=shingle)), percent), "merging_links")
+        rest = stored(_derived(rest, known, percent).join(sets.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(
+            sets.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "n_a", "n_b"), "open_pairs")
+        more = links(stored(_overlaps(rest, members, rows, shingle), "overlaps"), percent)
         final = stored(components(links(known, percent).unionByName(more)), "components")
 
     named = sets.select("digest", "id", F.col("doc_id").alias("least")).join(final, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -386,3 +388,53 @@ def _open_entries(copies: DataFrame, percent: int) -> DataFrame:
 
     ordered = copies.select(*GROUP, "block", "id", "comp", "n", "pos", "own", *BITS).repartition(*GROUP).sortWithinPartitions(*GROUP, "pos")
     return ordered.mapInArrow(run, "key long, p long, q long, block long, id long, comp long")
+
+
+def _possible_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of ``entries`` of different components that meet in a group and that their long bitmaps allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches):
+            i, j, same = sides(batch)
+            ids, comp, n = (batch.column(c).to_numpy() for c in ("id", "comp", "n"))
+            maps, found = [np.frombuffer(m, np.uint64) for m in batch.column("bits").to_pylist()], []
+            wide = {}  # the maps of the second side by width, below each other
+            for y in j.tolist():
+                wide.setdefault(len(maps[y]), []).append(y)
+            stacked = {w: (np.array(ys), np.stack([maps[y] for y in ys])) for w, ys in wide.items()}
+            for x in i.tolist():
+                for ys, table in stacked.values():
+                    mine, theirs = maps[x], table
+                    while len(mine) > theirs.shape[1]:
+                        mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+                    while theirs.shape[1] > len(mine):
+                        theirs = theirs[:, : theirs.shape[1] // 2] ^ theirs[:, theirs.shape[1] // 2 :]
+                    ok = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64) <= n[x] + n[ys] - 2 * required(n[x], n[ys], percent)
+                    ok &= (comp[ys] != comp[x]) & (ys > x if same else True)
+                    found += [(x, y) for y in ys[ok].tolist()]
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            swap = ids[a] > ids[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[a], ids[b], n[a], n[b])], ["a", "b", "n_a", "n_b"])
+
+    columns = [*GROUP, "block", "id", "comp", "n", "bits"]
+    ordered = entries.join(sets.select("id", "n", "bits"), "id").select(*columns).repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return ordered.mapInArrow(run, "a long, b long, n_a long, n_b long").distinct()
+
+
+def _derived(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) without those that the answers of a similar set rule out."""
+    two_ways = known.select("a", "b", "n_a", "overlap").unionByName(
+        known.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), "overlap")
+    )
+    # of each set x: the compared set p with the fewest elements of x outside it
+    near = two_ways.groupBy("a").agg(F.min(F.struct((F.col("n_a") - F.col("overlap")).alias("outside"), F.col("b").alias("p"))).alias("near")).select(
+        F.col("a").alias("x"), F.col("near.p").alias("p"), F.col("near.outside").alias("outside")
+    )
+    answers = two_ways.select(F.col("a").alias("p"), F.col("b").alias("y"), "overlap")
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    for x, y in (("a", "b"), ("b", "a")):
+        bounded = pairs.withColumnRenamed(x, "x").withColumnRenamed(y, "y").join(near, "x").join(answers, ["p", "y"])
+        out = bounded.where(F.col("overlap") + F.col("outside") < need).select(F.col("x").alias(x), F.col("y").alias(y))
+        pairs = pairs.join(out, ["a", "b"], "left_anti")
+    return pairs.select("a", "b")
