@@ -59,7 +59,8 @@ def join_dimension(big: DataFrame, dim: DataFrame, on: str | list[str], how: str
     """``big`` joined with ``dim``, which holds few rows per key.
 
     A dimension of at most ``rows`` rows and ``BROADCAST_BYTES`` bytes is broadcast, so the big side never moves. A larger one is
-    joined by shuffle on the key plus a salt. Only keys that hold many rows of the big side are cut, each into as
+    joined by shuffle on the key plus a salt, never by a broadcast that Spark would choose by the size of the files, which says
+    nothing of what is made from them. Only keys that hold many rows of the big side are cut, each into as
     many parts as its rows need: the dimension's rows of these keys are copied, all others are not. The salt is a pure
     function of ``salt_on`` (never random, so a retried task routes its rows the same way). ``fits`` passes the outcome of an
     earlier check of the same dimension. ``how`` may be inner, left, left_semi or left_anti; the big side is on the left.
@@ -69,8 +70,8 @@ def join_dimension(big: DataFrame, dim: DataFrame, on: str | list[str], how: str
         return big.join(F.broadcast(dim), keys, how)
     heavy = heavy_keys(big, keys)
     if not heavy:
-        return big.join(dim, keys, how)
+        return big.join(dim.hint("merge"), keys, how)
     spread = [salt_on] if isinstance(salt_on, str) else list(salt_on or big.columns)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), _salts(keys, heavy)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), (_salts(keys, heavy) - 1).cast("int"))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")

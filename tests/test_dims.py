@@ -51,3 +51,12 @@ def test_without_hot_keys_nothing_is_copied(tables):
     cold = big.filter("k <> 7 AND k <> 8")
     text = join_dimension(cold, dim, "k", fits=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in text and rows(join_dimension(cold, dim, "k", fits=False)) == rows(join_dimension(cold, dim, "k", fits=True))
+
+
+def test_a_table_that_does_not_fit_is_never_broadcast(tables):
+    """What is made from a small file looks as small as the file to Spark."""
+    big, dim = tables
+    made = dim.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(9)))).filter("n = 0").drop("n")
+    for of in (big, big.filter("k <> 7 AND k <> 8")):
+        plan = join_dimension(of, made, "k", fits=False)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
