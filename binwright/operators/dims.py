@@ -12,6 +12,8 @@ ROW_BYTES = 32  # of a row's header, beside its columns
 HOT_ROWS = 4_000_000  # rows of a key that one task joins
 MOST_HEAVY = 2_000  # keys that are looked at, at most
 MOST_SALTS = 4_096
+TASK_ROWS = 500_000  # rows that one task holds in memory at a time, about
+WORD = 64  # positions in a mask
 
 
 def _bytes(field: T.StructField) -> Column:
@@ -31,6 +33,21 @@ def fits_broadcast(dim: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return found["n"] <= rows and found["size"] <= BROADCAST_BYTES
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` dealt by ``keys`` into as many tasks as its rows need, however few tasks read it.
+
+    An aggregate on these keys then holds about ``TASK_ROWS`` rows in a task, instead of all that a task of a small file makes from it.
+    """
+    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), *keys)
+
+
+def with_word(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``_word`` and ``_bit``: the place of a position in masks of ``WORD`` positions; none for NULL and negative ones."""
+    position = F.when(F.col(column) >= 0, F.col(column).cast("bigint"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (position % WORD).cast("int"))
+    return df.withColumns({"_word": F.call_function("div", position, F.lit(WORD)), "_bit": bit})
+
+
 def heavy_keys(big: DataFrame, keys: list[str]) -> dict[int, int]:
     """Hash of each key that holds more than ``HOT_ROWS`` rows of ``big``, and into how many parts it is cut.
 

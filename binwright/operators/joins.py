@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binwright.operators.counts import pruned_counts
-from binwright.operators.dims import join_dimension
+from binwright.operators.dims import WORD, dealt, join_dimension, with_word
 from binwright.operators.ranks import rank_by_value
 
 EXAMPLES = 5  # names per file and fault
@@ -117,17 +117,18 @@ def feature_set_faults(file_features: DataFrame, schema_features: DataFrame, is_
 
     ``schema_features`` holds ``(feature_name, position)`` with dense positions. A label that is not text equals
     no feature; its type is the fault's example. The gaps between a file's own positions give what it misses, so
-    files are never paired with features.
+    files are never paired with features. A file's positions are masks of 64 each, and only names that are no feature are
+    compared with each other, dealt by file and name.
     """
     axis = schema_features.select("feature_name", "position")
     kind = file_features.schema["feature_name"].dataType
-    names = file_features.select("file", F.col("feature_name").cast("string").alias("feature_name")).distinct()
+    names = file_features.select("file", F.col("feature_name").cast("string").alias("feature_name"))
     if isinstance(kind, T.StringType):
         unknown = join_dimension(names, axis.select("feature_name"), "feature_name", "left_anti", salt_on="file")
         held = join_dimension(names, axis, "feature_name", salt_on="file").select("file", F.col("position").cast("bigint").alias("position"))
-        faults = _fault_rows(unknown, "unknown")
+        faults = _fault_rows(_distinct_names(unknown), "unknown")
     else:
-        held = None
+        held, names = None, _distinct_names(names)
         typed = names.groupBy("file").agg(F.count(F.lit(1)).alias("n_features"))
         faults = _fault_rows(names, "unknown").unionByName(typed.select(
             "file", F.lit("not text").alias("fault"), "n_features", F.array(F.lit(kind.simpleString())).alias("examples")
@@ -136,15 +137,25 @@ def feature_set_faults(file_features: DataFrame, schema_features: DataFrame, is_
         return faults
     total = axis.count()
     end = names.select("file").distinct().withColumn("position", F.lit(total).cast("bigint"))  # closes the last gap
-    inside = Window.partitionBy("file").orderBy("position")
-    gaps = (end if held is None else held.unionByName(end)).select(
-        "file", "position", (F.row_number().over(inside) - 1).alias("before"),
-        (F.coalesce(F.lag("position").over(inside), F.lit(-1)) + 1).alias("start"),
+    words = with_word(end if held is None else held.unionByName(end), "position").groupBy("file", "_word").agg(F.bit_or("_bit").alias("mask"))
+    inside = Window.partitionBy("file").orderBy("_word")
+    gaps = words.withColumns({
+        "start": F.coalesce(F.lag("_word").over(inside) + 1, F.lit(0)) * WORD,  # first place after the mask before
+        "before": F.coalesce(F.sum(F.bit_count("mask")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    })
+    base = F.col("_word") * WORD
+    few = F.least(base - 1, F.col("start") + EXAMPLES - 1)
+    whole = F.when(F.col("start") <= few, F.sequence("start", few)).otherwise(F.array().cast("array<bigint>"))
+    unset = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.when(F.call_function("getbit", F.col("mask"), i) == 0, base + i)),
+        lambda p: p < total,
     )
-    few = F.least(F.col("position") - 1, F.col("before") + EXAMPLES - 1)  # of the places missing so far, start - before, five in all
+    first_missing = F.slice(F.concat(whole, unset), 1, EXAMPLES)
     missing = gaps.groupBy("file").agg(
-        (total - F.max("before")).cast("bigint").alias("n_features"),
-        F.flatten(F.collect_list(F.when(F.col("start") <= few, F.sequence("start", few)))).alias("positions"),
+        (total + 1 - F.sum(F.bit_count("mask"))).cast("bigint").alias("n_features"),
+        # Of the places missing so far, start - before, five in all.
+        F.slice(F.sort_array(F.flatten(F.collect_list(F.when(F.col("start") - F.col("before") < EXAMPLES, first_missing)))), 1, EXAMPLES)
+        .alias("positions"),
     ).filter("n_features > 0")
     first = missing.select("file", "n_features", F.explode("positions").alias("position"))
     named = join_dimension(first, axis, "position", salt_on="file")
@@ -152,6 +163,10 @@ def feature_set_faults(file_features: DataFrame, schema_features: DataFrame, is_
     return faults.unionByName(missing.select("file", F.lit("missing").alias("fault"), "n_features", "examples"))
 
 
+def _distinct_names(names: DataFrame) -> DataFrame:
+    return dealt(names, ["file", "feature_name"]).distinct()
+
+
 def _fault_rows(df: DataFrame, fault: str) -> DataFrame:
     """Count per file and its first five names; the row limit is applied before the shuffle."""
     first = Window.partitionBy("file").orderBy("feature_name")

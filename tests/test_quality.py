@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binwright.errors import DataValidationError
+from binwright.operators import dims
 from binwright.operators.joins import expand_to_axis, feature_set_faults
 from binwright.operators.quality import (
     count_matrix_validator,
@@ -12,6 +13,7 @@ from binwright.operators.quality import (
     matrix_profile,
     obs_faults,
     offending_values,
+    position_faults,
     raise_on_faults,
     raw_count_check,
     raw_counts_validator,
@@ -147,6 +149,44 @@ def test_feature_sets(spark):
     assert rows(expand_to_axis(x, files, schema)) == [("b", 0, 3, 5.0)]
 
 
+def test_positions_are_told_apart_by_masks(spark):
+    files = {
+        "whole": list(range(200)), "gap": [p for p in range(300) if p not in (0, 64, 299 - 100)], "twice": [*range(130), 5, 64, 64],
+        "odd": [*range(70), None, None, -1, -64], "none": [None], "minus": [-3], "far": [0, 10**12],
+    }
+    df = spark.createDataFrame([(f, p) for f, ps in files.items() for p in ps], "file string, col_pos bigint")
+
+    def fault(ps):
+        places = {p for p in ps if p is not None and p >= 0}
+        return len(ps) - len(places) + max(max([p for p in ps if p is not None], default=-1) + 1 - len(places), 0)
+
+    expected = sorted((f, fault(ps)) for f, ps in files.items() if fault(ps))
+    for kind in ("bigint", "int", "double"):
+        typed = df.filter("file <> 'far'").withColumn("col_pos", F.col("col_pos").cast(kind))
+        assert [(f, int(n)) for f, n in rows(position_faults(typed, "col_pos", "var"), "file", "n")] == [e for e in expected if e[0] != "far"]
+    assert rows(position_faults(df, "col_pos", "var"), "file", "n") == expected
+    plan = position_faults(df, "col_pos", "var")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and "distinct" not in plan
+
+
+def test_feature_sets_of_many_features(spark, monkeypatch):
+    monkeypatch.setattr(dims, "TASK_ROWS", 100)
+    names = [f"g{i:03}" for i in range(320)]
+    schema = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "feature_name string, position bigint")
+    files = {
+        "all": names, "first": names[3:], "last": names[:-2], "word": names[:64] + names[128:], "odd": names[1::2],
+        "twice": [*names[:63], *names[:63], *names[64:256]], "end": names[:256], "one": names[319:],
+        "new": [*names, *[f"x{i:03}" for i in range(250)], "x001"],
+    }
+    df = spark.createDataFrame([(f, n) for f, ns in files.items() for n in ns], "file string, feature_name string").coalesce(1)
+    missing = {f: sorted(set(names) - set(ns)) for f, ns in files.items()}
+    expected = [(f, "missing", len(m), m[:5]) for f, m in missing.items() if m]
+    expected.append(("new", "unknown", 250, [f"x{i:03}" for i in range(5)]))
+    found = feature_set_faults(df, schema, is_subset=False)
+    assert rows(found) == sorted(expected)
+    assert "hashpartitioning(file" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
+
+
 def test_feature_list(spark):
     df = spark.createDataFrame([("a", "s"), ("a", "t"), (None, "u"), ("b", None)], "ensemble_id string, symbol string")
     assert sorted(map(str, feature_list_faults(df).collect())) == sorted([
