@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binwright.errors import DataValidationError
-from binwright.operators.dims import BROADCAST_ROWS, join_dimension, with_word
+from binwright.operators.dims import BROADCAST_ROWS, dealt, join_dimension, with_word
 from binwright.schemas import DTYPES
 from binwright.session import freeze
 
@@ -177,8 +177,9 @@ def offending_values(x: DataFrame, shapes: DataFrame, wanted: list[str]) -> Data
 
 
 def repeated_positions(x: DataFrame) -> DataFrame:
-    """``(file, n_repeated)``: positions stored more than once."""
-    repeated = x.groupBy("file", "row_pos", "col_pos").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    """``(file, n_repeated)``: positions stored more than once. Few are: rows are dealt before they are counted, not combined first."""
+    place = ["file", "row_pos", "col_pos"]
+    repeated = dealt(x.select(*place), place).groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     return repeated.groupBy("file").agg(F.count(F.lit(1)).alias("n_repeated"))
 
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,19 @@ def test_positions_are_told_apart_by_masks(spark):
     assert "bit_or" in plan and "distinct" not in plan
 
 
+def test_positions_of_values_are_dealt_before_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(dims, "TASK_ROWS", 100)
+    x = spark.range(1000).selectExpr("IF(id % 2 = 0, 'a', 'b') AS file", "id % 495 AS row_pos", "IF(id < 990, 1, NULL) AS col_pos").coalesce(1)
+    places = [("a" if i % 2 == 0 else "b", i % 495, 1 if i < 990 else None) for i in range(1000)]
+    found = repeated_positions(x)
+    assert rows(found) == sorted((f, n) for f in "ab" if (n := sum(places.count(p) > 1 for p in set(places) if p[0] == f)))
+    twice = x.unionByName(x.filter("row_pos < 7"))
+    again = Counter(places + [p for p in places if p[1] < 7])
+    assert rows(repeated_positions(twice)) == sorted((f, sum(n > 1 for p, n in again.items() if p[0] == f)) for f in "ab")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "10), REPARTITION_BY_NUM" in plan
+
+
 def test_feature_sets_of_many_features(spark, monkeypatch):
     monkeypatch.setattr(dims, "TASK_ROWS", 100)
     names = [f"g{i:03}" for i in range(320)]
