@@ -33,7 +33,7 @@ from binwright.sources.sinks import (
     write_bins,
 )
 
-# Tables bucketed by a part of the join's keys need no exchange. Fixed value of Spark's.
+# Tables bucketed or dealt by a part of the join's keys need no exchange. Fixed value of Spark's.
 BUCKETS_SUFFICE = ("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
@@ -170,20 +170,21 @@ def extract_bins(spark: SparkSession, path: str, output: str, start_bin: int | N
 
     features = read_binned(spark, f"{path}/feature_info")
     blocks = assemble(cells, packed, n_features)
-    with setting(spark, *BUCKETS_SUFFICE):
-        return _write(blocks, features.withColumn("col_num", F.col("id")), output, cells, bins)
+    return _write(blocks, features.withColumn("col_num", F.col("id")), output, cells, bins)
 
 
 def _write(blocks: DataFrame, features: DataFrame, output: str, cells: DataFrame | None = None, bins: tuple[int, int] | None = None) -> DataFrame:
     """Bins below ``bins`` and their common feature axis below ``features``; reads the output's bins back.
 
     A run over the bins ``[start, end)`` replaces these and keeps those of other runs; of its own, those that ``cells`` has no
-    rows of any more go. A range without cells gives no rows rather than an error.
+    rows of any more go. A range without cells gives no rows rather than an error. The rows of a bin must lie together before they are
+    joined: the join of ``assemble`` must not deal them anew by row, or each task would write a file of each bin.
     """
     spark = blocks.sparkSession
     others = bins is not None and path_exists(spark, f"{output}/bins")
     features.write.mode("overwrite").parquet(f"{output}/features")
-    write_bins(blocks, f"{output}/bins", placed=True, keep_others=others)
+    with setting(spark, *BUCKETS_SUFFICE):
+        write_bins(blocks, f"{output}/bins", placed=True, keep_others=others)
     if others:
         held = {r["extract_bin"] for r in cells.select("extract_bin").distinct().collect()}  # bins of one run
         remove_folders(spark, f"{output}/bins", lambda name: _stale(name, bins, held))

@@ -26,7 +26,7 @@ from binwright.plans.extract import (
     union_pieces,
 )
 from binwright.plans.prepare import ExtractSpec, check_feature_ids, number_features, prepare_extract
-from binwright.session import scratch_path
+from binwright.session import scratch_path, setting
 from binwright.sources.sinks import export_csv, read_binned, read_metadata
 from binwright.operators.projection import read_bins
 from tests.conftest import rows
@@ -164,6 +164,21 @@ def test_grouped_and_randomized_extract(spark, tables):
     assert rows(part, "id", "extract_bin") == rows(random.filter("extract_bin >= 2 and extract_bin < 5"), "id", "extract_bin")
 
 
+def test_a_bin_is_one_file(spark, tables):
+    """However many tasks write: a join that deals bins by their rows would give each task a file of each bin."""
+    cells, counts, features = tables["cell_info"], tables["raw_matrix_coo"], tables["feature_info"]
+    out = scratch_path(spark, "one_file")
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):  # small tables would be one task
+        runs = [
+            extract_grouped(cells, counts, features, f"{out}/g", ["tissue"], 30),
+            extract_randomized(cells, counts, features, f"{out}/r", 30, seed=2),
+        ]
+    for blocks in runs:
+        names = [name.split("extract_bin=")[1].split("/")[0] for name in blocks.inputFiles()]
+        assert len(names) == blocks.select("extract_bin").distinct().count() == 8
+        assert len(set(names)) == len(names)
+
+
 def test_small_block_exactly(spark):
     cells = spark.createDataFrame(
         [(0, 100, "M", 1.5, None, None), (0, 101, None, None, "x", None)],
