@@ -35,6 +35,8 @@ from binwright.sources.sinks import (
 
 # Tables bucketed or dealt by a part of the join's keys need no exchange. Fixed value of Spark's.
 BUCKETS_SUFFICE = ("spark.sql.requireAllClusterKeysForCoPartition", "false")
+# Tasks that list the folders of bins: Spark starts one for each folder, up to 10,000. Fixed value.
+LISTING_TASKS = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "64")
 
 
 def drop_all_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -188,7 +190,8 @@ def _write(blocks: DataFrame, features: DataFrame, output: str, cells: DataFrame
     if others:
         held = {r["extract_bin"] for r in cells.select("extract_bin").distinct().collect()}  # bins of one run
         remove_folders(spark, f"{output}/bins", lambda name: _stale(name, bins, held))
-    return spark.read.schema(blocks.schema).parquet(f"{output}/bins")
+    with setting(spark, *LISTING_TASKS):
+        return spark.read.schema(blocks.schema).parquet(f"{output}/bins")
 
 
 def _stale(folder: str, bins: tuple[int, int], held: set[int]) -> bool:
