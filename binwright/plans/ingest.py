@@ -25,7 +25,7 @@ from binwright.operators.quality import (
 )
 from binwright.operators.ranks import block_bounds, rank_by_hash, running_sum
 from binwright.schemas import CELL_INFO, DTYPES, FEATURE_INFO, add_missing_fields
-from binwright.session import freeze
+from binwright.session import freeze, written
 from binwright.sources.base import (
     append_ingests,
     append_together,
@@ -75,6 +75,18 @@ class Batch:
             kept(self.uns, "file") if self.uns is not None else None,
         )
 
+    def stored(self) -> Batch:
+        """The batch with its cells, features and matrix as tables of the shared folder, for jobs that read them many times.
+
+        Parquet has no columns without a type; they hold NULL only, so text does as well.
+        """
+
+        def kept(df, name):
+            untyped = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
+            return written(df.withColumns({c: F.col(f"`{c}`").cast("string") for c in untyped}) if untyped else df, name)
+
+        return Batch(kept(self.obs, "batch_obs"), kept(self.var, "batch_var"), kept(self.x, "batch_x"), self.uns)
+
 
 # -- ids ---------------------------------------------------------------------------------------
 
@@ -421,8 +433,9 @@ def ingest_partition(spark: SparkSession, store: str, batch: Batch, schema: Arra
     commit of a version says which cells of older ones it replaces, and readers leave those rows out. Labels are unique inside the
     registry, so the joins that turn them into ids meet no hot key. Features and rows of a file are dimensions of the
     matrix, which only moves to be written. A label without an id, NULL too, and a value at a position that no
-    label has are errors.
+    label has are errors. The files are read once and written, then told apart, checked and placed from there.
     """
+    batch = batch.stored()
     fresh = new_versions(spark, store, batch)
     if fresh.isEmpty():
         return fresh

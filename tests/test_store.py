@@ -53,6 +53,24 @@ def test_overlapping_plans_store_each_cell_once(spark):
     assert stored["X"].count() == stored["X"].select("cell_id", "feature_id").distinct().count() == named(batch, "f1", "f2").x.count()
 
 
+def test_a_partition_reads_its_files_once(spark):
+    schema, batch = array_inputs(spark)
+    batch = named(batch, "f1", "f2")
+    store, made = scratch_path(spark, "store"), spark.sparkContext.accumulator(0)
+    register_batch(spark, store, batch)
+
+    def read(value):
+        made.add(1)
+        return value
+
+    once = F.udf(read, "double").asNondeterministic()
+    x = batch.x.withColumn("value", once(F.col("value").cast("double")))
+    untyped = batch.obs.withColumn("nothing", F.lit(None))  # no column that Parquet could hold
+    ingest_partition(spark, store, Batch(untyped, batch.var, x), schema)
+    n = batch.x.count()
+    assert made.value == n == read_store(spark, store, schema)["X"].count()
+
+
 def test_other_content_replaces_and_older_content_comes_back(spark):
     schema, batch = array_inputs(spark)
     store = scratch_path(spark, "store")
