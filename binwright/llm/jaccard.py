@@ -1,23 +1,23 @@
-"""Exact Jaccard join of documents' sets of word shingles, with skipping by set relations.
+"""Exact Jaccard join of documents' sets of word shingles, by parts of sets that must be equal.
 
 Two documents link when 100 * |A and B| >= percent * |A or B|: by default 90 over shingles of three words, the figures
 of op7; the pipeline takes 80 over five. Sets are of 64-bit hashes of shingles.
 
 1. Equal sets are one class (by a 128-bit digest of the set); one document stands for it from here on.
-2. All sets are ordered alike: shingles that are frequent come last, others by hash. Linked sets share a shingle
-   among the first |A| - ceil(percent / 100 |A|) + 1, so only those are indexed. Which shingles are frequent only steers
-   the amount of work: at most ``FREQUENT`` of them are named, by a threshold that is a share of all entries.
-3. The index is a list per shingle in order of (set size, position). Within a list, blocks of positions that leave
-   too few shingles for the required overlap are skipped, as are sizes out of range.
+2. Linked sets differ in at most d elements, where d follows from the size of the smaller one. Sizes are cut into ranges; for a range
+   the hashes are dealt into more than d parts, so linked sets agree in whole parts. A set has a key per part, for the ranges
+   that the smaller of a pair may be in: its own and the one before. A key is of some ten elements at 90 percent, so sets that
+   just share a common shingle do not meet. Empty parts have keys only where a set has so many that all it agrees in may be empty.
+3. The index is a list per key in order of size. Lists of the same sets are one.
 4. *Neighbours first*: each entry is paired with the nearest of the ``NEAR`` entries before it that it may link with,
-   and with its list's first: two pairs an entry at most. Verified pairs give components and exact overlaps.
-5. *Answers of a similar set*: what is in one component needs no more pairs. For the rest, all pairs between
-   components that the index allows are taken; a pair (x, y) is dropped if a set p that is similar to x was compared with
-   y and |p and y| + |x - p| is below the required overlap. What is left is verified. So no link between components
-   is lost, and components are exact.
+   and with its list's first: two pairs an entry at most. Verified pairs give components.
+5. *Between components*: what is in one component needs no more pairs. Lists that still hold several are cut into blocks
+   (``blocks.py``), which meet inside the tasks. Entries of different components that may link are tied there: a row per
+   entry at most, which names the first entry it is tied with. Tied sets are clusters; each is cut into blocks once, however many lists
+   it was in, and its blocks meet with full sets. So no link between components is lost, components are exact, and pairs are no rows.
 
-Pairs are made only where parity bitmaps allow a link (bits that differ are at most the elements that differ): a short
-one is in the lists, a longer one is compared before full sets are made, for the documents in pairs that pass.
+Entries may link if their sizes and parity bitmaps allow it (bits that differ are at most the elements that differ): a short one
+is in the lists, a longer one is compared for the near pairs before their full sets are made.
 
 Defined cases: a document without words (null text too) has an empty set, is linked with nothing and is its own
 component. Rows that repeat a doc_id with different texts are different sets whose components may have one
@@ -29,17 +29,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binwright.llm.blocks import GROUP, full_sets, in_blocks, merging_links, once
 from binwright.llm.common import doc_key, id_and_text, joined, ship, stored
 
 PERCENT = 90  # defaults: the figures of op7
 SHINGLE = 3
-FREQUENT = 100_000
 NEAR = 64
 CACHED_WORDS = 400_000  # per Python worker; emptied when full
 _WORDS: dict[bytes, int] = {}
@@ -50,8 +51,35 @@ def required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+@lru_cache(maxsize=64)
+def size_ranges(most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper ends of the ranges of sizes up to ``most``, and the most elements in which linked sets differ if the smaller is in it."""
+    ends, least = [], 1
+    while not ends or ends[-1] < most:
+        ends.append(100 * least // percent)
+        least = ends[-1] + 1
+    ends = np.array(ends, np.int64)
+    return ends, (ends + 100 * ends // percent) * (100 - percent) // (100 + percent)
+
+
+def part_keys(values: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the parts of a set (ascending hashes): two linked sets have one in common."""
+    n = len(values)
+    if not n:
+        return np.zeros(0, np.uint64)
+    ends, apart = size_ranges(1 << n.bit_length(), percent)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(values), dtype=np.uint64)))
+    out = []
+    for k in {int(np.searchsorted(ends, -(-percent * n // 100))), int(np.searchsorted(ends, n))}:
+        d = int(apart[k])
+        parts = d + 1 + d // 8
+        part = (values >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        keys = _mixed(sums[bounds[1:]] - sums[bounds[:-1]] + _mixed(np.arange(parts, dtype=np.uint64) + np.uint64((k + 1) << 32)))
+        filled = bounds[1:] > bounds[:-1]
+        # linked sets agree in parts - d parts or more, so in a filled one unless both have as many empty ones
+        out.append(keys[filled] if parts - filled.sum() < parts - d else keys)
+    return np.concatenate(out)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -128,48 +156,30 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def set_sizes(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, and its first shingles by hash."""
+def keyed_sets(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n, digest of the set, bitmaps and the keys of its parts."""
 
     def make(batch):
         sets = [shingles(t, shingle) for t in batch.column("text").to_pylist()]
-        return [
-            batch.column("doc_id"), [len(s) for s in sets],
-            [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-            [_signed(s[: prefix_length(len(s), percent)]) if len(s) else [] for s in sets],
-        ]
-
-    return _map(rows, "doc_id long, n long, digest binary, first array<long>", make)
-
-
-def indexed_sets(rows: DataFrame, frequent: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n, digest, bitmaps and the first shingles with ``frequent`` ones (sorted) last."""
-
-    def make(batch):
-        sets = [shingles(t, shingle) for t in batch.column("text").to_pylist()]
-        first = []
-        for s in sets:
-            common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
-            first.append(_signed(np.concatenate((s[~common], s[common]))[: prefix_length(len(s), percent)]) if len(s) else [])
         return [
             batch.column("doc_id"), batch.column("text_key"), [len(s) for s in sets],
             [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [bitmap(s) for s in sets],
-            [short_bitmap(s) for s in sets], first,
+            [short_bitmap(s) for s in sets], [_signed(part_keys(s, percent)) for s in sets],
         ]
 
-    return _map(rows, "doc_id long, text_key long, n long, digest binary, bits binary, short array<long>, first array<long>", make)
+    return _map(rows, "doc_id long, text_key long, n long, digest binary, bits binary, short array<long>, keys array<long>", make)
 
 
-LIST = ["shingle", "n", "pos", "id"]
+LIST = ["key", "n", "id"]
 BITS = ["bits_0", "bits_1", "bits_2", "bits_3"]
 
 
 def index_lists(entries: DataFrame) -> DataFrame:
-    """The entries (shingle, n, pos, id) of lists with at least two sets."""
-    ordered = entries.select(*LIST).repartition("shingle").sortWithinPartitions(*LIST)
+    """The entries (key, n, id) of lists with at least two sets."""
+    ordered = entries.select(*LIST).repartition("key").sortWithinPartitions(*LIST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, again = np.zeros((0, 4), np.int64), False  # the last row, and whether its list has others before it
+        held, again = np.zeros((0, 3), np.int64), False  # the last row, and whether its list has others before it
         for batch in batches:
             rows = np.vstack((held, np.column_stack([batch.column(c).to_numpy() for c in LIST])))
             same = rows[1:, 0] == rows[:-1, 0]
@@ -177,19 +187,19 @@ def index_lists(entries: DataFrame) -> DataFrame:
             again, held = bool(same[-1]) if len(same) else again, rows[-1:]
             done = rows[:-1][keep[:-1]]
             if len(done):
-                yield pa.RecordBatch.from_arrays([pa.array(done[:, c]) for c in range(4)], LIST)
+                yield pa.RecordBatch.from_arrays([pa.array(done[:, c]) for c in range(3)], LIST)
         if again:
-            yield pa.RecordBatch.from_arrays([pa.array(held[:, c]) for c in range(4)], LIST)
+            yield pa.RecordBatch.from_arrays([pa.array(held[:, c]) for c in range(3)], LIST)
 
-    return ordered.mapInArrow(run, "shingle long, n long, pos long, id long")
+    return ordered.mapInArrow(run, "key long, n long, id long")
 
 
 def near_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each entry with the nearest of the ``NEAR`` before it that it may link with, and with the first."""
-    ordered = lists.repartition("shingle").sortWithinPartitions(*LIST)
+    ordered = lists.repartition("key").sortWithinPartitions(*LIST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 8), np.int64)
+        held = np.zeros((0, 7), np.int64)
         for batch in batches:
             rows = np.vstack((held, np.column_stack([batch.column(c).to_numpy() for c in LIST + BITS])))
             start, found = len(held), []
@@ -201,13 +211,13 @@ def near_pairs(lists: DataFrame, percent: int) -> DataFrame:
                     break
                 x, y = rows[waiting], rows[waiting - back]
                 ok = _allowed(x, y, percent)
-                found.append((x[ok, 3], y[ok, 3]))
+                found.append((x[ok, 2], y[ok, 2]))
                 waiting = waiting[~ok & (100 * y[:, 1] >= percent * x[:, 1])]  # sizes ascend: before a small one, all are small
             index = np.arange(len(rows))
             first = np.maximum.accumulate(np.where(np.append(True, rows[1:, 0] != rows[:-1, 0]), index, 0))
             x, y = rows[start:], rows[first[start:]]
             ok = (first[start:] < index[start:]) & _allowed(x, y, percent)
-            found.append((x[ok, 3], y[ok, 3]))
+            found.append((x[ok, 2], y[ok, 2]))
             held = rows[-NEAR:]
             a, b = (np.concatenate(c) for c in zip(*found, strict=True))
             low, high = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0).T if len(a) else (a, b)
@@ -217,16 +227,59 @@ def near_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _allowed(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether entries of the same lists may link, by sizes, positions and short bitmaps."""
-    most = x[:, 1] + y[:, 1] - 2 * required(x[:, 1], y[:, 1], percent)
-    differ = np.bitwise_count(x[:, 4:] ^ y[:, 4:]).sum(1, dtype=np.int64)
-    return may_link(x[:, 1], x[:, 2], y[:, 1], y[:, 2], percent) & (differ <= most)
+    """Whether entries (key, n, id, bitmap) of the same lists may link, by sizes and short bitmaps."""
+    return may_link(x[:, 1], x[:, 3:], y[:, 1], y[:, 3:], percent)
+
 
+def may_link(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m with the short bitmaps x and y (rows of signed numbers) may link."""
+    differ = np.bitwise_count((x ^ y).view(np.uint64)).sum(1, dtype=np.int64)  # of signed numbers numpy counts the absolute value's bits
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (differ <= n + m - 2 * required(n, m, percent))
 
-def may_link(n, i, m, j, percent):
-    """Whether sets of sizes n and m can link if the first shingle they share is at positions i and j."""
-    need = required(n, m, percent)
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (n - i >= need) & (m - j >= need)
+
+def ties(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that connect, in each group of two blocks (GROUP), the entries of different components that may link:
+    at most one pair for an entry. ``entries``: GROUP, block, id, comp, n, bitmap.
+    """
+    columns = [*GROUP, "block", "id", "comp", "n", *BITS]
+    ordered = entries.select(*columns).repartition(*GROUP).sortWithinPartitions(*GROUP, "n", "id")
+
+    def tied(rows: np.ndarray) -> pa.RecordBatch:
+        block, ids, comp, n = rows[:, 3:7].T
+        bits, index, label = np.ascontiguousarray(rows[:, 7:]), np.arange(len(rows)), np.arange(len(rows))
+        start = np.maximum.accumulate(np.where(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(1)), index, 0))
+        within = rows[:, 1] == rows[:, 2]  # the group is one block
+        waiting, back = index, 0
+        while len(waiting):
+            back += 1
+            waiting = waiting[waiting - back >= start[waiting]]
+            waiting = waiting[100 * n[waiting - back] >= percent * n[waiting]]  # sizes ascend: before a small one, all are small
+            x = waiting[(comp[waiting] != comp[waiting - back]) & (within[waiting] | (block[waiting] != block[waiting - back]))]
+            x = x[label[x] != label[x - back]]
+            x = x[may_link(n[x], bits[x], n[x - back], bits[x - back], percent)]
+            y = x - back
+            while len(x):
+                np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
+                while (label != label[label]).any():
+                    label = label[label]
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+        some = np.flatnonzero(label != index)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, len(columns)), np.int64)
+        for batch in batches:
+            rows = np.vstack((held, np.column_stack([batch.column(c).to_numpy() for c in columns])))
+            cut = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1))
+            whole = cut[-1] + 1 if len(cut) else 0  # the last group may go on
+            held = rows[whole:]
+            if whole:
+                yield tied(rows[:whole])
+        if len(held):
+            yield tied(held)
+
+    return ordered.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
 def _passing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -297,17 +350,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     """
     ship(docs.sparkSession)
     rows = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
-    sized = stored(set_sizes(rows, shingle, percent), "set_sizes")
-    counts = sized.select(F.explode("first").alias("shingle")).groupBy("shingle").count()
-    entries = sized.agg(F.sum(F.size("first"))).first()[0] or 0
-    often = counts.where(F.col("count") >= max(4, entries // FREQUENT)).select("shingle")  # at most FREQUENT rows
-    frequent = np.sort(often.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
-
+    sized = stored(keyed_sets(rows, shingle, percent), "keyed_sets")
     sets = stored(
-        indexed_sets(rows, frequent, shingle, percent).where("n > 0").withColumn("doc_key", doc_key()).groupBy("digest").agg(
+        sized.where("n > 0").withColumn("doc_key", doc_key()).groupBy("digest").agg(
             F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_key", "text_key")).alias("at"), F.first("n").alias("n"),
-            F.first("bits").alias("bits"), F.first("short").alias("short"), F.first("first").alias("first"),
-        ).select("digest", "doc_id", "at.*", "n", "bits", "short", "first", F.coalesce("doc_id", F.xxhash64("digest")).alias("id")),
+            F.first("bits").alias("bits"), F.first("short").alias("short"), F.first("keys").alias("keys"),
+        ).select("digest", "doc_id", "at.*", "n", "bits", "short", "keys", F.coalesce("doc_id", F.xxhash64("digest")).alias("id")),
         "sets",
     )
     # Ids that several sets have (repeated or null doc_ids) are replaced by a hash of the set.
@@ -318,20 +366,22 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
             .withColumn("id", F.when(F.col("several"), F.xxhash64("digest", "id")).otherwise(F.col("id"))).drop("several"),
             "sets",
         )
-    entries = sets.select(F.posexplode("first").alias("pos", "shingle"), "n", "id").withColumn("pos", F.col("pos").cast("long"))
+    entries = sets.select(F.explode("keys").alias("key"), "n", "id")
     short = sets.select("id", *[F.col("short")[i].alias(c) for i, c in enumerate(BITS)])
-    lists = stored(index_lists(entries).join(short, "id").select(*LIST, *BITS), "index_lists")
+    lists = stored(index_lists(entries), "index_lists")
+    lists = stored(once(lists, ["key"], []).join(short, "id").select(*LIST, *BITS), "index_lists")
     members = sets.select("id", "doc_key", "text_key")  # where the text of a set is
 
-    led = stored(near_pairs(lists, percent), "near_pairs")
-    known = stored(_overlaps(stored(_passing(led, sets, percent), "near_pairs"), members, rows, shingle), "overlaps")
-    first = stored(components(links(known, percent)), "components")
+    led = stored(_passing(stored(near_pairs(lists, percent), "near_pairs"), sets, percent), "near_pairs")
+    known = stored(links(_overlaps(led, members, rows, shingle), percent), "links")
+    final = stored(components(known), "components")
 
-    rest = stored(_between(lists, first, percent).join(led, ["a", "b"], "left_anti"), "other_pairs")
-    rest = stored(_passing(_derived(rest, known, percent), sets, percent), "open_pairs")
-    more = stored(_overlaps(rest, members, rows, shingle), "overlaps") if not rest.isEmpty() else None
-    every = links(known, percent) if more is None else links(known, percent).unionByName(links(more, percent))
-    final = first if more is None else stored(components(every), "components")
+    tied = stored(ties(in_blocks(lists, final, ("n", *BITS)), percent), "ties")
+    if not tied.isEmpty():
+        clusters = stored(components(tied).select(F.col("comp").alias("key"), "id"), "clusters")
+        rest = stored(in_blocks(clusters, final), "open_entries")
+        more = stored(merging_links(rest, full_sets(rest, members, rows, partial(shingles, shingle=shingle)), percent), "merging_links")
+        final = stored(components(known.unionByName(more)), "components")
 
     named = sets.select("digest", "id", F.col("doc_id").alias("least")).join(final, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -339,45 +389,3 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     return sized.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
-
-
-def _between(lists: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b, n_a, n_b) of sets in different components that share a list and may link.
-
-    In each list the entries outside its largest component meet the others, so a component never meets itself.
-    """
-    entries = joined(lists, comps, ["id"], "left").withColumn("comp", F.coalesce("comp", "id"))
-    largest = entries.groupBy("shingle", "comp").count().groupBy("shingle").agg(
-        F.max_by("comp", "count").alias("largest"), F.count(F.lit(1)).alias("comps")
-    ).where("comps > 1").select("shingle", "largest")
-    entries = stored(entries.join(largest, "shingle"), "mixed_lists")
-    need = f"ceil({percent} * (x.n + y.n) / {100 + percent})"
-    differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in BITS)
-    pairs = entries.where("comp != largest").alias("x").join(entries.alias("y"), F.expr(
-        f"x.shingle = y.shingle AND x.comp != y.comp AND (y.comp = y.largest OR x.id < y.id) "
-        f"AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND x.n - x.pos >= {need} AND y.n - y.pos >= {need} "
-        f"AND {differ} <= x.n + y.n - 2 * {need}"
-    ))
-    first = F.col("x.id") < F.col("y.id")
-    return pairs.select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
-        F.when(first, F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"), F.when(first, F.col("y.n")).otherwise(F.col("x.n")).alias("n_b"),
-    ).distinct()
-
-
-def _derived(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) without those that the answers of a similar set rule out."""
-    two_ways = known.select("a", "b", "n_a", "overlap").unionByName(
-        known.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), "overlap")
-    )
-    # of each set x: the compared set p with the fewest elements of x outside it
-    near = two_ways.groupBy("a").agg(F.min(F.struct((F.col("n_a") - F.col("overlap")).alias("outside"), F.col("b").alias("p"))).alias("near")).select(
-        F.col("a").alias("x"), F.col("near.p").alias("p"), F.col("near.outside").alias("outside")
-    )
-    answers = two_ways.select(F.col("a").alias("p"), F.col("b").alias("y"), "overlap")
-    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    for x, y in (("a", "b"), ("b", "a")):
-        bounded = pairs.withColumnRenamed(x, "x").withColumnRenamed(y, "y").join(near, "x").join(answers, ["p", "y"])
-        out = bounded.where(F.col("overlap") + F.col("outside") < need).select(F.col("x").alias(x), F.col("y").alias(y))
-        pairs = pairs.join(out, ["a", "b"], "left_anti")
-    return pairs.select("a", "b")

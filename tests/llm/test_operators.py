@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,46 @@ def test_jaccard_is_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def test_linked_sets_share_a_part_key():
+    rng = np.random.default_rng(3)
+    for percent in (90, 80):
+        for n in [*range(1, 60), 200, 401, 1500]:
+            for m in {n, max(n, n + (100 * n // percent - n) // 2), 100 * n // percent}:
+                least = -(-percent * (n + m) // (100 + percent))
+                for _ in range(8):  # as few common elements as a link may have
+                    both, x, y = np.split(rng.integers(0, 2**64, n + m - least, np.uint64), [least, n])
+                    keys = [jaccard.part_keys(np.sort(np.concatenate((both, z))), percent) for z in (x, y)]
+                    assert np.intersect1d(*keys).size, (percent, n, m)
+
+
+def test_sets_that_share_few_elements_share_hardly_a_part_key():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**64, 300, np.uint64)
+    keys = [jaccard.part_keys(np.sort(np.concatenate((common, rng.integers(0, 2**64, 700, np.uint64)))), 90) for _ in range(40)]
+    assert 1000 * (np.unique(np.concatenate(keys), return_counts=True)[1] > 1).sum() < sum(map(len, keys))
+
+
+def test_near_pairs_count_bits_of_negative_numbers():
+    n, none = np.array([40]), np.zeros((1, 4), np.int64)
+    assert jaccard.may_link(n, none, n, np.array([[-(2**63), 0, 0, 0]]), 90)[0]
+    assert not jaccard.may_link(n, none, n, np.array([[-1, 0, 0, 0]]), 90)[0]  # 64 bits differ; the absolute value has one
+
+
+def test_ties_are_as_few_as_entries(spark):
+    from binwright.llm.blocks import in_blocks
+
+    # 300 sets of one list, each its own component: 44,850 pairs may link
+    entries = spark.range(300).selectExpr("1L AS key", "id", "100L AS n", *[f"0L AS {c}" for c in jaccard.BITS])
+    comps = spark.createDataFrame([], "id long, comp long")
+    for block in (1000, 40):
+        copies = in_blocks(entries, comps, ("n", *jaccard.BITS), block)
+        groups = copies.select("p", "q").distinct().count()
+        tied = [tuple(r) for r in jaccard.ties(copies, 90).collect()]
+        assert len(tied) < copies.count() <= 300 * groups
+        whole = jaccard.components(spark.createDataFrame(tied, "a long, b long")).collect()
+        assert len(whole) == 300 and {r.comp for r in whole} == {0}
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     rows = [(1, prose(1, 50)), (1, prose(2, 50)), (None, prose(3, 50)), (None, prose(1, 50)), (7, prose(3, 50)), (None, prose(9, 50))]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows)).collect()), key=str)
