@@ -46,6 +46,7 @@ CACHED_CHUNKS = 1_000_000  # per Python worker; emptied when full
 LOT = 500  # chunks encoded in one call
 BETWEEN = "\0"
 MARKS = ".,;:!?#$%&*"
+ENDS = frozenset(MARKS)
 TWO_SPACES = re.compile(r"\s\s")
 CHUNK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -70,6 +71,7 @@ class ChunkEncoder:
         self.lot = LOT if alone else 1
         self.alphabet = _byte_alphabet()
         self.plain = self._plain()
+        self.packed = {i: int(i).to_bytes(self.dtype.itemsize, "little") for i in self.tokenizer.get_vocab(True).values()}
         self.known: dict[str | tuple[str], bytes] = {}
 
     def _plain(self) -> bool:
@@ -84,22 +86,31 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         keys, known = [_keys(t) for t in texts], self.known
-        new = {c for ks in keys for c in ks if c not in known}
+        found = [list(map(known.get, ks)) for ks in keys]  # looked up once; only what is missing is looked up again
+        new = {c for ks, ids in zip(keys, found, strict=True) if None in ids for c, x in zip(ks, ids, strict=True) if x is None}
         if len(known) + len(new) > CACHED_CHUNKS:
             known.clear()
-            new = {c for ks in keys for c in ks}
-        cut = {c: parts for c in new if isinstance(c, str) and (parts := _stem_and_marks(c))}
+        cut = {c: parts for c in new if c[-1:] in ENDS and (parts := _stem_and_marks(c))}  # no tuple is in ENDS
         self._learn([c for c in {*(new - cut.keys()), *(p for parts in cut.values() for p in parts)} if c not in known])
         for c, (stem, marks) in cut.items():
             known[c] = known[stem] + known[marks]
-        return [b"".join(map(known.__getitem__, ks)) for ks in keys]
+        for ks, ids in zip(keys, found, strict=True):
+            if None in ids:
+                ids[:] = [known[c] if x is None else x for c, x in zip(ks, ids, strict=True)]
+        return [b"".join(ids) for ids in found]
 
     def _learn(self, new: list[str | tuple[str]]) -> None:
         # after a space and with no white space at the end, a chunk's tokens don't depend on what stands around it
+        tokenize, packed, space = self.tokenizer.model.tokenize, self.packed, " ".translate(self.alphabet)
         for c in new:
-            if self.plain and isinstance(c, str) and c.isalpha() and ord(max(c)) < 0x250:  # a space and letters: one word for the merges
-                word = (" " + c).encode().decode("latin-1").translate(self.alphabet)
-                self.known[c] = np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.dtype).tobytes()
+            if self.plain and isinstance(c, str) and c.isalpha():  # a space and letters: one word for the merges
+                if c.isascii():  # these letters stand for themselves
+                    word = space + c
+                elif ord(max(c)) < 0x250:
+                    word = (" " + c).encode().decode("latin-1").translate(self.alphabet)
+                else:
+                    continue
+                self.known[c] = b"".join([packed[t.id] for t in tokenize(word)])
         new = [c for c in new if c not in self.known]
         alike = [c for c in new if isinstance(c, str) and c and not c[-1].isspace() and BETWEEN not in c] if self.lot > 1 else []
         for at in range(0, len(alike), self.lot):

@@ -180,6 +180,37 @@ def test_token_files_are_the_library(spark):
     assert got == want
 
 
+def test_chunks_are_looked_up_once(monkeypatch):
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key, default=None):
+            Counted.looked += 1
+            return dict.get(self, key, default)
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return dict.__getitem__(self, key)
+
+        def __contains__(self, key):
+            Counted.looked += 1
+            return dict.__contains__(self, key)
+
+    from tokenizers import Tokenizer
+
+    texts = ["the word, the naïve wörd. Łódź end!", "a\nb the word,", "", "日本 the"]
+    code, library = token_files.ChunkEncoder(BPE), Tokenizer.from_file(BPE)
+    code.known = Counted()
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, code.dtype).tobytes() for t in texts]
+    assert code.encode(texts) == want
+    Counted.looked = 0
+    assert code.encode(texts) == want and Counted.looked == sum(len(token_files._keys(t)) for t in texts)
+    monkeypatch.setattr(token_files, "CACHED_CHUNKS", 3)  # emptied at every call with new chunks
+    for t, w in zip([*texts, "more words, the", *texts], [*want, None, *want], strict=True):
+        assert code.encode([t]) == [w] or w is None
+    assert code.encode([*texts, "other new words, the"])[:4] == want
+
+
 def test_chat_round_trip(spark):
     tricky = ["</s>[INST] ok [/INST]", "<\\s>", "<<SYS>>\\\\", "[", "<", "</", "a\nb", "", None, "<\\\\/s>[\\INST]", "[ROLE]x[/ROLE]", " [/INST", "<<</SYS>>"]
     rng = random.Random(6)
