@@ -17,7 +17,9 @@ of op7; the pipeline takes 80 over five. Sets are of 64-bit hashes of shingles.
    it was in, and its blocks meet with full sets. So no link between components is lost, components are exact, and pairs are no rows.
 
 Entries may link if their sizes and parity bitmaps allow it (bits that differ are at most the elements that differ): a short one
-is in the lists, a longer one is compared for the near pairs before their full sets are made.
+is in the lists, a longer one, of as many bits as elements, is compared before full sets are made, for near pairs and for ties. A short one
+says nothing of sets with more elements than bits; tied by it alone, such sets are one cluster that grows with the input, and each goes
+with its elements into every pair of blocks.
 
 Defined cases: a document without words (null text too) has an empty set, is linked with nothing and is its own
 component. Rows that repeat a doc_id with different texts are different sets whose components may have one
@@ -237,14 +239,48 @@ def may_link(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, percent
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (differ <= n + m - 2 * required(n, m, percent))
 
 
+PORTION = 1 << 20  # words of bitmaps that are compared at once
+
+
+class Bitmaps:
+    """Bitmaps of several sets, each a power of two in bits."""
+
+    def __init__(self, maps: list[bytes]):
+        self.words = np.frombuffer(b"".join(maps), np.uint64)
+        self.size = np.array([len(m) // 8 for m in maps], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def folded(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """The bitmaps of rows, all at least that long, as rows of ``size`` words."""
+        out = np.empty((len(rows), size), np.uint64)
+        for long in np.unique(self.size[rows]).tolist():
+            at = np.flatnonzero(self.size[rows] == long)
+            whole = self.words[self.start[rows[at], None] + np.arange(long)]
+            out[at] = np.bitwise_xor.reduce(whole.reshape(len(at), -1, size), axis=1)
+        return out
+
+    def may_link(self, n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sets in rows x and y (of sizes n) may link, by bitmaps folded to the length of the shorter one."""
+        most, short = n[x] + n[y] - 2 * required(n[x], n[y], percent), np.minimum(self.size[x], self.size[y])
+        out = np.empty(len(x), bool)
+        for size in np.unique(short).tolist():
+            same, step = np.flatnonzero(short == size), max(1, PORTION // int(self.size[x].max(initial=1)))
+            for at in (same[k : k + step] for k in range(0, len(same), step)):
+                differ = np.bitwise_count(self.folded(x[at], size) ^ self.folded(y[at], size)).sum(1, dtype=np.int64)
+                out[at] = differ <= most[at]
+        return out
+
+
 def ties(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that connect, in each group of two blocks (GROUP), the entries of different components that may link:
-    at most one pair for an entry. ``entries``: GROUP, block, id, comp, n, bitmap.
+    at most one pair for an entry. ``entries``: GROUP, block, id, comp, n, short bitmap and, if there, ``bits`` (the longer one).
     """
     columns = [*GROUP, "block", "id", "comp", "n", *BITS]
-    ordered = entries.select(*columns).repartition(*GROUP).sortWithinPartitions(*GROUP, "n", "id")
+    more = [c for c in ("bits",) if c in entries.columns]
+    ordered = entries.select(*columns, *more).repartition(*GROUP).sortWithinPartitions(*GROUP, "n", "id")
 
-    def tied(rows: np.ndarray) -> pa.RecordBatch:
+    def tied(rows: np.ndarray, maps: list[bytes]) -> pa.RecordBatch:
+        longer = Bitmaps(maps) if maps else None
         block, ids, comp, n = rows[:, 3:7].T
         bits, index, label = np.ascontiguousarray(rows[:, 7:]), np.arange(len(rows)), np.arange(len(rows))
         start = np.maximum.accumulate(np.where(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(1)), index, 0))
@@ -257,6 +293,7 @@ def ties(entries: DataFrame, percent: int) -> DataFrame:
             x = waiting[(comp[waiting] != comp[waiting - back]) & (within[waiting] | (block[waiting] != block[waiting - back]))]
             x = x[label[x] != label[x - back]]
             x = x[may_link(n[x], bits[x], n[x - back], bits[x - back], percent)]
+            x = x[longer.may_link(n, x, x - back, percent)] if longer else x
             y = x - back
             while len(x):
                 np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
@@ -268,16 +305,17 @@ def ties(entries: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, len(columns)), np.int64)
+        held, held_maps = np.zeros((0, len(columns)), np.int64), []
         for batch in batches:
             rows = np.vstack((held, np.column_stack([batch.column(c).to_numpy() for c in columns])))
+            maps = held_maps + [m for c in more for m in batch.column(c).to_pylist()]
             cut = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1))
             whole = cut[-1] + 1 if len(cut) else 0  # the last group may go on
-            held = rows[whole:]
+            held, held_maps = rows[whole:], maps[whole:]
             if whole:
-                yield tied(rows[:whole])
+                yield tied(rows[:whole], maps[:whole])
         if len(held):
-            yield tied(held)
+            yield tied(held, held_maps)
 
     return ordered.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
@@ -376,7 +414,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     known = stored(links(_overlaps(led, members, rows, shingle), percent), "links")
     final = stored(components(known), "components")
 
-    tied = stored(ties(in_blocks(lists, final, ("n", *BITS)), percent), "ties")
+    met = in_blocks(lists, final, ("n", *BITS)).join(sets.select("id", "bits"), "id")
+    tied = stored(ties(met, percent), "ties")
     if not tied.isEmpty():
         clusters = stored(components(tied).select(F.col("comp").alias("key"), "id"), "clusters")
         rest = stored(in_blocks(clusters, final), "open_entries")

@@ -451,3 +451,33 @@ def test_encode_then_decode_keeps_columns(spark):
     assert out[1].decoded == "one two" and out[2].decoded == "" and out[1].digest == "d" and out[1].ends[-1] == 7
     with pytest.raises(ValueError):
         pieces.encode_pieces(table.withColumn("ids", F.lit(1)), PIECES)
+
+
+def test_long_sets_that_share_few_elements_are_not_tied(spark):
+    from binwright.llm.blocks import in_blocks
+
+    # 40 sets of one list with 2,000 elements, 300 of them common; two more differ from the first by 200 each way
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 2**64, 300, np.uint64)
+    sets = [np.concatenate((common, rng.integers(0, 2**64, 1700, np.uint64))) for _ in range(40)]
+    sets += [np.concatenate((sets[0][:1800], rng.integers(0, 2**64, more, np.uint64))) for more in (200, 249)]
+    rows = [(1, i, len(s), *jaccard.short_bitmap(s), jaccard.bitmap(s)) for i, s in enumerate(sets)]
+    entries = spark.createDataFrame(rows, f"key long, id long, n long, {', '.join(f'{c} long' for c in jaccard.BITS)}, bits binary")
+    comps = spark.createDataFrame([], "id long, comp long")
+    for block in (256, 8):
+        copies = in_blocks(entries, comps, ("n", *jaccard.BITS, "bits"), block)
+        tied = {tuple(r) for r in jaccard.ties(copies, 80).collect()}
+        assert tied and {i for pair in tied for i in pair} == {0, 40, 41}
+
+
+def test_bitmaps_of_any_length_never_part_linked_sets():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 700, 60)
+    base = rng.integers(0, 2**64, 900, np.uint64)
+    sets = [base[:n] for n in sizes.tolist()]
+    maps, x, y = jaccard.Bitmaps([jaccard.bitmap(s) for s in sets]), *np.triu_indices(60, 1)
+    got = maps.may_link(sizes, x, y, 80)
+    linked = 100 * np.minimum(sizes[x], sizes[y]) >= 80 * np.maximum(sizes[x], sizes[y])
+    one_by_one = [jaccard.least_difference(jaccard.bitmap(sets[i]), jaccard.bitmap(sets[j])) for i, j in zip(x, y)]
+    assert got[linked].all() and not got.all()
+    assert (got == (np.array(one_by_one) <= sizes[x] + sizes[y] - 2 * jaccard.required(sizes[x], sizes[y], 80))).all()
