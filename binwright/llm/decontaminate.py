@@ -13,7 +13,8 @@
    fewer than ``SHORT`` words) and half of the words of its answer, the passage's last ``ANSWER`` words, are in order in the window.
 
 Documents that hold too few words of every item for the subsequence of step 4 are left out before step 3, as are windows
-without features. This loses nothing that the steps find, whatever the cosine of the projections.
+without features; so are, before step 4, candidates whose window holds too few words of the item. This loses nothing that the
+steps find, whatever the cosine of the projections.
 Words are compared in lower case without punctuation at their ends.
 
 Defined cases: null text is empty and has no passages; so do empty and null benchmark items, which are never found.
@@ -108,6 +109,12 @@ class Coded:
         window = np.repeat(base[doc] + first, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         return window, np.repeat(code, reps), np.append(base, n.sum())
 
+    def between(self, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of the entries of a document from place ``begin``, and from ``end``, per document asked for."""
+        far = int(self.lengths.max(initial=0)) + int(end.max(initial=0)) + 1
+        at = self.doc * far + self.place
+        return np.searchsorted(at, doc * far + begin), np.searchsorted(at, doc * far + end)
+
 
 class WordNumbers(dict):
     """A word as it stands in a text: its number, -1 for others, -2 if nothing is left of it. Filled as words are met."""
@@ -330,6 +337,25 @@ class Places:
         return out
 
 
+PAIRS = 1 << 16  # windows and items that are compared at once
+
+
+def words_in_items(code: np.ndarray, first: np.ndarray, end: np.ndarray, item: np.ndarray, member: np.ndarray, size: int) -> np.ndarray:
+    """Per pair of a stretch of numbers (``first`` to ``end``) and an item, how many of them the item has: no common subsequence is longer.
+
+    ``member``: item * size + number, ascending, of all numbers of the items.
+    """
+    out = np.zeros(len(item), np.int64)
+    for at in range(0, len(item), PAIRS):
+        n = end[at : at + PAIRS] - first[at : at + PAIRS]
+        until = np.cumsum(n)
+        entry = np.repeat(first[at : at + PAIRS] - (until - n), n) + np.arange(n.sum())
+        wanted = np.repeat(item[at : at + PAIRS] * size, n) + code[entry]
+        inside = np.append(0, np.cumsum(member[np.minimum(np.searchsorted(member, wanted), len(member) - 1)] == wanted))
+        out[at : at + PAIRS] = inside[until] - inside[until - n]
+    return out
+
+
 HITS = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
 
 
@@ -356,6 +382,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     fewest = np.maximum(1, np.bincount(item[feature], count[feature], len(passages)).astype(np.int64) - (sizes - need))
     by_feature = Places(item[feature], word[feature], count[feature], size, fewest)
     by_word = Places(item, word, count, size, need)
+    member = item * size + word  # ascending
     weight = weight.astype(np.float32)
 
     def possible(docs: Coded) -> np.ndarray:
@@ -379,17 +406,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             window, code, count = _counted(window[enough], code[enough], size)
             names = np.unique(window)
             entries = _tfidf(window, code, count, weight)
-            starts = np.append(np.searchsorted(docs.doc, np.arange(batch.num_rows)), len(docs.doc))
             out: dict[tuple, tuple] = {}
             for block in range(0, len(names), 4096):
                 a, b = np.searchsorted(entries[0], [block, block + 4096])
                 near = _project(entries[0][a:b] - block, entries[1][a:b], entries[2][a:b], min(4096, len(names) - block), basis) @ queries.T
-                for w, q in zip(*np.nonzero(near >= COSINE), strict=True):
-                    at = int(np.searchsorted(bases, names[block + w], "right")) - 1
-                    begin = (names[block + w] - bases[at]) * STRIDE
-                    own = docs.place[starts[at] : starts[at + 1]]
-                    a_, b_ = np.searchsorted(own, [begin, begin + width]) + starts[at]
-                    part, item = docs.code[a_:b_].tolist(), passages[q]
+                w, q = np.nonzero(near >= COSINE)
+                at = np.searchsorted(bases, names[block + w], "right") - 1
+                begin = (names[block + w] - bases[at]) * STRIDE
+                first, end = docs.between(at, begin, begin + width)
+                fine = words_in_items(docs.code, first, end, q, member, size) >= need[q]
+                for w, q, at, a, b in zip(*(x[fine].tolist() for x in (w, q, at, first, end)), strict=True):
+                    part, item = docs.code[a:b].tolist(), passages[q]
                     cover = common_subsequence(bits[q], part, len(item)) / len(item)
                     if cover < (COVER if len(item) >= SHORT else 1.0):
                         continue

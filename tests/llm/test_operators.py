@@ -481,3 +481,25 @@ def test_bitmaps_of_any_length_never_part_linked_sets():
     one_by_one = [jaccard.least_difference(jaccard.bitmap(sets[i]), jaccard.bitmap(sets[j])) for i, j in zip(x, y)]
     assert got[linked].all() and not got.all()
     assert (got == (np.array(one_by_one) <= sizes[x] + sizes[y] - 2 * jaccard.required(sizes[x], sizes[y], 80))).all()
+
+
+def test_no_common_subsequence_is_longer_than_the_words_an_item_has():
+    rng = np.random.default_rng(7)
+    passages = [rng.integers(0, 40, n).tolist() for n in (5, 20, 64)]
+    member = np.unique([q * 40 + c for q, p in enumerate(passages) for c in p])
+    code = rng.integers(0, 40, 300)
+    first, item = rng.integers(0, 240, 500), rng.integers(0, 3, 500)
+    end = first + rng.integers(0, 60, 500)
+    for pairs in (decontaminate.PAIRS, 7):
+        decontaminate.PAIRS, before = pairs, decontaminate.PAIRS
+        got = decontaminate.words_in_items(code, first, end, item, member, 40)
+        decontaminate.PAIRS = before
+        assert got.tolist() == [sum(c in passages[q] for c in code[a:b].tolist()) for a, b, q in zip(first, end, item)]
+    for a, b, q, most in zip(first, end, item, got):
+        assert decontaminate.common_subsequence(decontaminate.place_bits(passages[q]), code[a:b].tolist(), len(passages[q])) <= most
+
+
+def test_places_of_documents_are_found_at_once():
+    docs = decontaminate.Coded(np.array([0, 0, 0, 2, 2]), np.array([1, 5, 9, 0, 7]), np.zeros(5, np.int64), np.array([10, 3, 8]))
+    first, end = docs.between(np.array([0, 0, 1, 2]), np.array([2, 0, 0, 0]), np.array([9, 99, 75, 8]))
+    assert [(a, b) for a, b in zip(first.tolist(), end.tolist())] == [(1, 2), (0, 3), (3, 3), (3, 5)]
