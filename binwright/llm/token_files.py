@@ -44,6 +44,7 @@ from binwright.session import scratch_path
 
 CACHED_CHUNKS = 1_000_000  # per Python worker; emptied when full
 LOT = 500  # chunks encoded in one call
+PORTION = 64  # texts encoded at once
 BETWEEN = "\0"
 MARKS = ".,;:!?#$%&*"
 ENDS = frozenset(MARKS)
@@ -84,6 +85,10 @@ class ChunkEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts, a few texts at a time: so their chunks are still near the processor when they are joined."""
+        return [ids for at in range(0, len(texts), PORTION) for ids in self.encode(texts.slice(at, PORTION).to_pylist())]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         keys, known = [_keys(t) for t in texts], self.known
         found = [list(map(known.get, ks)) for ks in keys]  # looked up once; only what is missing is looked up again
@@ -118,9 +123,11 @@ class ChunkEncoder:
             ids = self._ids(BETWEEN.join(" " + c for c in lot))
             found = np.split(ids, np.flatnonzero(ids == self.between[0]))
             self.known.update((c, (x[1:] if i else x).tobytes()) for i, (c, x) in enumerate(zip(lot, found, strict=True)))
-        for c in new:
-            if c not in self.known:
-                self.known[c] = self._ids(c[0] if isinstance(c, tuple) else " " + c).tobytes()
+        rest = [c for c in new if c not in self.known]
+        for at in range(0, len(rest), LOT):  # texts of their own, in one call
+            lot = rest[at : at + LOT]
+            ids = self.tokenizer.encode_batch_fast([c[0] if isinstance(c, tuple) else " " + c for c in lot], add_special_tokens=False)
+            self.known.update((c, np.array(x.ids, self.dtype).tobytes()) for c, x in zip(lot, ids, strict=True))
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -175,7 +182,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         os.makedirs(root, exist_ok=True)
         with open(f"{name}.bin{own}", "wb") as ids, open(f"{name}.off{own}", "wb") as offsets, open(f"{name}.doc{own}", "wb") as names:
             for batch in batches:
-                encoded = code.encode(batch.column("text").to_pylist())
+                encoded = code.encode_column(batch.column("text"))
                 lengths = np.array([len(e) // width + 1 for e in encoded], np.int64)
                 ids.write(b"".join(e + end for e in encoded))
                 offsets.write((total + np.cumsum(lengths) - lengths).astype("<u8").tobytes())

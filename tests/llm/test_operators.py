@@ -503,3 +503,17 @@ def test_places_of_documents_are_found_at_once():
     docs = decontaminate.Coded(np.array([0, 0, 0, 2, 2]), np.array([1, 5, 9, 0, 7]), np.zeros(5, np.int64), np.array([10, 3, 8]))
     first, end = docs.between(np.array([0, 0, 1, 2]), np.array([2, 0, 0, 0]), np.array([9, 99, 75, 8]))
     assert [(a, b) for a, b in zip(first.tolist(), end.tolist())] == [(1, 2), (0, 3), (3, 3), (3, 5)]
+
+
+def test_texts_are_encoded_a_few_at_a_time_and_first_words_in_one_call(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    code, sizes, calls = token_files.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json")), [], []
+    texts = [f"{prose(i, 3)}{i} {prose(i + 1, 20)}" for i in range(150)]
+    encode, one = code.encode, code._ids
+    monkeypatch.setattr(code, "encode", lambda some: sizes.append(len(some)) or encode(some))
+    monkeypatch.setattr(code, "_ids", lambda text: calls.append(text) or one(text))
+    got = code.encode_column(pa.array(texts))
+    assert got == [np.array(code.tokenizer.encode(t, add_special_tokens=False).ids, code.dtype).tobytes() for t in texts]
+    assert sizes == [64, 64, 22] and all(token_files.BETWEEN in t or len(t.split()) == 1 and t[0] == " " for t in calls)
